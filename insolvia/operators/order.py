@@ -76,11 +76,12 @@ def _tighten(df: DataFrame, brackets: list[_Bracket]) -> None:
         for b, t in zip(batch, trial):
             if t.below <= b.rank < t.below + t.inside:
                 b.lo, b.hi, b.below, b.inside = t.lo, t.hi, t.below, t.inside
-            elif b.rank < t.below:
-                # the sketch overshot: everything below its lower bound remains
-                b.hi, b.inside = t.lo, b.inside
-            else:
-                b.lo = t.hi
+            else:  # the sketch missed the rank: keep the side of the old bracket that holds it
+                if b.rank < t.below:
+                    b.hi = t.lo
+                else:
+                    b.lo = t.hi
+                _recount(df, [b])
 
 
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
@@ -296,6 +297,25 @@ def running_totals(
     ).drop("_pos", "_chunk", *[f"_c_{out}" for out in sums])
 
 
+def grouped_quantile(counted: DataFrame, group: Sequence[str], value: str, n: str, p: float) -> DataFrame:
+    """Interpolated quantile per group of a value-count table (one row per group and value)."""
+    group = list(group)
+    walked = running_totals(counted.select(*group, value, n), group, [value], {"_upto": n})
+    totals = counted.groupBy(*group).agg(F.sum(n).alias("total"))
+    x = (F.col("total") - 1) * F.lit(float(p))
+    holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col(n) <= rank)
+    picked = (
+        walked.join(totals, group)
+        .groupBy(*group)
+        .agg(
+            F.max("total").alias("total"),
+            F.max(F.when(holds(F.floor(x)), F.col(value))).alias("_lo"),
+            F.max(F.when(holds(F.ceil(x)), F.col(value))).alias("_hi"),
+        )
+    )
+    return picked.select(*group, "total", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (x - F.floor(x))).alias("quantile"))
+
+
 def over_sequence(
     df: DataFrame,
     keys: Sequence[str],
