@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is complete."""
 from __future__ import annotations
 
-from . import profile_queries, quality_queries  # noqa: F401
+from . import feature_queries, metric_queries, prepare_queries, profile_queries, quality_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 

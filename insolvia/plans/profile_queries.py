@@ -152,7 +152,7 @@ PAIRS = "pairs AS (" + " UNION ALL ".join(
 
 @query(
     "pearson_matrix",
-    sql_with(FIRMS, body=" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})') if a != b else '1.0::DOUBLE'} AS r FROM firms" for a in FEATURES for b in FEATURES)),
+    sql_with(FIRMS, body=" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})') if a != b else 'MAX(1.0::DOUBLE)'} AS r FROM firms" for a in FEATURES for b in FEATURES)),
 )
 def _pearson(spark, sf):
     return rel.pearson(t.firms(spark, sf), FEATURES).withColumn("r", rounded("r"))
@@ -165,7 +165,7 @@ RANKED = "ranked AS (SELECT entity_id, " + ", ".join(
 
 @query(
     "spearman_matrix",
-    sql_with(FIRMS, RANKED, body=" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})') if a != b else '1.0::DOUBLE'} AS r FROM ranked" for a in FEATURES for b in FEATURES)),
+    sql_with(FIRMS, RANKED, body=" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})') if a != b else 'MAX(1.0::DOUBLE)'} AS r FROM ranked" for a in FEATURES for b in FEATURES)),
 )
 def _spearman(spark, sf):
     return rel.spearman(t.firms(spark, sf), "entity_id", FEATURES).withColumn("r", rounded("r"))
@@ -241,7 +241,7 @@ def _biserial(spark, sf):
 
 
 MI = f"""edges AS (SELECT feature, list_distinct(quantile_cont(value, {[i / 10 for i in range(1, 10)]})) AS e FROM long GROUP BY feature),
-cells AS (SELECT feature, bin, target, COUNT(*)::DOUBLE AS n FROM (SELECT feature, len(list_filter(e, x -> value > x)) AS bin, target FROM long JOIN edges USING (feature)) GROUP BY feature, bin, target),
+cells AS (SELECT feature, bin, target, COUNT(*)::DOUBLE AS n FROM (SELECT feature, len(list_filter(e, lambda x: value > x)) AS bin, target FROM long JOIN edges USING (feature)) GROUP BY feature, bin, target),
 mi AS (SELECT feature, SUM(n / t * ln(n * t / (nb * ny))) AS mi FROM (SELECT *, SUM(n) OVER (PARTITION BY feature) AS t, SUM(n) OVER (PARTITION BY feature, bin) AS nb, SUM(n) OVER (PARTITION BY feature, target) AS ny FROM cells) GROUP BY feature)"""
 
 
