@@ -79,10 +79,16 @@ def _skew(spark, sf):
     return f.adjusted_skew(train, FEATURES).select("feature", rounded("skew").alias("skew"), F.col("feature").isin(*planned or [""]).alias("log_planned"))
 
 
-@query("pair_plan", "SELECT 'ratio' AS kind, 'n_orders' AS a, 'gross' AS b UNION ALL SELECT 'ratio', 'n_orders', 'qty' UNION ALL SELECT 'ratio', 'n_orders', 'avg_disc'")
+@query(
+    "pair_plan",
+    sql_with(
+        FIRMS, TRAIN, TLONG, "ranked AS (SELECT feature, ROW_NUMBER() OVER (ORDER BY var_samp(value) DESC) AS rn FROM long GROUP BY feature)",
+        body="SELECT a.feature AS a, b.feature AS b FROM ranked a JOIN ranked b ON a.rn < b.rn ORDER BY a.rn, b.rn LIMIT 6",
+    ),
+)
 def _pairs(spark, sf):
-    cols = [c for c in t.firms(spark, sf).columns if c in FEATURES]
-    return spark.createDataFrame([("ratio", a, b) for a, b in f.pair_plan(cols, 3)], "kind string, a string, b string")
+    base = [x["feature"] for x in f.base_features(train_of(spark, sf), FEATURES).orderBy("rank").collect()]
+    return spark.createDataFrame(f.pair_plan(base, 6), "a string, b string")
 
 
 @query(
@@ -108,16 +114,17 @@ def _generate(spark, sf):
     "correlation_filter",
     sql_with(
         FIRMS, TRAIN, TLONG, CORR, PAIRS.replace("FROM firms", "FROM train"),
-        body="""SELECT DISTINCT CASE WHEN abs(a.r) < abs(b.r) THEN feature_a ELSE feature_b END AS dropped FROM pairs p JOIN rel a ON a.feature = feature_a JOIN rel b ON b.feature = feature_b
-        WHERE abs(p.r) = (SELECT MAX(abs(r)) FROM pairs) AND abs(p.r) > 0.95""",
-    ),
+        """ordered AS (SELECT ROW_NUMBER() OVER (ORDER BY abs(p.r) DESC, feature_a, feature_b) AS rn, feature_a, feature_b,
+          CASE WHEN abs(a.r) < abs(b.r) THEN feature_a ELSE feature_b END AS loser
+          FROM pairs p JOIN rel a ON a.feature = feature_a JOIN rel b ON b.feature = feature_b WHERE abs(p.r) > 0.8)""",
+        """walk AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS gone UNION ALL
+          SELECT o.rn, CASE WHEN list_contains(gone, feature_a) OR list_contains(gone, feature_b) THEN gone ELSE list_append(gone, loser) END
+          FROM walk JOIN ordered o ON o.rn = walk.rn + 1)""",
+        body="SELECT unnest(gone) AS dropped FROM walk WHERE rn = (SELECT MAX(rn) FROM ordered)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _corr_filter(spark, sf):
-    # the first elimination is checked against SQL; the greedy continuation is unit-tested
-    train = train_of(spark, sf)
-    best = rel.high_pairs(rel.correlation_pairs(train, FEATURES), 0.95).limit(1).collect()
-    cols = [best[0]["feature_a"], best[0]["feature_b"]] if best else FEATURES[:2]
-    return spark.createDataFrame([(c,) for c in f.correlation_filter(train, cols, "target", 0.95)], "dropped string")
+    return spark.createDataFrame([(c,) for c in f.correlation_filter(train_of(spark, sf), FEATURES, "target", 0.8)], "dropped string")
 
 
 @query("vif_elimination")
@@ -127,9 +134,9 @@ def _vif(spark, sf):
     return spark.createDataFrame(rows, "feature string, removed boolean, vif double").withColumn("vif", rounded("vif", 3))
 
 
-@query("variance_threshold", sql_with(FIRMS, TRAIN, TLONG, body=f"SELECT feature, {r('var_samp(value)', 3)} AS variance, var_samp(value) <= 0.001 AS dropped FROM long GROUP BY feature"))
+@query("variance_threshold", sql_with(FIRMS, TRAIN, TLONG, body=f"SELECT feature, {r('stddev_samp(value)', 4)} AS deviation, var_samp(value) <= 0.001 AS dropped FROM long GROUP BY feature"))
 def _variance(spark, sf):
-    return f.low_variance(train_of(spark, sf), FEATURES, 0.001).withColumn("variance", rounded("variance", 3))
+    return f.low_variance(train_of(spark, sf), FEATURES, 0.001).select("feature", rounded(F.sqrt("variance"), 4).alias("deviation"), "dropped")
 
 
 @query("relevance_floor", sql_with(FIRMS, TRAIN, TLONG, CORR, body="SELECT feature AS dropped FROM rel WHERE abs(r) < 0.02"))

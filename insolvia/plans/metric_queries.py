@@ -179,7 +179,7 @@ def _board_sql(name, prefix, power, flip):
 RANK_SQL = "CAST(ROW_NUMBER() OVER (ORDER BY roc_auc DESC NULLS LAST, f1 DESC NULLS LAST, recall DESC NULLS LAST, pr_auc DESC NULLS LAST, model) AS INTEGER) AS rank"
 
 
-@query("leaderboard", sql_with(SCORES, _board_sql("a", "a", 1.0, False), body=f"SELECT model, roc_auc, f1, recall, pr_auc, {RANK_SQL} FROM a"))
+@query("leaderboard", sql_with(SCORES, _board_sql("plain", "a", 1.0, False), body=f"SELECT model, roc_auc, f1, recall, pr_auc, {RANK_SQL} FROM plain"))
 def _leaderboard(spark, sf):
     return m.leaderboard(_board(spark, sf, 1.0, "a"))
 
@@ -187,8 +187,8 @@ def _leaderboard(spark, sf):
 @query(
     "family_comparison",
     sql_with(
-        SCORES, _board_sql("a", "a", 1.0, False), _board_sql("b", "b", 0.5, True),
-        body=f"SELECT model, family, roc_auc, f1, recall, pr_auc, {RANK_SQL} FROM (SELECT *, 'plain' AS family FROM a UNION ALL SELECT *, 'noisy' FROM b)",
+        SCORES, _board_sql("plain", "a", 1.0, False), _board_sql("noisy", "b", 0.5, True),
+        body=f"SELECT model, family, roc_auc, f1, recall, pr_auc, {RANK_SQL} FROM (SELECT *, 'plain' AS family FROM plain UNION ALL SELECT *, 'noisy' FROM noisy)",
     ),
 )
 def _families(spark, sf):
@@ -256,8 +256,8 @@ def _requests(spark, sf):
 @query(
     "model_listing",
     sql_with(
-        SCORES, _board_sql("a", "a", 1.0, False),
-        body="SELECT model, 'v00' || right(model, 1) AS model_version, roc_auc, f1, model = 'a_1' AS is_best FROM a",
+        SCORES, _board_sql("plain", "a", 1.0, False),
+        body="SELECT model, 'v00' || right(model, 1) AS model_version, roc_auc, f1, model = 'a_1' AS is_best FROM plain",
     ),
 )
 def _models(spark, sf):

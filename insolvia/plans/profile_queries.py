@@ -28,13 +28,13 @@ def _firm(spark, sf):
     return t.firm_features(spark, sf).withColumns({"avg_disc": rounded("avg_disc", 9), "return_rate": rounded("return_rate", 9)})
 
 
-@query(
-    "column_roles",
-    """SELECT * FROM (VALUES ('entity_id', 'numeric'), ('segment', 'categorical'), ('n_orders', 'numeric'), ('gross', 'numeric'), ('qty', 'numeric'),
-      ('avg_disc', 'numeric'), ('return_rate', 'numeric'), ('target', 'target'), ('split', 'categorical')) v(feature, role)""",
-)
+_ROLES = {"entity_id": "numeric", "segment": "categorical", "gross": "numeric", "avg_disc": "numeric", "target": "target", "split": "categorical"}
+
+
+@query("column_roles", sql_with(GAPPY, body=" UNION ALL ".join(f"SELECT '{c}' AS feature, '{role}' AS role, COUNT({c}) AS non_null FROM gappy" for c, role in _ROLES.items())))
 def _roles(spark, sf):
-    return column_kinds(t.firms(spark, sf), "target")
+    df = t.gappy_firms(spark, sf).select(*_ROLES)
+    return column_kinds(df, "target").join(p.column_inventory(df).select("feature", "non_null"), "feature")
 
 
 @query(
