@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is complete."""
 from __future__ import annotations
 
-from . import embedding_queries, feature_queries, model_queries, metric_queries, prepare_queries, profile_queries, quality_queries, table_queries  # noqa: F401
+from . import embedding_queries, feature_queries, flow_queries, storage_queries, model_queries, metric_queries, prepare_queries, profile_queries, quality_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 
