@@ -57,7 +57,11 @@ def coded_series(docs: DataFrame, subject: str, area_ids: Sequence[str] = ("REF_
     rows = parsed.select("dims", "periods", F.explode("series").alias("key", "s"))
     index = F.split("key", ":")
     labels = F.zip_with("dims", index, lambda dim, i: F.struct(dim["id"].alias("id"), F.get(dim["values"], i.cast("int"))["id"].alias("v")))
-    area = F.coalesce(*[F.get(F.filter("labels", lambda x, a=a: x["id"] == a), F.lit(0))["v"] for a in area_ids])
+
+    def label(dimension: str):
+        return F.get(F.filter("labels", lambda x: x["id"] == dimension), F.lit(0))["v"]
+
+    area = F.coalesce(*[label(a) for a in area_ids])
     obs = rows.withColumn("labels", labels).select(area.alias("entity_id"), "periods", F.explode("s.observations").alias("t", "o"))
     return obs.select("entity_id", F.lit(subject).alias("subject"), F.get("periods", F.col("t").cast("int"))["id"].alias("date"), to_number(F.get("o", F.lit(0))).alias("value"))
 
