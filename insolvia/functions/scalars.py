@@ -153,6 +153,7 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name:
 
 
 def binned(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """0-based equal-width bin, the last bin closed on the right; a zero range goes to bin 0."""
-    pos = F.floor(F.try_divide((value - lo) * F.lit(float(bins)), hi - lo))
-    return F.coalesce(F.least(pos, F.lit(bins - 1)), F.lit(0)).cast("int")
+    """0-based equal-width bin, the last bin closed on the right; a zero range goes to the
+    middle bin, as if it were widened on both sides."""
+    pos = F.coalesce(F.floor(F.try_divide((value - lo) * F.lit(float(bins)), hi - lo)), F.lit(bins // 2))
+    return F.least(pos, F.lit(bins - 1)).cast("int")
