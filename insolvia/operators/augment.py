@@ -143,9 +143,10 @@ def embedding_statistics(df: DataFrame, x: str) -> DataFrame:
         F.min("lo").alias("min"), F.max("hi").alias("max"), F.avg("norm").alias("mean_l2_norm"), F.stddev_pop("norm").alias("std_l2_norm"),
         F.count_if("bad").alias("bad"),
     )
-    if out.first()["bad"]:
+    row = out.first()
+    if row["bad"]:
         raise ValueError("embeddings contain non-finite values")
-    return out.drop("bad")
+    return df.sparkSession.createDataFrame([row], out.schema).drop("bad")
 
 
 def similarity_matrix(df: DataFrame, key: str, label: str, x: str, n: int = 200, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .order import bucket_by_cuts, cut_at, quantiles, running_totals
 from .relations import rank_auc
 
@@ -26,11 +27,15 @@ def score_counts(df: DataFrame, label: str = "y", score: str = "p", by: Sequence
     return df.groupBy(*by, p.alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
 
 
-def sweep(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def stored_counts(df: DataFrame, label: str = "y", score: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """Score counts written once, for callers that read them several times."""
+    return materialize(score_counts(df, label, score, by), "scores")
+
+
+def sweep(counts: DataFrame, by: Sequence[str] = (), is_stored: bool = False) -> DataFrame:
     """Cumulative rows and positives at or above each distinct score."""
-    return running_totals(counts.withColumn("_down", -F.col("p")), list(by), ["_down"], {"upto": "n", "tp": "pos"}).drop("_down").withColumn(
-        "fp", F.col("upto") - F.col("tp")
-    )
+    down = counts.withColumn("_down", -F.col("p"))
+    return running_totals(down, list(by), ["_down"], {"upto": "n", "tp": "pos"}, is_stored).drop("_down").withColumn("fp", F.col("upto") - F.col("tp"))
 
 
 def class_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,13 +79,13 @@ def threshold_metrics(matrix: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return rank_auc(counts, list(by), value="p").withColumnRenamed("auc", "roc_auc")
+def roc_auc(counts: DataFrame, by: Sequence[str] = (), is_stored: bool = False) -> DataFrame:
+    return rank_auc(counts, list(by), value="p", is_stored=is_stored).withColumnRenamed("auc", "roc_auc")
 
 
-def average_precision(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def average_precision(counts: DataFrame, by: Sequence[str] = (), is_stored: bool = False) -> DataFrame:
     """Step sum of precision over recall gains, one step per distinct score."""
-    swept = _with_totals(sweep(counts, by), counts, by)
+    swept = _with_totals(sweep(counts, by, is_stored), counts, by)
     step = (F.col("pos") / F.col("positives")) * (F.col("tp") / F.col("upto"))
     return swept.groupBy(*by).agg(F.sum(step).alias("pr_auc"))
 
@@ -94,11 +99,11 @@ def probability_losses(df: DataFrame, label: str = "y", score: str = "p", by: Se
 
 def evaluate(df: DataFrame, threshold: float, label: str = "y", score: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """The whole metric suite, one row per group."""
-    counts = score_counts(df, label, score, by)
+    counts = stored_counts(df, label, score, by)
     parts = [
         threshold_metrics(confusion(df, threshold, label, score, by)),
-        roc_auc(counts, by),
-        average_precision(counts, by),
+        roc_auc(counts, by, is_stored=True),
+        average_precision(counts, by, is_stored=True),
         probability_losses(df, label, score, by),
     ]
     if by:
@@ -120,7 +125,7 @@ def youden_threshold(counts: DataFrame) -> float:
     if not pos or not neg:
         return 0.5
     gap = F.col("tp") / F.lit(float(pos)) - F.col("fp") / F.lit(float(neg))
-    best = sweep(counts).agg(F.max(F.struct(gap.alias("j"), "p")).alias("b")).first()["b"]
+    best = sweep(counts, is_stored=True).agg(F.max(F.struct(gap.alias("j"), "p")).alias("b")).first()["b"]
     return float(best["p"]) if best["j"] > 0 else 1.0
 
 
@@ -151,6 +156,7 @@ def max_f1_threshold(counts: DataFrame, grid_size: int = 200) -> float:
 def choose_threshold(counts: DataFrame, method: str = "youden", custom: float = 0.5) -> tuple[float, str]:
     if method == "custom":
         return custom, "custom"
+    counts = materialize(counts, "scores")
     t = class_totals(counts).first()
     if not t["positives"] or t["positives"] == t["total"]:
         return 0.5, "default"
@@ -172,7 +178,7 @@ def calibration_curve(df: DataFrame, label: str = "y", score: str = "p", bins: i
 
 def cumulative_lift(df: DataFrame, label: str = "y", score: str = "p", key: str = "id") -> DataFrame:
     """Positive rate of the top 10..100 % over the base rate; score ties in key order."""
-    frame = df.withColumn("_down", -F.col(score))
+    frame = materialize(df.select((-F.col(score)).alias("_down"), key, label), "lift")
     n = frame.count()
     fractions = [float(f) for f in np.linspace(0.1, 1.0, 10)]
     sizes = [max(1, int(f * n)) for f in fractions]

@@ -25,9 +25,8 @@ from ..functions.scalars import melt
 from . import metrics as mt
 from .augment import with_partner
 from .neighbors import knn_probability
-from .order import EXPRESSIONS_PER_JOB, _batched
 from .prepare import apply_scale, enforce_features, fit_scale
-from .relations import rank_auc
+from .relations import correlation_matrix, rank_auc
 from .scoring import linear_contributions
 
 # Default parameters per algorithm.
@@ -253,26 +252,21 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int | None = None, varianc
 
 
 def second_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, column means and mean cross products; the k x k result is all that leaves
-    the executors."""
+    """Row count, column means and covariance (population); only k x k values leave the executors."""
     cols = list(columns)
-    pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
-    head = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    cross = np.zeros((len(cols), len(cols)))
-    for batch in _batched(pairs, EXPRESSIONS_PER_JOB):
-        row = df.agg(*[F.avg(F.col(cols[i]) * F.col(cols[j])).alias(f"c{k}") for k, (i, j) in enumerate(batch)]).first()
-        for k, (i, j) in enumerate(batch):
-            cross[i, j] = cross[j, i] = row[f"c{k}"]
-    return head["n"], np.array([head[f"m{i}"] for i in range(len(cols))]), cross
+    row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    mean = np.array([row[f"m{i}"] for i in range(len(cols))])
+    dev = np.array([row[f"s{i}"] for i in range(len(cols))])
+    r = np.nan_to_num(correlation_matrix(df, cols), nan=0.0)
+    return row["n"], mean, r * np.outer(dev, dev)
 
 
 def fit_svd(df: DataFrame, columns: Sequence[str], k: int | None = None, variance: float = 0.95) -> dict:
     """Uncentred projection on the right singular vectors, cut at cumulative variance."""
     cols = list(columns)
-    n, mean, cross = second_moments(df, cols)
-    values, vectors = np.linalg.eigh(cross * n)
+    n, mean, cov = second_moments(df, cols)
+    values, vectors = np.linalg.eigh((cov + np.outer(mean, mean)) * n)
     vectors = vectors[:, np.argsort(values)[::-1]][:, : max(1, min(len(cols), n) - 1)]
-    cov = cross - np.outer(mean, mean)
     ratio = np.array([v @ cov @ v for v in vectors.T]) / (np.trace(cov) or 1.0)
     if k is None:
         k = min(int(np.searchsorted(np.cumsum(ratio), variance)) + 1, vectors.shape[1])

@@ -24,13 +24,13 @@ EXPRESSIONS_PER_JOB = 240
 # ---------------------------------------------------------------- ranks and quantiles
 @dataclass
 class _Bracket:
-    """Search interval [lo, hi] known to hold the ``rank``-th smallest value (0-based)."""
+    """Open interval (lo, hi) strictly between which the ``rank``-th value (0-based) lies."""
 
     column: str
     rank: int
-    lo: object = None
-    hi: object = None
-    below: int = 0
+    lo: object
+    hi: object
+    below: int = 0  # rows at or before lo
     inside: int = 0
     value: object = None
 
@@ -41,51 +41,52 @@ def _batched(items: Sequence, size: int):
 
 
 def _inside(b: _Bracket) -> Column:
-    return F.col(b.column).between(F.lit(b.lo), F.lit(b.hi))
+    return (F.col(b.column) > F.lit(b.lo)) & (F.col(b.column) < F.lit(b.hi))
 
 
-def _recount(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Exact number of rows below and inside each bracket, one scan per batch."""
-    for batch in _batched(brackets, EXPRESSIONS_PER_JOB // 2):
+def _settle(df: DataFrame, brackets: list[_Bracket], bounds: list[tuple]) -> None:
+    """Count around the proposed (lo, hi) of each bracket and either find the value on a
+    bound or keep the open stretch that holds the rank.  A bound is never looked at again,
+    so even a value that fills a third of the table is settled in one pass."""
+    for batch in _batched(list(zip(brackets, bounds)), EXPRESSIONS_PER_JOB // 4):
         aggs = []
-        for i, b in enumerate(batch):
-            aggs.append(F.count_if(F.col(b.column) < F.lit(b.lo)).alias(f"b{i}"))
-            aggs.append(F.count_if(_inside(b)).alias(f"n{i}"))
+        for i, (b, (lo, hi)) in enumerate(batch):
+            c = F.col(b.column)
+            aggs += [F.count_if(c < F.lit(lo)).alias(f"a{i}"), F.count_if(c <= F.lit(lo)).alias(f"b{i}"),
+                     F.count_if(c < F.lit(hi)).alias(f"c{i}"), F.count_if(c <= F.lit(hi)).alias(f"d{i}")]
         row = df.agg(*aggs).first()
-        for i, b in enumerate(batch):
-            b.below, b.inside = row[f"b{i}"], row[f"n{i}"]
+        for i, (b, (lo, hi)) in enumerate(batch):
+            under_lo, upto_lo, under_hi, upto_hi = (row[f"{p}{i}"] for p in "abcd")
+            end = b.below + b.inside
+            if b.rank < under_lo:
+                b.hi, b.inside = lo, under_lo - b.below
+            elif b.rank < upto_lo:
+                b.value = lo
+            elif b.rank < under_hi:
+                b.lo, b.hi, b.below, b.inside = lo, hi, upto_lo, under_hi - upto_lo
+            elif b.rank < upto_hi:
+                b.value = hi
+            else:
+                b.lo, b.below, b.inside = hi, upto_hi, end - upto_hi
 
 
 def _tighten(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Replace each bracket by a narrower one read off a bounded quantile sketch."""
+    """Propose narrower bounds around each rank from a bounded quantile sketch."""
+    bounds = []
     for batch in _batched(brackets, EXPRESSIONS_PER_JOB // 4):
         aggs = []
         for i, b in enumerate(batch):
             centre = (b.rank - b.below + 0.5) / b.inside
             slack = 2.0 / SKETCH_ACCURACY
             probs = [max(0.0, centre - slack), min(1.0, centre + slack)]
-            aggs.append(
-                F.percentile_approx(F.when(_inside(b), F.col(b.column)), probs, SKETCH_ACCURACY).alias(f"q{i}")
-            )
+            aggs.append(F.percentile_approx(F.when(_inside(b), F.col(b.column)), probs, SKETCH_ACCURACY).alias(f"q{i}"))
         row = df.agg(*aggs).first()
-        trial = []
-        for i, b in enumerate(batch):
-            lo, hi = row[f"q{i}"]
-            trial.append(_Bracket(b.column, b.rank, lo, hi))
-        _recount(df, trial)
-        for b, t in zip(batch, trial):
-            if t.below <= b.rank < t.below + t.inside:
-                b.lo, b.hi, b.below, b.inside = t.lo, t.hi, t.below, t.inside
-            else:  # the sketch missed the rank: keep the side of the old bracket that holds it
-                if b.rank < t.below:
-                    b.hi = t.lo
-                else:
-                    b.lo = t.hi
-                _recount(df, [b])
+        bounds += [tuple(row[f"q{i}"]) for i in range(len(batch))]
+    _settle(df, brackets, bounds)
 
 
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Finish brackets that are small enough: count distinct values inside and walk them."""
+    """Finish brackets holding few rows: count distinct values inside and walk them."""
     for batch in _batched(brackets, EXPRESSIONS_PER_JOB // 4):
         tagged = df.select(
             F.explode(
@@ -112,33 +113,27 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
 
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]]) -> dict[str, dict[int, object]]:
     """Exact ``rank``-th smallest non-null value (0-based) of each column, any orderable type
-    the sketch accepts (numbers, dates, timestamps)."""
+    the sketch accepts (numbers, dates, timestamps).  Ranks past the end are left out."""
     limit = max_task_rows(df.sparkSession)
     cols = [c for c, ranks in wanted.items() if ranks]
     if not cols:
         return {}
     df = df.select(*cols)
-    bounds = df.agg(
+    ends = df.agg(
         *[f(c).alias(f"{p}{i}") for i, c in enumerate(cols) for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
-    brackets = []
-    for i, c in enumerate(cols):
-        for r in sorted(set(wanted[c])):
-            if 0 <= r < bounds[f"n{i}"]:
-                brackets.append(_Bracket(c, r, bounds[f"lo{i}"], bounds[f"hi{i}"], 0, bounds[f"n{i}"]))
-    open_ = brackets
-    while open_:
-        for b in open_:
-            if b.lo == b.hi:
-                b.value = b.lo
-        open_ = [b for b in open_ if b.value is None]
+    brackets = [
+        _Bracket(c, r, ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"])
+        for i, c in enumerate(cols)
+        for r in sorted(set(wanted[c]))
+        if 0 <= r < ends[f"n{i}"]
+    ]
+    _settle(df, brackets, [(b.lo, b.hi) for b in brackets])
+    while open_ := [b for b in brackets if b.value is None]:
+        large = [b for b in open_ if b.inside > limit]
         _pick(df, [b for b in open_ if b.inside <= limit])
-        open_ = [b for b in open_ if b.value is None]
-        if open_:
-            before = [(b.lo, b.hi, b.inside) for b in open_]
-            _tighten(df, open_)
-            if before == [(b.lo, b.hi, b.inside) for b in open_]:
-                _pick(df, open_)  # heavy ties: few distinct values remain, already pre-aggregated
+        if large:
+            _tighten(df, large)
     out: dict[str, dict[int, object]] = {c: {} for c in cols}
     for b in brackets:
         out[b.column][b.rank] = b.value
@@ -152,27 +147,32 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
         return {}
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
-    if max(sizes.values()) <= max_task_rows(spark):
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), F.lit(probs)).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: (row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+    limit = max_task_rows(spark)
+    # the built-in aggregate keeps every distinct value of its columns in one task, so it
+    # is used for batches of columns whose values together stay within the limit
+    found: dict[str, list[float | None]] = {}
+    batch: list[str] = []
+    small = [c for c in columns if sizes[c] <= limit]
+    for i, c in enumerate(small):
+        batch.append(c)
+        following = sizes[small[i + 1]] if i + 1 < len(small) else limit
+        if sum(sizes[x] for x in batch) + following > limit:
+            row = df.agg(*[F.percentile(F.col(x).cast("double"), F.lit(probs)).alias(f"q{j}") for j, x in enumerate(batch)]).first()
+            found.update({x: (row[f"q{j}"] or [None] * len(probs)) for j, x in enumerate(batch)})
+            batch = []
+    large = {c: sizes[c] for c in columns if sizes[c] > limit}
     wanted = {}
-    for c, n in sizes.items():
-        positions = [p * (n - 1) for p in probs] if n else []
+    for c, n in large.items():
+        positions = [p * (n - 1) for p in probs]
         wanted[c] = sorted({int(f(x)) for x in positions for f in (math.floor, math.ceil)})
     stats = order_statistics(df, wanted)
-    out = {}
-    for c, n in sizes.items():
-        out[c] = []
+    for c, n in large.items():
+        found[c] = []
         for p in probs:
-            if not n:
-                out[c].append(None)
-                continue
             x = p * (n - 1)
             lo, hi = float(stats[c][math.floor(x)]), float(stats[c][math.ceil(x)])
-            out[c].append(lo + (hi - lo) * (x - math.floor(x)))
-    return out
+            found[c].append(lo + (hi - lo) * (x - math.floor(x)))
+    return {c: found[c] for c in columns}
 
 
 # ---------------------------------------------------------------- cuts by rank
@@ -271,13 +271,16 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "_pos") -> Da
 
 
 def running_totals(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, str]
+    df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, str], is_stored: bool = False
 ) -> DataFrame:
     """Inclusive running sums of ``sums[name]`` per group in ``order``.
 
-    Give it a table already aggregated to one row per (group, order) value.
+    Give it a table already aggregated to one row per (group, order) value; it is written
+    once so that sizing and summing do not repeat the aggregation.
     """
     group, order = list(group), list(order)
+    if not is_stored:
+        df = materialize(df, "totals")
     limit = max_task_rows(df.sparkSession)
     if largest_group(df, group) <= limit:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -298,9 +301,9 @@ def running_totals(
 
 
 def grouped_quantile(counted: DataFrame, group: Sequence[str], value: str, n: str, p: float) -> DataFrame:
-    """Interpolated quantile per group of a value-count table (one row per group and value)."""
+    """Interpolated quantile per group of a stored value-count table (one row per group and value)."""
     group = list(group)
-    walked = running_totals(counted.select(*group, value, n), group, [value], {"_upto": n})
+    walked = running_totals(counted.select(*group, value, n), group, [value], {"_upto": n}, is_stored=True)
     totals = counted.groupBy(*group).agg(F.sum(n).alias("total"))
     x = (F.col("total") - 1) * F.lit(float(p))
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col(n) <= rank)

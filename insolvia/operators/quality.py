@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.contracts import MIN_FISCAL_YEAR, Contract, static_kind_match
 from ..functions.scalars import finite_or_null, is_infinite, melt, numeric_columns, rounded_even, to_number, to_time
+from ..session import materialize
 from .order import grouped_quantile, over_sequence, quantiles
 
 # Weights of the quality components and the grade cut-offs.
@@ -397,8 +398,9 @@ def series_gaps(df: DataFrame, entity: str, time: str, factor: float = 3.0) -> D
         seconds = F.col("t").cast("double")
     times = times.select("entity", seconds.alias("t"))
     steps = over_sequence(times, ["entity"], ["t"], 1, lambda w: {"step": F.col("t") - F.lag("t").over(w)})
-    counted = (
-        steps.filter(F.col("step").isNotNull()).groupBy("entity", F.round("step", 6).alias("step")).agg(F.count("*").alias("n"))
+    counted = materialize(
+        steps.filter(F.col("step").isNotNull()).groupBy("entity", F.round("step", 6).alias("step")).agg(F.count("*").alias("n")),
+        "steps",
     )
     median = grouped_quantile(counted, ["entity"], "step", "n", 0.5).select("entity", "total", F.col("quantile").alias("median"))
     return (

@@ -6,10 +6,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category_of, melt
+from ..session import materialize
 from .order import EXPRESSIONS_PER_JOB, _batched, quantiles, running_totals
 from .profile import value_counts
 
@@ -22,38 +25,46 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle (feature_a, feature_b, r).  All pairs share scans: one job per
-    batch of expressions, never one per pair."""
-    pairs = list(itertools.combinations(columns, 2))
-    out = None
-    for batch in _batched(pairs, max(1, EXPRESSIONS_PER_JOB // 6)):
-        row = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        part = row.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(batch)])
-            ).alias("s")
-        ).select("s.*")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """k x k Pearson matrix on the driver (bounded by the column count), NaN for constants."""
-    k = len(columns)
-    at = {c: i for i, c in enumerate(columns)}
+    """k x k Pearson matrix on the driver (bounded by the column count), NaN for constants.
+
+    Tables without gaps take one pass of cross products, however many columns there are.
+    With gaps every pair has its own set of complete rows; those pairs are batched into a
+    few wide aggregates.
+    """
+    cols = list(columns)
+    k = len(cols)
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    ends = df.agg(
+        F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)], *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]
+    ).first()
+    varies = [i for i in range(k) if ends[f"v{i}"]]
     m = np.full((k, k), np.nan)
-    for row in correlation_pairs(df, columns).collect():
-        if row["r"] is not None:
-            i, j = at[row["feature_a"]], at[row["feature_b"]]
-            m[i, j] = m[j, i] = row["r"]
-    ends = df.agg(*[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-    for i in range(k):
-        if ends[f"v{i}"]:
-            m[i, i] = 1.0
+    for i in varies:
+        m[i, i] = 1.0
+    whole = [i for i in varies if ends[f"c{i}"] == ends["n"]]
+    if len(whole) > 8:
+        vec = VectorAssembler(inputCols=[cols[i] for i in whole], outputCol="v").transform(df).select("v")
+        m[np.ix_(whole, whole)] = Correlation.corr(vec, "v").first()[0].toArray()
+        done = set(whole)
+    else:
+        done = set()
+    pairs = [(i, j) for i, j in itertools.combinations(varies, 2) if not (i in done and j in done)]
+    for batch in _batched(pairs, EXPRESSIONS_PER_JOB // 6):
+        row = df.agg(*[correlation(F.col(cols[i]), F.col(cols[j])).alias(f"r{p}") for p, (i, j) in enumerate(batch)]).first()
+        for p, (i, j) in enumerate(batch):
+            if row[f"r{p}"] is not None:
+                m[i, j] = m[j, i] = row[f"r{p}"]
     return m
 
 
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Upper triangle (feature_a, feature_b, r); null for constants."""
+    m = correlation_matrix(df, columns)
+    rows = [(columns[i], columns[j], None if math.isnan(m[i, j]) else float(m[i, j])) for i, j in itertools.combinations(range(len(columns)), 2)]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+
+
 def matrix_table(df: DataFrame, columns: Sequence[str], m: np.ndarray) -> DataFrame:
     rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
@@ -75,7 +86,7 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     ranks = average_ranks(df, key, columns).groupBy(key).pivot("feature", list(columns)).agg(F.first("rank"))
-    return pearson(ranks, columns)
+    return pearson(materialize(ranks, "ranks"), columns)
 
 
 def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> DataFrame:
@@ -90,19 +101,21 @@ def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> Da
     freq = value_counts(df, cols)
     dense = running_totals(freq.withColumn("one", F.lit(1)), ["feature"], ["value"], {"rank": "one"})
     dense = dense.select("feature", F.col("value").alias("x"), "rank")
+    dense = materialize(dense, "dense")
     top = dense.agg(F.max("rank")).first()[0] or 1
     bits = int(top).bit_length()
     structs = [
         F.struct(F.lit(a).alias("feature"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
         for a, b in itertools.combinations(cols, 2)
     ]
-    points = (
+    points = materialize(
         df.select(*cols)
         .select(F.explode(F.array(*structs)).alias("s"))
         .select("s.*")
         .dropna()
         .groupBy("feature", "feature_b", "x", "y")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "points",
     )
     pair = ["feature", "feature_b"]
     levels = points.join(dense, ["feature", "x"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
@@ -202,12 +215,14 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str], bins:
     return joined.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
-def rank_auc(freq: DataFrame, group: Sequence[str], value: str = "value", n: str = "n", pos: str = "pos") -> DataFrame:
+def rank_auc(
+    freq: DataFrame, group: Sequence[str], value: str = "value", n: str = "n", pos: str = "pos", is_stored: bool = False
+) -> DataFrame:
     """AUC per group from value counts: every positive beats the negatives below it and
     half of those tied with it."""
     group = list(group)
     freq = freq.withColumn("_neg", F.col(n) - F.col(pos))
-    swept = running_totals(freq, group, [value], {"_upto": "_neg"})
+    swept = running_totals(freq, group, [value], {"_upto": "_neg"}, is_stored)
     wins = F.col(pos).cast("double") * (F.col("_upto") - F.col("_neg") / 2.0)
     agg = swept.groupBy(*group) if group else swept.groupBy()
     out = agg.agg(F.sum(wins).alias("_w"), F.sum(pos).cast("double").alias("_p"), F.sum("_neg").cast("double").alias("_n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_collect
+from ..session import bounded_collect, materialize
 from .order import bucket_by_cuts, cut_at, hash_uniform
 
 
@@ -25,12 +25,17 @@ def quota(n: int, share: float) -> int:
 
 
 def _by_class(df: DataFrame, label: str, order: Sequence[str], sizes_of, column: str, names: Sequence):
-    """Cut every class separately at the ranks ``sizes_of(n)`` and name the pieces."""
-    classes = bounded_collect(df.groupBy(label).count())
+    """Cut every class separately at the ranks ``sizes_of(n)`` and name the pieces.
+
+    The boundary search makes several passes, so it runs over a stored copy of the label
+    and order columns only; the rows themselves get their piece by a plain expression.
+    """
+    narrow = materialize(df.select(label, *order), "ranks")
+    classes = bounded_collect(narrow.groupBy(label).count())
     expr = F.lit(None)
     for row in classes:
         member = F.col(label).eqNullSafe(F.lit(row[label]))
-        cuts = cut_at(df.filter(member), order, sizes_of(row["count"]))
+        cuts = cut_at(narrow.filter(member), order, sizes_of(row["count"]))
         piece = F.element_at(F.array(*[F.lit(x) for x in names]), bucket_by_cuts(cuts) + 1)
         expr = F.when(member, piece).otherwise(expr)
     return df.withColumn(column, expr)
