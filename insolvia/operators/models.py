@@ -28,6 +28,7 @@ from .neighbors import knn_probability
 from .prepare import apply_scale, enforce_features, fit_scale
 from .relations import correlation_matrix, rank_auc
 from .scoring import linear_contributions
+from .wide import feature_numbers
 
 # Default parameters per algorithm.
 DEFAULTS: dict[str, dict] = {
@@ -247,18 +248,17 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int | None = None, varianc
     ratio = model.explainedVariance.toArray()
     if k is None:
         k = len(cols) if variance is None else min(int(np.searchsorted(np.cumsum(ratio), variance, side="right")) + 1, len(cols))
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {"kind": "pca", "columns": cols, "components": model.pc.toArray()[:, :k], "ratio": ratio, "shift": [row[f"m{i}"] for i in range(len(cols))]}
+    means = feature_numbers(df, cols, {"m": F.avg})
+    return {"kind": "pca", "columns": cols, "components": model.pc.toArray()[:, :k], "ratio": ratio, "shift": [means[c]["m"] for c in cols]}
 
 
 def second_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, column means and covariance (population); only k x k values leave the executors."""
     cols = list(columns)
-    row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([row[f"m{i}"] for i in range(len(cols))])
-    dev = np.array([row[f"s{i}"] for i in range(len(cols))])
+    stats = feature_numbers(df, cols, {"m": F.avg, "s": F.stddev_pop})
+    mean, dev = (np.array([stats[c][k] for c in cols]) for k in ("m", "s"))
     r = np.nan_to_num(correlation_matrix(df, cols), nan=0.0)
-    return row["n"], mean, r * np.outer(dev, dev)
+    return df.count(), mean, r * np.outer(dev, dev)
 
 
 def fit_svd(df: DataFrame, columns: Sequence[str], k: int | None = None, variance: float = 0.95) -> dict:

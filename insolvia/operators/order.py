@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import melt
 from ..session import largest_group, materialize, max_task_rows, shuffle_partitions
 
 SKETCH_ACCURACY = 10_000
@@ -148,18 +149,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
     limit = max_task_rows(spark)
-    # the built-in aggregate keeps every distinct value of its columns in one task, so it
-    # is used for batches of columns whose values together stay within the limit
-    found: dict[str, list[float | None]] = {}
-    batch: list[str] = []
-    small = [c for c in columns if sizes[c] <= limit]
-    for i, c in enumerate(small):
-        batch.append(c)
-        following = sizes[small[i + 1]] if i + 1 < len(small) else limit
-        if sum(sizes[x] for x in batch) + following > limit:
-            row = df.agg(*[F.percentile(F.col(x).cast("double"), F.lit(probs)).alias(f"q{j}") for j, x in enumerate(batch)]).first()
-            found.update({x: (row[f"q{j}"] or [None] * len(probs)) for j, x in enumerate(batch)})
-            batch = []
+    # the built-in aggregate buffers the distinct values of a group, and each column is its
+    # own group of at most ``limit`` values, so the buffers spread over the reduce tasks
+    small = [c for c in columns if 0 < sizes[c] <= limit]
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if small:
+        long = melt(df, small).filter(F.col("value").isNotNull())
+        for row in long.groupBy("feature").agg(F.percentile("value", F.lit(probs)).alias("q")).collect():
+            found[row["feature"]] = list(row["q"])
     large = {c: sizes[c] for c in columns if sizes[c] > limit}
     wanted = {}
     for c, n in large.items():

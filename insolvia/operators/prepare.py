@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import NULL_TOKENS, clean_text, clipped, finite_or_null, is_infinite, numeric_columns, text_columns, to_time
 from ..session import bounded_collect
 from .order import quantiles
+from .wide import feature_numbers
 
 # Fixed value: text columns with more categories than this are not encoded.
 MAX_CARDINALITY = 50
@@ -93,10 +94,9 @@ def fit_clip(df: DataFrame, columns: Sequence[str], method: str = "winsorize", l
     elif method == "iqr_clip":
         bounds = {c: (None, None) if a is None else (a - multiplier * (b - a), b + multiplier * (b - a)) for c, (a, b) in quantiles(df, cols, [0.25, 0.75]).items()}
     elif method == "zscore_clip":
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
         bounds = {}
-        for i, c in enumerate(cols):
-            m, s = row[f"m{i}"], row[f"s{i}"] or 1.0
+        for c, v in feature_numbers(df, cols, {"m": F.avg, "s": F.stddev_samp}).items():
+            m, s = v["m"], v["s"] or 1.0
             bounds[c] = (None, None) if m is None else (m - z * s, m + z * s)
     else:
         raise ValueError(f"unknown clip method {method}")
@@ -109,11 +109,8 @@ def apply_clip(df: DataFrame, fitted: dict) -> DataFrame:
 
 def fit_zscore_filter(df: DataFrame, columns: Sequence[str], threshold: float = 5.0) -> dict:
     cols = list(columns)
-    row = df.agg(
-        *[F.avg(finite_or_null(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(finite_or_null(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    return {"threshold": threshold, "stats": {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}}
+    found = feature_numbers(df, cols, {"m": lambda x: F.avg(finite_or_null(x)), "s": lambda x: F.stddev_pop(finite_or_null(x))})
+    return {"threshold": threshold, "stats": {c: (v["m"], v["s"]) for c, v in found.items()}}
 
 
 def apply_zscore_filter(df: DataFrame, fitted: dict, train: str | None = "train", split: str = "split") -> DataFrame:
@@ -172,10 +169,9 @@ def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard", f
         stats = {c: (q[1], (q[2] - q[0]) or 1.0, 0.0) for c, q in quantiles(df, cols, [0.25, 0.5, 0.75]).items() if q[1] is not None}
         return {"method": method, "stats": stats}
     a, b = (F.avg, F.stddev_pop) if method == "standard" else (F.min, F.max)
-    row = df.agg(*[a(c).alias(f"a{i}") for i, c in enumerate(cols)], *[b(c).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     stats = {}
-    for i, c in enumerate(cols):
-        x, y = row[f"a{i}"], row[f"b{i}"]
+    for c, v in feature_numbers(df, cols, {"a": a, "b": b}).items():
+        x, y = v["a"], v["b"]
         if x is None:
             continue
         if method == "standard":

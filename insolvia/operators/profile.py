@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import binned, category_of, melt, numeric_columns, rounded_even
 from .order import quantiles
-from .quality import _long_from_wide, iqr_fences, missing_counts
+from .quality import iqr_fences, missing_counts
+from .wide import feature_numbers, per_feature
 
 # Percentiles of the descriptive table.
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -69,14 +70,7 @@ def smallest_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def shape_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Biased skewness and excess kurtosis; 0 for constants and for two values or fewer."""
-    row = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
-        *[F.skewness(c).alias(f"sk{i}") for i, c in enumerate(columns)],
-        *[F.kurtosis(c).alias(f"ku{i}") for i, c in enumerate(columns)],
-    )
-    long = _long_from_wide(row, columns, {"n": "n", "lo": "lo", "hi": "hi", "sk": "sk", "ku": "ku"})
+    long = per_feature(df, columns, {"n": F.count, "lo": F.min, "hi": F.max, "sk": F.skewness, "ku": F.kurtosis})
     varies = (F.col("n") > 2) & (F.col("lo") < F.col("hi"))
     return long.select(
         "feature",
@@ -95,14 +89,7 @@ def descriptive_statistics(df: DataFrame, columns: Sequence[str], percentiles: S
         [(c, *[None if v is None else float(v) for v in q[c]]) for c in cols],
         "feature string, " + ", ".join(f"{n} double" for n in names),
     )
-    row = df.agg(
-        *[
-            f(F.col(c).cast("double")).alias(f"{p}{i}")
-            for i, c in enumerate(cols)
-            for p, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("var", F.var_samp), ("lo", F.min), ("hi", F.max))
-        ]
-    )
-    moments = _long_from_wide(row, cols, {"count": "n", "mean": "mean", "std": "sd", "variance": "var", "min": "lo", "max": "hi"})
+    moments = per_feature(df, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max})
     # every side has one row per column of the input, so the joins are broadcast
     return (
         moments.join(F.broadcast(quant), "feature")
@@ -127,22 +114,20 @@ def outlier_table(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5
     """Fence and z-score counts per column over all rows (sample deviation, |z| >= limit)."""
     cols = list(columns)
     fences = iqr_fences(df, cols, multiplier)
-    cols = [c for c in cols if c in fences]
-    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(cols):
-        lo, hi, _ = fences[c]
-        sd = stats[f"s{i}"]
-        aggs.append(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"i{i}"))
-        aggs.append((F.count_if(F.abs((F.col(c) - stats[f"m{i}"]) / sd) >= z) if sd else F.count_if(F.lit(False))).alias(f"z{i}"))
-        aggs += [F.lit(lo).alias(f"lo{i}"), F.lit(hi).alias(f"hi{i}")]
-    row = df.agg(*aggs)
-    structs = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"i{i}").alias("iqr_outliers"), F.col(f"z{i}").alias("zscore_outliers"),
-                 F.col(f"lo{i}").alias("lower_fence"), F.col(f"hi{i}").alias("upper_fence"))
-        for i, c in enumerate(cols)
-    ]
-    long = row.select("n", F.explode(F.array(*structs)).alias("s")).select("n", "s.*")
+    stats = feature_numbers(df, cols, {"m": F.avg, "s": F.stddev_samp})
+    # a constant column gets an infinite deviation, hence no z-score outliers
+    k = {c: {"lo": fences[c][0], "hi": fences[c][1], "m": stats[c]["m"], "s": stats[c]["s"] or float("inf")} for c in cols if c in fences}
+    n = df.count()
+    long = per_feature(
+        df, list(k),
+        {
+            "iqr_outliers": lambda x, k: F.count_if((x < k["lo"]) | (x > k["hi"])),
+            "zscore_outliers": lambda x, k: F.count_if(F.abs((x - k["m"]) / k["s"]) >= z),
+            "lower_fence": lambda x, k: F.max(k["lo"]),
+            "upper_fence": lambda x, k: F.max(k["hi"]),
+        },
+        constants=k,
+    ).withColumn("n", F.lit(float(max(n, 1))))
     return long.select(
         "feature", "iqr_outliers", rounded_even(F.col("iqr_outliers") * 100.0 / F.col("n"), 4).alias("iqr_outlier_pct"),
         "zscore_outliers", rounded_even(F.col("zscore_outliers") * 100.0 / F.col("n"), 4).alias("zscore_outlier_pct"),
@@ -163,16 +148,11 @@ def distribution_shape(df: DataFrame, columns: Sequence[str], skew: float = 1.0,
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bin counts per column, empty bins included."""
     cols = list(columns)
-    ends = df.agg(*[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(cols)], *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-    pieces = [
-        F.struct(F.lit(c).alias("feature"), binned(F.col(c).cast("double"), F.lit(ends[f"lo{i}"]), F.lit(ends[f"hi{i}"]), bins).alias("bin"))
-        for i, c in enumerate(cols)
-        if ends[f"lo{i}"] is not None
-    ]
-    present = [
-        F.when(F.col(c).isNotNull(), p) for c, p in zip([c for i, c in enumerate(cols) if ends[f"lo{i}"] is not None], pieces)
-    ]
-    counted = df.select(F.explode(F.array_compact(F.array(*present))).alias("s")).groupBy("s.feature", "s.bin").agg(F.count("*").alias("n"))
+    ends = df.sparkSession.createDataFrame(
+        [(c, v["lo"], v["hi"]) for c, v in feature_numbers(df, cols, {"lo": F.min, "hi": F.max}).items()], "feature string, lo double, hi double"
+    )
+    cells = melt(df, cols).filter(F.col("value").isNotNull()).join(F.broadcast(ends), "feature")  # one row per column
+    counted = cells.groupBy("feature", binned(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
     grid = df.sparkSession.createDataFrame([(c, b) for c in cols for b in range(bins)], "feature string, bin int")
     return grid.join(counted, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -17,6 +17,7 @@ from ..functions.contracts import MIN_FISCAL_YEAR, Contract, static_kind_match
 from ..functions.scalars import finite_or_null, is_infinite, melt, numeric_columns, rounded_even, to_number, to_time
 from ..session import materialize
 from .order import grouped_quantile, over_sequence, quantiles
+from .wide import feature_numbers, per_feature
 
 # Weights of the quality components and the grade cut-offs.
 QUALITY_WEIGHTS = {"schema": 0.20, "completeness": 0.25, "uniqueness": 0.15, "validity": 0.25, "timeliness": 0.15}
@@ -147,10 +148,10 @@ def outlier_columns(df: DataFrame, contract: Contract | None = None, min_distinc
     if not cols:
         return []
     # a bounded set per column: distinctness is only tested up to min_distinct
-    row = df.agg(*[F.approx_count_distinct(finite_or_null(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    rough = feature_numbers(df, cols, {"d": lambda x: F.approx_count_distinct(finite_or_null(x))})
     keep = []
-    for i, c in enumerate(cols):
-        if row[f"d{i}"] >= 4 * min_distinct:
+    for c in cols:
+        if (rough[c]["d"] or 0) >= 4 * min_distinct:
             keep.append(c)
         elif df.select(finite_or_null(c).alias("v")).dropna().distinct().limit(min_distinct).count() >= min_distinct:
             keep.append(c)
@@ -183,36 +184,23 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5,
     """Share of non-null values outside the fences; columns with too few values or a zero
     range are left out."""
     df = finite_frame(df, columns)
-    fences = {c: f for c, f in iqr_fences(df, columns, multiplier).items() if f[2] > 0}
-    cols = list(fences)
-    if not cols:
+    fences = {c: {"lo": f[0], "hi": f[1]} for c, f in iqr_fences(df, columns, multiplier).items() if f[2] > 0}
+    if not fences:
         return df.sparkSession.createDataFrame([], "feature string, pct double")
-    row = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.avg(((F.col(c) < fences[c][0]) | (F.col(c) > fences[c][1])).cast("double")).alias(f"p{i}") for i, c in enumerate(cols)],
-    )
-    long = _long_from_wide(row, cols, {"n": "n", "pct": "p"})
-    return long.filter(F.col("n") >= min_rows).select("feature", rounded_even("pct", 4).alias("pct"))
+    outside = lambda x, k: F.avg(((x < k["lo"]) | (x > k["hi"])).cast("double"))
+    out = per_feature(df, list(fences), {"n": lambda x, k: F.count(x), "pct": outside}, constants=fences)
+    return out.filter(F.col("n") >= min_rows).select("feature", rounded_even("pct", 4).alias("pct"))
 
 
 def zscore_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 3.0, min_rows: int = 20) -> DataFrame:
     """Share of non-null values with |z| above the threshold (population deviation)."""
     df = finite_frame(df, columns)
-    stats = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    cols = [(i, c) for i, c in enumerate(columns) if stats[f"n{i}"] >= min_rows and (stats[f"s{i}"] or 0) > 0]
-    if not cols:
+    stats = feature_numbers(df, columns, {"n": F.count, "m": F.avg, "s": F.stddev_pop})
+    usable = {c: {"m": v["m"], "s": v["s"]} for c, v in stats.items() if (v["n"] or 0) >= min_rows and (v["s"] or 0) > 0}
+    if not usable:
         return df.sparkSession.createDataFrame([], "feature string, pct double")
-    row = df.agg(
-        *[
-            F.avg((F.abs(F.col(c) - stats[f"m{i}"]) / stats[f"s{i}"] > threshold).cast("double")).alias(f"p{j}")
-            for j, (i, c) in enumerate(cols)
-        ]
-    )
-    return _long_from_wide(row, [c for _, c in cols], {"pct": "p"}).select("feature", rounded_even("pct", 4).alias("pct"))
+    far = lambda x, k: F.avg((F.abs(x - k["m"]) / k["s"] > threshold).cast("double"))
+    return per_feature(df, list(usable), {"pct": far}, constants=usable).select("feature", rounded_even("pct", 4).alias("pct"))
 
 
 def far_out_columns(df: DataFrame, columns: Sequence[str], max_share: float = 0.20) -> DataFrame:

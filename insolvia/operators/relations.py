@@ -15,6 +15,7 @@ from ..functions.scalars import category_of, melt
 from ..session import materialize
 from .order import EXPRESSIONS_PER_JOB, _batched, quantiles, running_totals
 from .profile import value_counts
+from .wide import feature_numbers, per_feature
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -35,14 +36,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     cols = list(columns)
     k = len(cols)
     df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ends = df.agg(
-        F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)], *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]
-    ).first()
-    varies = [i for i in range(k) if ends[f"v{i}"]]
+    n = df.count()
+    ends = feature_numbers(df, cols, {"n": F.count, "lo": F.min, "hi": F.max})
+    varies = [i for i, c in enumerate(cols) if ends[c]["n"] and ends[c]["lo"] < ends[c]["hi"]]
     m = np.full((k, k), np.nan)
     for i in varies:
         m[i, i] = 1.0
-    whole = [i for i in varies if ends[f"c{i}"] == ends["n"]]
+    whole = [i for i in varies if ends[cols[i]]["n"] == n]
     if len(whole) > 8:
         vec = VectorAssembler(inputCols=[cols[i] for i in whole], outputCol="v").transform(df).select("v")
         m[np.ix_(whole, whole)] = Correlation.corr(vec, "v").first()[0].toArray()
@@ -154,19 +154,13 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- against the target
 def class_moments(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """Per feature: count, mean, variance, sum in each class of a 0/1 target, one scan."""
-    aggs, names = [], ("n", "avg", "var", "sum", "min")
-    fns = (F.count, F.avg, F.var_samp, F.sum, F.min)
-    for i, c in enumerate(columns):
-        for y in (0, 1):
-            x = F.when(F.col(target) == y, F.col(c).cast("double"))
-            aggs += [f(x).alias(f"{n}{y}_{i}") for n, f in zip(names, fns)]
-    row = df.agg(*aggs)
-    structs = [
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}{y}_{i}").alias(f"{n}{y}") for n in names for y in (0, 1)])
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    """Per feature: n, avg, var, sum, min in each class (suffix 0 or 1) of a 0/1 target, one scan."""
+    names = ("n", "avg", "var", "sum", "min")
+    aggs = dict(zip(names, (F.count, F.avg, F.var_samp, F.sum, F.min)))
+    per_class = per_feature(df.filter(F.col(target).isin(0, 1)), columns, aggs, by=[target])
+    return per_class.groupBy("feature").agg(
+        *[F.coalesce(F.max(F.when(F.col(target) == y, F.col(n))), F.lit(0) if n == "n" else F.lit(None)).alias(f"{n}{y}") for n in names for y in (0, 1)]
+    )
 
 
 def cohens_d(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
@@ -186,6 +180,9 @@ def category_strength(discrimination: DataFrame) -> DataFrame:
 
 def correlation_with(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Point-biserial r per feature, 0 for constants."""
+    if len(columns) > 8:
+        long = melt(df, columns, keep=[target])
+        return long.groupBy("feature").agg(F.coalesce(correlation(F.col("value"), F.col(target)), F.lit(0.0)).alias("r"))
     row = df.agg(*[F.coalesce(correlation(F.col(c), F.col(target)), F.lit(0.0)).alias(f"r{i}") for i, c in enumerate(columns)])
     return row.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)])).alias("s")
@@ -198,14 +195,10 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str], bins:
     The estimator is binned, not nearest-neighbour: exact quantile edges, then counts.
     """
     edges = quantiles(df, columns, [i / bins for i in range(1, bins)])
-    pieces = []
-    for c in columns:
-        inner = sorted({e for e in edges[c] if e is not None})
-        b = F.lit(0)
-        for e in inner:
-            b = b + F.when(F.col(c) > F.lit(e), 1).otherwise(0)
-        pieces.append(F.struct(F.lit(c).alias("feature"), b.alias("bin"), F.col(target).alias("y")))
-    cells = df.select(F.explode(F.array(*pieces)).alias("s")).select("s.*").groupBy("feature", "bin", "y").agg(F.count("*").cast("double").alias("n"))
+    table = df.sparkSession.createDataFrame([(c, sorted({e for e in edges[c] if e is not None})) for c in columns], "feature string, edges array<double>")
+    long = melt(df, columns, keep=[target]).filter(F.col("value").isNotNull()).join(F.broadcast(table), "feature")  # one row per column
+    b = F.size(F.filter("edges", lambda e: F.col("value") > e))
+    cells = long.groupBy("feature", b.alias("bin"), F.col(target).alias("y")).agg(F.count("*").cast("double").alias("n"))
     # the cell table has at most features x bins x classes rows
     total = cells.groupBy("feature").agg(F.sum("n").alias("t"))
     by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
