@@ -92,6 +92,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], seq: str, keep: str = "last") -
     map-side, so a key that repeats a billion times costs one row per task."""
     pick = F.max_by if keep == "last" else F.min_by
     others = [c for c in df.columns if c not in keys]
+    if others == [seq]:  # nothing else to carry along: a plain hash aggregate will do
+        return df.groupBy(*keys).agg((F.max if keep == "last" else F.min)(seq).alias(seq)).select(*df.columns)
     packed = df.groupBy(*keys).agg(pick(F.struct(*others), F.col(seq)).alias("_r"))
     return packed.select(*keys, "_r.*").select(*df.columns)
 

@@ -56,7 +56,37 @@ def _totals(spark, sf):
     return flows.lineage_totals(trail.table(spark))
 
 
-@query("prepared_table")
+def _chain(step: str, source: str, expr) -> str:
+    """One fitted step over all feature columns: statistics from the train rows of ``source``."""
+    return f"{step} AS MATERIALIZED (SELECT entity_id, split, segment, {', '.join(f'{expr(c)} AS {c}' for c in FEATURES)} FROM {source})"
+
+
+def _train(fn: str, source: str) -> str:
+    return f"(SELECT {fn} FROM {source} WHERE split = 'train')"
+
+
+PREPARED = [
+    MESSY,
+    """uniq AS (SELECT DISTINCT entity_id, segment, n_orders, gross, qty, avg_disc, return_rate, target FROM kept)""",
+    """cut AS MATERIALIZED (SELECT *, CASE WHEN rn <= floor(n * 0.15 + 0.5) THEN 'test' WHEN rn <= 2 * floor(n * 0.15 + 0.5) THEN 'val' ELSE 'train' END AS split FROM (
+      SELECT *, COUNT(*) OVER (PARTITION BY target) AS n, ROW_NUMBER() OVER (PARTITION BY target ORDER BY CAST('0x' || substr(md5('42:' || CAST(entity_id AS VARCHAR)), 1, 8) AS BIGINT), entity_id) AS rn FROM uniq))""",
+    _chain("filled", "cut", lambda c: f"coalesce({c}, {_train(f'quantile_cont({c}, 0.5)', 'cut')})"),
+    _chain("bounded", "filled", lambda c: f"least(greatest({c}, {_train(f'quantile_cont({c}, 0.01)', 'filled')}), {_train(f'quantile_cont({c}, 0.99)', 'filled')})"),
+    """coded AS MATERIALIZED (SELECT b.*, CAST(coalesce(v.code, -1) AS DOUBLE) AS seg FROM (SELECT *, coalesce(segment, (SELECT segment FROM cut WHERE split = 'train' AND segment IS NOT NULL GROUP BY segment ORDER BY COUNT(*) DESC, segment LIMIT 1)) AS s FROM bounded) b
+      LEFT JOIN (SELECT segment, ROW_NUMBER() OVER (ORDER BY segment) - 1 AS code FROM (SELECT DISTINCT segment FROM cut WHERE split = 'train' AND segment IS NOT NULL)) v ON b.s = v.segment)""",
+]
+
+
+def _robust(c: str, out: str) -> str:
+    q = lambda p: _train(f"quantile_cont({c}, {p})", "coded")
+    spread = f"CASE WHEN {q(0.75)} = {q(0.25)} THEN 1 ELSE {q(0.75)} - {q(0.25)} END"
+    return f"{r(f'({c} - {q(0.5)}) / ({spread})')} AS {out}"
+
+
+@query(
+    "prepared_table",
+    sql_with(*PREPARED, body=f"SELECT entity_id, split, {', '.join(_robust(c, c) for c in FEATURES)}, {_robust('seg', 'segment')} FROM coded"),
+)
 def _prepared(spark, sf):
     out, _, _ = flows.prepare(messy_firms(spark, sf), "target", "entity_id", "seq", encode="ordinal", scale="robust")
     return out.select("entity_id", "split", *[rounded(c).alias(c) for c in FEATURES + ["segment"]])
@@ -129,7 +159,7 @@ def _features(spark, sf):
     return lineage
 
 
-@query("engineered_features")
+@query("engineered_features", sql_with(FIRMS, body="SELECT entity_id, target, split FROM firms"))
 def _engineered(spark, sf):
     out, _, _ = flows.engineer(scaled_firms(spark, sf), "target", ["entity_id"], components=False)
     return out.select("entity_id", "target", "split")

@@ -138,6 +138,29 @@ def _projection(spark, sf):
     return out.select("entity_id", "target", rounded("pca__1", 4).alias("pc1"), rounded("pca__2", 4).alias("pc2"))
 
 
+TWO = ["gross", "avg_disc"]
+Z = "z AS (SELECT entity_id, (gross - AVG(gross) OVER ()) / stddev_pop(gross) OVER () AS a, (avg_disc - AVG(avg_disc) OVER ()) / stddev_pop(avg_disc) OVER () AS b FROM firms), c AS (SELECT corr(a, b) AS r FROM z)"
+
+
+@query(
+    "pca_variance_of_two",
+    sql_with(FIRMS, Z, body=f"SELECT 'PC1' AS component, {r('(1 + abs(r)) / 2')} AS explained_variance_ratio, {r('(1 + abs(r)) / 2')} AS cumulative_variance FROM c UNION ALL SELECT 'PC2', {r('(1 - abs(r)) / 2')}, 1.0::DOUBLE FROM c"),
+)
+def _two_variance(spark, sf):
+    out = md.explained_variance(t.firms(spark, sf), TWO)[0]
+    return out.withColumns({c: rounded(c) for c in ("explained_variance_ratio", "cumulative_variance")})
+
+
+@query(
+    "pca_scores_of_two",
+    sql_with(FIRMS, Z, body=f"SELECT entity_id, {r('abs(a + sign(r) * b) / sqrt(2)', 4)} AS pc1, {r('abs(a - sign(r) * b) / sqrt(2)', 4)} AS pc2 FROM z, c"),
+)
+def _two_scores(spark, sf):
+    # a component's sign is arbitrary, so magnitudes are compared
+    out = md.standardised_projection(t.firms(spark, sf), TWO, 2)
+    return out.select("entity_id", rounded(F.abs("pca__1"), 4).alias("pc1"), rounded(F.abs("pca__2"), 4).alias("pc2"))
+
+
 @query("pca_features")
 def _pca(spark, sf):
     df = scaled_firms(spark, sf)

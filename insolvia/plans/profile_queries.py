@@ -193,9 +193,16 @@ def _high(spark, sf):
     return rel.high_pairs(rel.correlation_pairs(t.firms(spark, sf), FEATURES), 0.8).withColumn("r", rounded("r"))
 
 
-@query("variance_inflation")
+@query(
+    "variance_inflation",
+    sql_with(
+        FIRMS, "c AS (SELECT corr(gross, qty) AS ab, corr(gross, avg_disc) AS ac, corr(qty, avg_disc) AS bc FROM firms)",
+        "d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)",
+        body=" UNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'(1 - {x} * {x}) / det', 4)} AS vif FROM d" for f, x in (("gross", "bc"), ("qty", "ac"), ("avg_disc", "ab"))),
+    ),
+)
 def _vif(spark, sf):
-    return rel.variance_inflation(t.firms(spark, sf), FEATURES).withColumn("vif", rounded("vif", 4))
+    return rel.variance_inflation(t.firms(spark, sf), ["gross", "qty", "avg_disc"]).withColumn("vif", rounded("vif", 4))
 
 
 @query(
