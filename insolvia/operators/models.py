@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import melt
+from ..session import bounded_collect
 from . import metrics as mt
 from .augment import with_partner
 from .neighbors import knn_probability
@@ -68,7 +69,7 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 def with_class_weight(df: DataFrame, target: str, scheme: str = "balanced") -> DataFrame:
     """Row weight ``_w``: balanced per class, or negative/positive on the positives only."""
-    counts = {r[target]: r["count"] for r in df.groupBy(target).count().collect()}  # two classes
+    counts = {r[target]: r["count"] for r in bounded_collect(df.groupBy(target).count(), 100)}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     total = pos + neg
     if scheme == "balanced":

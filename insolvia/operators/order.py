@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import melt
 from ..session import largest_group, materialize, max_task_rows, shuffle_partitions
+from .skew import join_to_keys
 
 SKETCH_ACCURACY = 10_000
 EXPRESSIONS_PER_JOB = 240
+MANY_RANKS = 64
 
 
 # ---------------------------------------------------------------- ranks and quantiles
@@ -112,6 +114,16 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
             batch[row["bid"]].value = row["v"]
 
 
+def _walk(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, object]:
+    """Many ranks of one column at once: one ordered pass over its value counts."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    wanted = F.array(*[F.lit(int(r)).cast("bigint") for r in sorted(set(ranks))])
+    before = F.col("upto") - F.col("n")
+    hit = F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= before))
+    rows = running_totals(counts, [], [column], {"upto": "n"}).select(column, hit.alias("hit")).filter(F.size("hit") > 0)
+    return {r: row[column] for row in rows.collect() for r in row["hit"]}  # at most one row per rank
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]]) -> dict[str, dict[int, object]]:
     """Exact ``rank``-th smallest non-null value (0-based) of each column, any orderable type
     the sketch accepts (numbers, dates, timestamps).  Ranks past the end are left out."""
@@ -120,6 +132,10 @@ def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]]) -> dict[st
     if not cols:
         return {}
     df = df.select(*cols)
+    many = {c: wanted[c] for c in cols if len(set(wanted[c])) > MANY_RANKS}
+    if many:
+        out = {c: _walk(df, c, ranks) for c, ranks in many.items()}
+        return {**out, **order_statistics(df, {c: wanted[c] for c in cols if c not in many})}
     ends = df.agg(
         *[f(c).alias(f"{p}{i}") for i, c in enumerate(cols) for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
@@ -301,19 +317,20 @@ def grouped_quantile(counted: DataFrame, group: Sequence[str], value: str, n: st
     """Interpolated quantile per group of a stored value-count table (one row per group and value)."""
     group = list(group)
     walked = running_totals(counted.select(*group, value, n), group, [value], {"_upto": n}, is_stored=True)
-    totals = counted.groupBy(*group).agg(F.sum(n).alias("total"))
+    totals = counted.groupBy(*group).agg(F.sum(n).alias("total"), F.count("*").alias("_rows"))
     x = (F.col("total") - 1) * F.lit(float(p))
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col(n) <= rank)
     picked = (
-        walked.join(totals, group)
+        join_to_keys(walked, totals, group, "_rows")
         .groupBy(*group)
         .agg(
             F.max("total").alias("total"),
+            F.count("*").alias("n_values"),
             F.max(F.when(holds(F.floor(x)), F.col(value))).alias("_lo"),
             F.max(F.when(holds(F.ceil(x)), F.col(value))).alias("_hi"),
         )
     )
-    return picked.select(*group, "total", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (x - F.floor(x))).alias("quantile"))
+    return picked.select(*group, "total", "n_values", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (x - F.floor(x))).alias("quantile"))
 
 
 def over_sequence(

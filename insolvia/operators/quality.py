@@ -17,6 +17,7 @@ from ..functions.contracts import MIN_FISCAL_YEAR, Contract, static_kind_match
 from ..functions.scalars import finite_or_null, is_infinite, melt, numeric_columns, rounded_even, to_number, to_time
 from ..session import materialize
 from .order import grouped_quantile, over_sequence, quantiles
+from .skew import join_to_keys
 from .wide import feature_numbers, per_feature
 
 # Weights of the quality components and the grade cut-offs.
@@ -390,9 +391,9 @@ def series_gaps(df: DataFrame, entity: str, time: str, factor: float = 3.0) -> D
         steps.filter(F.col("step").isNotNull()).groupBy("entity", F.round("step", 6).alias("step")).agg(F.count("*").alias("n")),
         "steps",
     )
-    median = grouped_quantile(counted, ["entity"], "step", "n", 0.5).select("entity", "total", F.col("quantile").alias("median"))
+    median = grouped_quantile(counted, ["entity"], "step", "n", 0.5).select("entity", "total", "n_values", F.col("quantile").alias("median"))
     return (
-        counted.join(median, "entity")
+        join_to_keys(counted, median, ["entity"], "n_values")
         .filter((F.col("median") > 0) & (F.col("total") >= 2))
         .groupBy("entity")
         .agg(

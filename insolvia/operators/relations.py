@@ -15,6 +15,7 @@ from ..functions.scalars import category_of, melt
 from ..session import materialize
 from .order import EXPRESSIONS_PER_JOB, _batched, quantiles, running_totals
 from .profile import value_counts
+from .skew import join_to_keys
 from .wide import feature_numbers, per_feature
 
 
@@ -78,10 +79,10 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, feature, rank): rank among all rows, ties sharing their mean rank."""
     freq = value_counts(df, columns)
     ranked = running_totals(freq, ["feature"], ["value"], {"upto": "n"}).select(
-        "feature", "value", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank")
+        "feature", "value", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"), "n"
     )
     long = melt(df, columns, keep=[key]).filter(F.col("value").isNotNull())
-    return long.join(ranked, ["feature", "value"]).select(key, "feature", "rank")
+    return join_to_keys(long, ranked, ["feature", "value"], "n").select(key, "feature", "rank")
 
 
 def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -100,7 +101,7 @@ def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> Da
     cols = list(columns)[:max_features]
     freq = value_counts(df, cols)
     dense = running_totals(freq.withColumn("one", F.lit(1)), ["feature"], ["value"], {"rank": "one"})
-    dense = dense.select("feature", F.col("value").alias("x"), "rank")
+    dense = dense.select("feature", F.col("value").alias("x"), "rank", "n")
     dense = materialize(dense, "dense")
     top = dense.agg(F.max("rank")).first()[0] or 1
     bits = int(top).bit_length()
@@ -118,7 +119,8 @@ def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> Da
         "points",
     )
     pair = ["feature", "feature_b"]
-    levels = points.join(dense, ["feature", "x"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    ranked = join_to_keys(points, dense.withColumnRenamed("n", "weight"), ["feature", "x"], "weight")
+    levels = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     bit = F.expr("shiftright(rank, level) & 1")
     sides = (
         levels.withColumn("prefix", F.expr("shiftright(rank, level + 1)"))

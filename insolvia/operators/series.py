@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .order import over_sequence, running_totals
 from .sampling import union_all
+from .skew import join_to_keys
 
 # Rolling window of the volatility and trading periods per year.
 VOLATILITY_ROWS, PERIODS_PER_YEAR = 21, 252
@@ -22,8 +23,8 @@ def period_returns(df: DataFrame, entity: str, date: str, close: str, out: str =
         lambda w: {out: F.try_divide(F.col(close), F.lag(close).over(w)) - 1},
     )
     gaps = df.filter(F.col(close).isNull())
-    start = df.filter(F.col(close).isNotNull()).groupBy(entity).agg(F.min(date).alias("_start"))
-    filled = gaps.join(start, entity, "left").withColumn(out, F.when(F.col(date) > F.col("_start"), F.lit(0.0))).drop("_start")
+    start = df.groupBy(entity).agg(F.min(F.when(F.col(close).isNotNull(), F.col(date))).alias("_start"), F.count("*").alias("_n"))
+    filled = join_to_keys(gaps, start, [entity], "_n").withColumn(out, F.when(F.col(date) > F.col("_start"), F.lit(0.0))).drop("_start")
     return known.unionByName(filled)
 
 
@@ -57,9 +58,9 @@ def entity_aggregates(df: DataFrame, entity: str, columns: Sequence[str]) -> Dat
     """ent_mean__c and ent_std__c on every row.  Aggregate then join: a hot entity is
     combined map-side and its rows need not meet in one window."""
     stats = df.groupBy(entity).agg(
-        *[f(c).alias(f"ent_{stat}__{c}") for c in columns for stat, f in (("mean", F.avg), ("std", F.stddev_samp))]
+        F.count("*").alias("_n"), *[f(c).alias(f"ent_{stat}__{c}") for c in columns for stat, f in (("mean", F.avg), ("std", F.stddev_samp))]
     )
-    return df.join(stats, entity)
+    return join_to_keys(df, stats, [entity], "_n")
 
 
 def cumulative_gain(df: DataFrame, score: str, label: str, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from insolvia.operators import order as o
 from insolvia.operators import sampling as s
 from insolvia.operators import series as se
+from insolvia.operators.skew import join_to_keys
 from insolvia.session import bounded_collect
 
 
@@ -40,6 +41,13 @@ def test_order_statistics_survive_a_missed_sketch(tiny_tasks, monkeypatch):
     assert got == {r: want[r] for r in (0, 5, 299, 300, 599)}
 
 
+def test_many_ranks_take_one_ordered_pass(tiny_tasks):
+    pdf = skewed(11)
+    got = o.order_statistics(tiny_tasks.createDataFrame(pdf), {"v": list(range(0, 600, 3)), "t": [5]})
+    want = np.sort(pdf.v.to_numpy())
+    assert got["v"] == {r: want[r] for r in range(0, 600, 3)} and got["t"] == {5: 5}
+
+
 def test_cuts_split_ties_exactly(tiny_tasks):
     df = tiny_tasks.createDataFrame(skewed(3))
     cuts = o.cut_at(df, ["v", "id"], [0, 1, 200, 333, 600, 900])
@@ -96,6 +104,25 @@ def test_grouped_quantile(tiny_tasks):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_hot_keys_join_apart_from_the_rest(tiny_tasks):
+    pdf = skewed(12)
+    pdf.loc[pdf.index % 11 == 0, "k"] = "unmatched"
+    big = tiny_tasks.createDataFrame(pdf)
+    small = big.filter("k <> 'unmatched'").groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("w"))
+    assert small.filter("w > 40").count() > 0 and small.filter("w <= 40").count() > 0
+    for how in ("inner", "left"):
+        got = join_to_keys(big, small, ["k"], "w", how)
+        want = big.join(small.drop("w"), ["k"], how)
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.select("id", "k", F.round("s", 6)).exceptAll(want.select("id", "k", F.round("s", 6))).count() == 0
+
+
+def test_entity_statistics_with_a_hot_entity(tiny_tasks):
+    pdf = skewed(13)
+    got = se.entity_aggregates(tiny_tasks.createDataFrame(pdf), "k", ["v"]).toPandas().sort_values("id")
+    assert np.allclose(got["ent_mean__v"], pdf.groupby("k").v.transform("mean")) and np.allclose(got["ent_std__v"], pdf.groupby("k").v.transform("std"))
+
+
 def test_sample_is_the_smallest_hashes(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     got = {r["k"] for r in o.sample_rows(df, 100, "k").collect()}
