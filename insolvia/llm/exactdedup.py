@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .words import free_names
 
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -71,12 +72,13 @@ def _id_of(rank):
 def drop_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that share id and text one stays."""
     groups = duplicate_groups(docs, ident, text).where("kept")
-    keys = groups.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
-    keys = materialize(keys, "exact-kept")
-    marked = docs.withColumn("_digest", F.unhex(F.md5(normalised(text))))
-    match = marked[ident].cast("long").eqNullSafe(keys["_id"]) & (marked["_digest"] == keys["_digest"])
-    if keys.where("_rows > 1").isEmpty():
-        return marked.join(keys, match, "left_semi").drop("_digest")
-    once = marked.join(keys.where("_rows = 1"), match, "left_semi")
-    again = marked.join(keys.where("_rows > 1"), match, "left_semi")
-    return once.unionByName(again.dropDuplicates([ident, "_digest"])).drop("_digest")
+    own, mark, count = free_names(docs, "_id", "_digest", "_rows")
+    keys = materialize(groups.groupBy(F.col("doc_id").alias(own), F.col("digest").alias(mark)).agg(F.count("*").alias(count)), "exact-kept")
+    marked = docs.withColumn(own, F.col(ident).cast("long")).withColumn(mark, F.unhex(F.md5(normalised(text))))
+    match = marked[own].eqNullSafe(keys[own]) & (marked[mark] == keys[mark])
+    single, several = keys[count] == 1, keys[count] > 1
+    if keys.where(several).isEmpty():
+        return marked.join(keys, match, "left_semi").drop(own, mark)
+    once = marked.join(keys.where(single), match, "left_semi")
+    again = marked.join(keys.where(several), match, "left_semi")
+    return once.unionByName(again.dropDuplicates([own, mark])).drop(own, mark)

@@ -146,9 +146,8 @@ class Lexicon:
         return len(tokens), out
 
 
-def features(lexicon: Lexicon, text: str) -> list[float]:
-    """Plain and quoted hits of a text: strongest weight, weights together, share of the words."""
-    n, hits = lexicon.hits(text)
+def features(n: int, hits: list[tuple[int, str, float, int, bool]]) -> list[float]:
+    """Plain and quoted hits of a text of n tokens: strongest weight, weights together, share of the tokens."""
     row = []
     for quoted in (False, True):
         w = [h[2] for h in hits if h[4] == quoted]
@@ -176,9 +175,12 @@ class ToxicityModel:
         self.lexicon, self.weights = lexicon, weights
 
     def score_texts(self, texts: list[str]) -> list[float]:
-        if self.lexicon is None:
-            return [0.0] * len(texts)
-        x = np.array([features(self.lexicon, t) for t in texts]).reshape(len(texts), -1)
+        return self.score_hits([self.lexicon.hits(t) if self.lexicon else (0, []) for t in texts])
+
+    def score_hits(self, found: list[tuple[int, list]]) -> list[float]:
+        if self.lexicon is None or not found:
+            return [0.0] * len(found)
+        x = np.array([features(n, hits) for n, hits in found])
         return (1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))).tolist()
 
     def score(self, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,9 +195,10 @@ class ToxicityModel:
             model = ToxicityModel(Lexicon(*lists) if lists else None, weights)
             for batch in chunked(batches, "text"):
                 texts = [b.decode() for b in text_bytes(batch.column("text"))]
-                rows = [model.lexicon.hits(t)[1] if model.lexicon else [] for t in texts]
+                found = [model.lexicon.hits(t) if model.lexicon else (0, []) for t in texts]
+                rows = [hits for _, hits in found]
                 terms = [[{"place": h[0], "term": h[1], "edits": h[3], "quoted": h[4]} for h in r] for r in rows]
-                scores = model.score_texts(texts)
+                scores = model.score_hits(found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(scores, pa.float64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([sum(h[4] for h in r) for r in rows], pa.int64()), pa.array(terms, place)], schema=schema
                 )
@@ -284,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, ident: str = "doc_id"
     def sample_features(batches):
         lexicon = Lexicon(words, stems)
         for batch in chunked(batches, "text"):
-            rows = [features(lexicon, b.decode()) for b in text_bytes(batch.column("text"))]
+            rows = [features(*lexicon.hits(b.decode())) for b in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
     found = bounded_collect(sample.select("text", "label").mapInArrow(sample_features, "x array<double>, label int").orderBy("label", "x"), 4 * per_label + 1000)

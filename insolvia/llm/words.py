@@ -44,6 +44,16 @@ def shown_id(column: Column) -> Column:
     return F.when(column != F.lit(LAST_ID), column)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -13,8 +13,8 @@ from insolvia.llm import bpe
 from insolvia.llm.queries import ORACLES, QUERIES
 from tools.compare import TABLES, rows_of
 
-from .test_dedup import components_by_brute_force
-from .test_texts import contamination_by_brute_force
+from test_dedup import components_by_brute_force
+from test_texts import contamination_by_brute_force
 
 FOLDER = "/root/testdata/sf0.001"
 
