@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
 
@@ -26,10 +26,15 @@ from pyspark.sql import functions as F
 from .words import chunked, row_id, shown_id, text_bytes
 
 # A worker keeps at most this many encoded fragments (a memory bound; the ids do not depend on it).
-KEPT_FRAGMENTS = 600_000
+KEPT_FRAGMENTS = 500_000
 
 _WHITE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
-_WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+# UTF-8 of the white space beyond ASCII.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+# Bytes that no UTF-8 text holds mark cuts and ends of texts while a chunk is split.
+_CUT, _END = 0xFF, 0xFE
+# Fragments that begin with a space are handed to the library so many at a time: each is a certain cut.
+_TOGETHER = 16
 
 
 def default_vocabulary() -> str:
@@ -46,12 +51,15 @@ def _byte_letters() -> dict[str, int]:
 
 
 class FragmentEncoder:
-    """Encodes whole texts from independently encoded fragments; one per worker and vocabulary."""
+    """Encodes whole texts from independently encoded fragments; one per worker and vocabulary.
 
-    def __init__(self, path: str, kept: int = KEPT_FRAGMENTS):
+    What is kept for a fragment is made by `entry` from its ids and their little-endian bytes.
+    """
+
+    def __init__(self, path: str, entry: Callable[[FragmentEncoder, list[int], bytes], object], kept: int = KEPT_FRAGMENTS):
         from tokenizers import Tokenizer
 
-        self.library, self.kept = Tokenizer.from_file(path), kept
+        self.library, self.entry, self.kept = Tokenizer.from_file(path), entry, kept
         self.library.no_truncation()
         self.library.no_padding()
         letters = _byte_letters()
@@ -69,58 +77,98 @@ class FragmentEncoder:
             joined[pair[:-1], pair[1:]] = True
         for token, number in added.items():
             self.tokens[number] = token.encode()
+        self.token_sizes = np.array(list(map(len, self.tokens)))
+        self.decimals = [str(i).encode() for i in range(len(self.tokens))]
         cut = ~joined
         cut[_WHITE, :] = False
         cut[:, 39] = False
         cut[:, 128:192] = False
+        cut[_END, :] = cut[:, _END] = False
         self.cut = cut.ravel()
         narrow = cut.copy()  # where a text holds a wide space, no cut may follow a byte of a longer character
         narrow[128:, :] = False
         self.narrow = narrow.ravel()
-        self.special = {t.encode(): number for t, number in added.items()}
-        self.split = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")").split if added else None
-        self.cache: dict[bytes, tuple[int, bytes, bytes, bytes]] = {}
-
-    def fragments(self, text: bytes) -> list[bytes]:
-        if not text:
+        self.special = {t.encode() for t in added}
+        self.split = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
+        self.cache: dict[bytes, object] = {}
+
+    def fragments(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The fragments of each text; a special token is a fragment."""
+        whole = bytes([_END]).join(texts)
+        if self.split is not None and self.split.search(whole):
+            if len(texts) > 1:
+                return [f for t in texts for f in self.fragments([t])]
+            return [[f for p in self.split.split(texts[0]) if p for f in ([p] if p in self.special else self.fragments([p])[0])]]
+        if not whole:
+            return [[] for _ in texts]
+        data = np.frombuffer(whole, np.uint8)
+        table = self.narrow if _WIDE_SPACE.search(whole) else self.cut
+        at = np.flatnonzero(table[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]) + 1
+        marked = np.full(len(data) + len(at), _CUT, np.uint8)
+        places = np.ones(len(marked), bool)
+        places[at + np.arange(len(at))] = False
+        marked[places] = data
+        mark = bytes([_CUT])
+        return [t.split(mark) if t else [] for t in marked.tobytes().split(bytes([_END]))]
+
+    def encode(self, texts: list[bytes]) -> list[list]:
+        """For each text the entries of its fragments in order."""
+        if not texts:
             return []
-        if self.split is not None:
-            parts = self.split(text) if b"<" in text or len(self.special) > 1 else [text]
-            if len(parts) > 1:
-                return [f for p in parts for f in ([p] if p in self.special else self.fragments(p))]
-        data = np.frombuffer(text, np.uint8)
-        table = self.cut if text.isascii() or not _WIDE_SPACE.search(text.decode()) else self.narrow
-        at = (np.flatnonzero(table[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
-
-    def encode(self, texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes, bytes]]]:
-        """For each text its fragments' (number of ids, decimal ids, ids as little-endian 32-bit, bytes of the tokens)."""
-        for text in texts:
-            pieces = self.fragments(text)
-            found = list(map(self.cache.get, pieces))
-            if None in found:
-                if len(self.cache) > self.kept:
-                    self.cache.clear()
-                    found = [None]
-                new = list({p for p, f in zip(pieces, found) if f is None}) if len(found) == len(pieces) else list(set(pieces))
-                for piece, one in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-                    ids = one.ids
-                    self.cache[piece] = (len(ids), ",".join(map(str, ids)).encode(), np.array(ids, "<u4").tobytes(), b"".join([self.tokens[i] for i in ids]))
-                found = list(map(self.cache.__getitem__, pieces))
-            yield found
+        pieces = self.fragments(texts)
+        if len(self.cache) > self.kept:
+            self.cache.clear()
+        get = self.cache.get
+        found = [list(map(get, p)) for p in pieces]
+        open_texts = [k for k, f in enumerate(found) if None in f]
+        if open_texts:
+            self._learn({p for k in open_texts for p, f in zip(pieces[k], found[k]) if f is None})
+            for k in open_texts:
+                found[k] = list(map(self.cache.__getitem__, pieces[k]))
+        return found
+
+    def _learn(self, new: set[bytes]) -> None:
+        spaced = [p for p in new if p[0] == 32 and p not in self.special]
+        alone = [p for p in new if p[0] != 32 or p in self.special]
+        # A fragment that ends in white space would lean on what follows it.
+        alone += [p for p in spaced if p[-1] in _WHITE or p[-1] >= 128]
+        spaced = [p for p in spaced if not (p[-1] in _WHITE or p[-1] >= 128)]
+        groups = [spaced[k : k + _TOGETHER] for k in range(0, len(spaced), _TOGETHER)] + [[p] for p in alone]
+        encoded = self.library.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)
+        order = [p for g in groups for p in g]
+        ids = [i for one in encoded for i in one.ids]
+        flat = np.array(ids, "<u4")
+        token_ends = np.cumsum(self.token_sizes[flat])
+        ends = np.cumsum([len(p) for p in order])
+        last = np.searchsorted(token_ends, ends)
+        if len(order) and not (token_ends[last] == ends).all():
+            raise ValueError("a token crosses a forced boundary")
+        raw, begin = flat.tobytes(), 0
+        for piece, stop in zip(order, (last + 1).tolist()):
+            self.cache[piece] = self.entry(self, ids[begin:stop], raw[4 * begin : 4 * stop])
+            begin = stop
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join([self.tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
+def ids_only(encoder: FragmentEncoder, ids: list[int], raw: bytes) -> bytes:
+    return raw
+
+
+def full_entry(encoder: FragmentEncoder, ids: list[int], raw: bytes) -> tuple[bytes, bytes, bytes]:
+    """Ids in binary, decimal ids joined by commas, bytes of the tokens."""
+    return raw, b",".join([encoder.decimals[i] for i in ids]), b"".join([encoder.tokens[i] for i in ids])
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> FragmentEncoder:
+def encoder(path: str, entry=full_entry) -> FragmentEncoder:
     """The worker's own encoder, kept between tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return FragmentEncoder(path)
+    return FragmentEncoder(path, entry)
 
 
 def _encoded(path: str):
@@ -131,8 +179,9 @@ def _encoded(path: str):
         for batch in chunked(batches, "text"):
             out = [[], [], [], []]
             for found in bpe.encode(text_bytes(batch.column("text"))):
-                count, decimal, binary, raw = zip(*found) if found else ((), (), (), ())
-                for column, value in zip(out, (sum(count), b"".join(binary), sha256(b",".join(decimal)).hexdigest(), b"".join(raw).decode("utf-8", "replace"))):
+                binary, decimal, raw = zip(*found) if found else ((), (), ())
+                ids = b"".join(binary)
+                for column, value in zip(out, (len(ids) >> 2, ids, sha256(b",".join(decimal)).hexdigest(), b"".join(raw).decode("utf-8", "replace"))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(out, schema.types[1:]))], schema=schema)
 

@@ -10,8 +10,12 @@ byte. A file holds the documents of one range of ids in ascending order, in bloc
       data bytes: the ranks, little endian, without leading zero bytes
 
 and beside the files one table that names the id of each rank. Control bytes are decoded by looking
-up four lengths at a time in a 256-row numpy table. Files are written by the tasks into the shared
-folder under a name of the attempt and moved into place, so a repeated task replaces its own file.
+up four lengths at a time in a 256-row numpy table.
+
+The texts are dealt out and sorted by id once; the tasks tokenise them into draft files of raw ids
+and count the ids. When the counts are known each draft is rewritten by rank and goes. Files are
+written into the shared folder under a name of the attempt and moved into place, so a repeated task
+replaces its own file, or finds it done.
 
 Defined cases: a null text is empty and holds the end id alone; a null document id comes after all
 others; rows that share an id stand next to each other in the order of their text's hash and each
@@ -19,24 +23,26 @@ keep their row; an empty table writes no file.
 """
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_collect, materialize, new_path
-from .bpe import default_vocabulary, encoder
+from ..session import bounded_collect, materialize, new_path, shuffle_partitions
+from .bpe import default_vocabulary, encoder, ids_only
 from .words import chunked, row_id, shown_id, text_bytes
 
 MAGIC = b"RKID"
 END_ID = 0
 BLOCK_VALUES = 1 << 19
-# Values that one task writes: files stay near this size at any input.
-FILE_VALUES = 16 << 20
+# Characters that one task tokenises: files stay near this size at any input.
+FILE_LETTERS = 32 << 20
 MAX_IDS = 4_000_000  # the rank table is proportional to the vocabulary
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -71,7 +77,7 @@ def unpack_values(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
     return out, begin + size
 
 
-def write_block(ids: list[int], sizes: list[int], values: np.ndarray) -> bytes:
+def write_block(ids, sizes, values: np.ndarray) -> bytes:
     head = struct.pack("<II", len(ids), len(values))
     return head + np.array(ids, "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + pack_values(values)
 
@@ -89,86 +95,123 @@ def read_file(raw: bytes):
         yield ids, sizes, values
 
 
-def tokenize(docs: DataFrame, ident: str, text: str, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """id, key (orders rows that share an id), n, ids (little-endian 32-bit, the end id last)."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+def _put(store, base: str, name: str, blocks) -> None:
+    """Write a whole file under a hidden name, then move it into place."""
+    hidden = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as out:
+        for block in blocks:
+            out.write(block)
+    if _there(store, f"{base}/{name}"):
+        store.delete_file(f"{base}/{name}")
+    store.move(hidden, f"{base}/{name}")
 
-    def run(batches):
-        bpe = encoder(vocabulary)
-        for batch in chunked(batches, "text"):
-            ids = [b"".join([*[f[2] for f in found], tail]) for found in bpe.encode(text_bytes(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([len(b) >> 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, n long, ids binary")
+def _there(store, path: str) -> bool:
+    from pyarrow import fs
+
+    return store.get_file_info(path).type == fs.FileType.File
+
+
+def _draft(vocabulary: str, tail: bytes, where: str):
+    """Tokenise an ordered partition into its draft file; one row for the file (token null) and one per id that occurs."""
+    schema = pa.schema([("part", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
+    def run(batches):
+        from pyarrow import fs
 
-def _counts(batches):
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            seen = np.bincount(np.frombuffer(ids, "<u4"))
-            if len(seen) > len(total):
-                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-            total[: len(seen)] += seen
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
+        store, base = fs.FileSystem.from_uri(where)
+        part, bpe = TaskContext.get().partitionId(), encoder(vocabulary, ids_only)
+        total = np.zeros(len(bpe.tokens) + 1, np.int64)
+        state = {"n": 0}
+
+        def blocks():
+            ids, sizes, held, waiting = [], [], [], 0
+            for batch in chunked(batches, "text"):
+                for ident, found in zip(batch.column("id").to_pylist(), bpe.encode(text_bytes(batch.column("text")))):
+                    raw = b"".join(found) + tail
+                    ids.append(ident)
+                    sizes.append(len(raw) >> 2)
+                    held.append(raw)
+                    waiting += sizes[-1]
+                if waiting >= BLOCK_VALUES:
+                    yield block(ids, sizes, held)
+                    ids, sizes, held, waiting = [], [], [], 0
+            if ids:
+                yield block(ids, sizes, held)
+
+        def block(ids, sizes, held):
+            nonlocal total
+            values = np.frombuffer(b"".join(held), "<u4")
+            seen = np.bincount(values, minlength=len(total))
+            total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)]) + seen
+            state["n"] += len(values)
+            narrow = values.astype("<u2") if len(total) <= 1 << 16 else values
+            body = zstandard.ZstdCompressor(level=1).compress(np.array(ids, "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + narrow.tobytes())
+            return struct.pack("<IIII", len(body), len(ids), len(values), narrow.itemsize) + body
+
+        parts = blocks()
+        first = next(parts, None)
+        if first is None:
+            return
+        _put(store, base, f"part-{part:08d}.draft", itertools.chain([first], parts))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(at) + 1, part)), pa.array([None, *at.tolist()], pa.int64()), pa.array(np.append(state["n"], total[at]))], schema=schema
+        )
+
+    return run, "part long, token long, n long"
+
+
+def _read_draft(raw: bytes):
+    at = 0
+    while at < len(raw):
+        size, documents, n, width = struct.unpack_from("<IIII", raw, at)
+        body = zstandard.ZstdDecompressor().decompress(raw[at + 16 : at + 16 + size])
+        ids = np.frombuffer(body, "<i8", documents)
+        sizes = np.frombuffer(body, "<u4", documents, 8 * documents)
+        yield ids, sizes, np.frombuffer(body, f"<u{width}", n, 12 * documents)
+        at += 16 + size
 
 
 def write_token_files(docs: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID) -> tuple[DataFrame, DataFrame]:
-    """Writes the corpus; returns the manifest (path, part, n_values, one row per file) and the rank table (token, rank)."""
+    """Writes the corpus; returns the manifest (path, where, part, n_values, one row per file) and the rank table (token, rank)."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, ident, text, vocabulary or default_vocabulary(), end_id), "tokens")
+    folder = new_path(spark, "token-files")
+    spark.createDataFrame([(0,)], "empty int").write.parquet(f"{folder}/folder")  # makes the folder on any store
+    where = _absolute(spark, folder)
+    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
+    rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
+    letters = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
+    files = max(shuffle_partitions(spark), -(-letters // FILE_LETTERS))
+    ordered = rows.repartitionByRange(int(files), "id", "key").sortWithinPartitions("id", "key").select("id", "text")
+    drafts = materialize(ordered.mapInArrow(*_draft(vocabulary or default_vocabulary(), tail, where)), "token-drafts")
+
     # As many tokens as the vocabulary has: a bounded table, whatever the corpus.
-    counted = bounded_collect(tokens.select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), MAX_IDS)
-    ranked = sorted(counted, key=lambda r: (-r["n"], r["token"]))
-    total = sum(r["n"] for r in ranked)
-    token_of = np.array([r["token"] for r in ranked], np.int64)
-    rank_of = np.zeros((int(token_of.max()) + 1) if len(token_of) else 1, "<u4")
+    counted = bounded_collect(drafts.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), MAX_IDS)
+    token_of = np.array([r["token"] for r in sorted(counted, key=lambda r: (-r["n"], r["token"]))], np.int64)
+    rank_of = np.zeros(int(token_of.max()) + 1 if len(token_of) else 1, "<u4")
     rank_of[token_of] = np.arange(len(token_of), dtype="<u4")
     ranks = materialize(spark.createDataFrame([(int(t), k) for k, t in enumerate(token_of)], "token long, rank long"), "token-ranks")
-
-    folder = new_path(spark, "token-files")
-    spark.createDataFrame([(0,)], "empty int").write.parquet(f"{folder}/folder")  # makes the folder on any store
-    where, files = _absolute(spark, folder), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_VALUES))
     table = spark.sparkContext.broadcast(rank_of)
 
-    def write(batches):
+    def rewrite(batches):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(where)
-        part, name, out, n = TaskContext.get().partitionId(), "", None, 0
-        ids, sizes, held, waiting = [], [], [], 0
-
-        def flush():
-            out.write(write_block(ids, sizes, table.value[np.concatenate(held)]))
-
         for batch in batches:
-            for ident, size, raw in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                if out is None:
-                    name = f"{base}/part-{part:08d}.rkid"
-                    hidden = f"{base}/.part-{part:08d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(hidden)
-                    out.write(MAGIC)
-                ids.append(ident)
-                sizes.append(size)
-                held.append(np.frombuffer(raw, "<u4"))
-                n += size
-                waiting += size
-                if waiting >= BLOCK_VALUES:
-                    flush()
-                    ids, sizes, held, waiting = [], [], [], 0
-        if out is not None:
-            if ids:
-                flush()
-            out.close()
-            store.move(hidden, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["path", "part", "n_values"])
-
-    ordered = tokens.repartitionByRange(int(files), "id", "key").sortWithinPartitions("id", "key")
-    manifest = ordered.select("id", "n", "ids").mapInArrow(write, "path string, part long, n_values long")
-    return materialize(manifest, "token-manifest").withColumn("where", F.lit(where)), ranks
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+                name = f"part-{part:08d}"
+                if not _there(store, f"{base}/{name}.rkid"):
+                    with store.open_input_file(f"{base}/{name}.draft") as f:
+                        raw = f.read()
+                    _put(store, base, f"{name}.rkid", itertools.chain([MAGIC], (write_block(ids, sizes, table.value[values]) for ids, sizes, values in _read_draft(raw))))
+                if _there(store, f"{base}/{name}.draft"):
+                    store.delete_file(f"{base}/{name}.draft")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{base}/{name}.rkid"]), pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["path", "part", "n_values"])
+
+    listed = drafts.where("token is null").select("part", "n").repartition(int(files), "part")
+    return materialize(listed.mapInArrow(rewrite, "path string, part long, n_values long"), "token-manifest").withColumn("where", F.lit(where)), ranks
 
 
 def _absolute(spark: SparkSession, folder: str) -> str:
