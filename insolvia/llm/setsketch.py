@@ -4,9 +4,9 @@
    `registers` registers holds the exponentially spaced, truncated minimum of the set's exponential
    hash values; sketches of parts merge by taking the larger register.
 2. Texts with equal sets are one node from here on (a class), told by the digest of the whole set.
-3. Bands of registers put nodes into buckets. In each bucket one leader, the node with the fullest
+3. Bands of the first registers put nodes into buckets. In each bucket one leader, the node with the fullest
    buckets, is compared with all others: links, not pairs. Linked nodes are one component.
-4. Buckets that still hold several components compare the nodes outside their largest component with
+4. Buckets that still hold several components get all registers of their texts and compare the nodes outside their largest component with
    the others, block by block, by the joint likelihood estimate of the registers; what could be a link
    within the estimate's error is confirmed too.
 5. Every link is confirmed on the full sets, and the components of the confirmed links are the groups.
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import connected_components
-from .words import LAST_ID, LOWERED, chunked, flat_bytes, mixed, row_id, run_hashes, shown_id, text_bytes, word_hashes, word_spans
+from .words import LAST_ID, LOWERED, chunked, flat_bytes, free_names, mixed, row_id, run_hashes, shown_id, text_bytes, word_hashes, word_spans
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-REGISTERS = 240
+REGISTERS = 512
 BASE, RATE = 1.001, 20.0
 LIMIT = 65_534  # registers are 16 bits wide
 # How many standard errors an estimate may fall short before a pair is not confirmed.
@@ -69,8 +69,8 @@ def sketch(shingles: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Registers floor(1 - log_b h) of the least exponential value h, kept within 0 .. LIMIT + 1."""
     times, plus = _seeds(registers)
     least = np.full(registers, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 512):
-        least = np.minimum(least, (times[:, None] * shingles[None, at : at + 512] + plus[:, None]).min(axis=1))
+    for at in range(0, len(shingles), 128):
+        least = np.minimum(least, (times[:, None] * shingles[None, at : at + 128] + plus[:, None]).min(axis=1))
     if not len(shingles):
         return np.zeros(registers, np.uint16)
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
@@ -108,22 +108,39 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return float(grid[np.argmax(up * np.log(more) + down * np.log(less) + (len(a) - up - down) * np.log(same))])
 
 
-def _sketches(size: int, bands: int, rows: int, registers: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+def _lowered_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    return shingle_sets([t.translate(LOWERED) for t in text_bytes(batch.column("text"))], size)
+
+
+def _banded(size: int, bands: int, rows: int):
+    """Set size, digest of the set, and the hash of each band of registers."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
     factor = mixed(np.arange(1, rows + 1, dtype=np.uint64))
     number = mixed(np.arange(101, 101 + bands, dtype=np.uint64))
 
     def run(batches):
         for batch in chunked(batches, "text"):
-            out = [[], [], [], []]
-            for shingles in shingle_sets([t.translate(LOWERED) for t in text_bytes(batch.column("text"))], size):
-                r = sketch(shingles, registers)
-                keys = mixed((r[: bands * rows].reshape(bands, rows).astype(np.uint64) * factor).sum(axis=1) + number) if len(shingles) else ()
-                for column, value in zip(out, (len(shingles), blake2b(shingles.tobytes(), digest_size=16).digest(), np.asarray(keys, np.uint64).view(np.int64).tolist(), r.tobytes())):
+            out = [[], [], []]
+            for shingles in _lowered_sets(batch, size):
+                r = sketch(shingles, bands * rows)
+                keys = mixed((r.reshape(bands, rows).astype(np.uint64) * factor).sum(axis=1) + number) if len(shingles) else ()
+                for column, value in zip(out, (len(shingles), blake2b(shingles.tobytes(), digest_size=16).digest(), np.asarray(keys, np.uint64).view(np.int64).tolist())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(out, schema.types[1:]))], schema=schema)
 
-    return run, "id long, n long, digest binary, bands array<long>, registers binary"
+    return run, "id long, n long, digest binary, bands array<long>"
+
+
+def _registers(size: int, registers: int):
+    """Set size and all registers."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("registers", pa.binary())])
+
+    def run(batches):
+        for batch in chunked(batches, "text"):
+            sets = _lowered_sets(batch, size)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, registers).tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return run, "id long, n long, registers binary"
 
 
 def _confirm(size: int, percent: int):
@@ -156,7 +173,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     first = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     # the second join deals out by a, a bucket's leader: its text is one row, its pairs are split when many
-    return pairs.join(second, "b").join(first, "a").mapInArrow(*_confirm(size, percent)).where("linked").select("a", "b").distinct()
+    return pairs.join(second.hint("merge"), "b").join(first.hint("merge"), "a").mapInArrow(*_confirm(size, percent)).where("linked").select("a", "b").distinct()
 
 
 def _compare_block(bands: int, rows: int, registers: int, percent: int):
@@ -196,11 +213,12 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     percent = round(100 * similarity)
     texts = docs.select(row_id(ident).alias("id"), F.col(text).cast("string").alias("text"))
-    drawn = materialize(texts.mapInArrow(*_sketches(size, bands, rows, registers)), "sketches")
+    drawn = materialize(texts.mapInArrow(*_banded(size, bands, rows)), "sketches")
     full = drawn.where("n > 0")
-    classes = materialize(full.groupBy("digest").agg(F.min("id").alias("node"), F.min("n").alias("n")), "sketch-classes")
-    members = full.select("id", "digest").join(classes.select("digest", "node"), "digest")
-    nodes = classes.select(F.col("node").alias("id"), "digest").join(full.select("id", "digest", "n", "bands", "registers"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    classes = materialize(full.groupBy("digest").agg(F.min("id").alias("node")), "sketch-classes")
+    members = full.select("id", "digest").join(classes.hint("merge"), "digest")
+    # Sides that grow with the corpus are joined by merging at every size, never by a broadcast.
+    nodes = full.join(classes.withColumnRenamed("node", "id").hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
     nodes = materialize(nodes.drop("digest"), "sketch-nodes")
 
     # Buckets with more than one node, and each node's standing: how full its buckets are.
@@ -213,7 +231,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     stars = shared.join(leaders, ["band", "key"]).where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     same = members.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     # Only texts that meet another one are compared: they are fetched once.
-    met = materialize(texts.join(shared.select("id").distinct(), "id"), "bucket-texts")
+    met = materialize(texts.join(shared.select("id").distinct().hint("merge"), "id"), "bucket-texts")
     links = materialize(confirmed(stars, met, size, percent), "links-leaders")
     parts = connected_components(links)
 
@@ -225,7 +243,9 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         .where("parts > 1").select("band", "key", F.ceil(F.col("fill") / F.lit(block)).cast("int").alias("blocks"), (-F.col("main.back")).alias("main"))
     )
     open_rows = located.join(split, ["band", "key"]).withColumn("outside", F.col("part") != F.col("main"))
-    open_rows = open_rows.join(nodes.select("id", "n", "registers"), "id")
+    open_rows = materialize(open_rows, "open-rows")
+    sketches = met.join(open_rows.select("id").distinct().hint("merge"), "id").mapInArrow(*_registers(size, registers))
+    open_rows = open_rows.join(sketches.hint("merge"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     data = open_rows.withColumn("block", own).withColumn("asks", F.lit(False))
     asking = open_rows.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
@@ -243,12 +263,14 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that stay when each group keeps its smallest id; of rows that share that id one stays."""
-    groups = near_duplicates(docs, ident, text, **options).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id")).groupBy("_id").agg(F.count("*").alias("_rows"))
+    own, mark, count = free_names(docs, "_id", "_mark", "_rows")
+    groups = near_duplicates(docs, ident, text, **options).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(own)).groupBy(own).agg(F.count("*").alias(count))
     groups = materialize(groups, "near-kept")
-    marked = docs.withColumn("_id", row_id(ident)).withColumn("_mark", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    if groups.where("_rows > 1").isEmpty():
-        return marked.join(groups, "_id", "left_semi").drop("_id", "_mark")
-    once = marked.join(groups.where("_rows = 1"), "_id", "left_semi")
-    again = marked.join(groups.where("_rows > 1"), "_id", "left_semi")
-    first = again.groupBy("_id").agg(F.min("_mark").alias("_mark"))
-    return once.unionByName(again.join(first, ["_id", "_mark"], "left_semi").dropDuplicates(["_id"])).drop("_id", "_mark")
+    marked = docs.withColumn(own, row_id(ident)).withColumn(mark, F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    single, several = F.col(count) == 1, F.col(count) > 1
+    if groups.where(several).isEmpty():
+        return marked.join(groups.hint("merge"), own, "left_semi").drop(own, mark)
+    once = marked.join(groups.where(single), own, "left_semi")
+    again = marked.join(groups.where(several), own, "left_semi")
+    first = again.groupBy(own).agg(F.min(mark).alias(mark))
+    return once.unionByName(again.join(first, [own, mark], "left_semi").dropDuplicates([own])).drop(own, mark)
