@@ -146,9 +146,20 @@ def column_kinds(df: DataFrame, target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, role string")
 
 
+def number_or_null(column: Column | str) -> Column:
+    """The value as a double; NaN counts as missing, like null."""
+    return F.nanvl((F.col(column) if isinstance(column, str) else column).cast("double"), F.lit(None).cast("double"))
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN of floating columns becomes null."""
+    new = {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c, t in df.dtypes if t in ("double", "float")}
+    return df.withColumns(new) if new else df
+
+
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature", value: str = "value") -> DataFrame:
     """Wide to long as doubles; a narrow projection, so only the listed columns are scanned."""
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    wide = df.select(*keep, *[number_or_null(c).alias(c) for c in columns])
     return wide.unpivot(list(keep), list(columns), name, value)
 
 

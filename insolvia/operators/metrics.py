@@ -129,28 +129,14 @@ def youden_threshold(counts: DataFrame) -> float:
     return float(best["p"]) if best["j"] > 0 else 1.0
 
 
-def max_f1_threshold(counts: DataFrame, grid_size: int = 200) -> float:
-    """Grid score with the largest F1, ties to the lowest; the grid is the distinct scores
-    or, beyond ``grid_size`` of them, their quantiles."""
-    scores = counts.select("p").distinct()
+def max_f1_threshold(counts: DataFrame) -> float:
+    """The score with the largest F1 of all distinct scores, ties to the lowest."""
     t = class_totals(counts).first()
     if not t["positives"] or t["positives"] == t["total"]:
         return 0.5
-    n = scores.count()
-    if n <= grid_size:
-        grid = sorted(r["p"] for r in scores.collect())  # at most grid_size rows
-    else:
-        grid = quantiles(scores, ["p"], [i / (grid_size - 1) for i in range(grid_size)])["p"]
-    step = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= F.col("p")))
-    cells = counts.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    at = {r["step"]: (r["n"], r["pos"]) for r in cells.collect()}  # at most grid_size + 1 rows
-    best, best_f1, rows, hits = 0.5, -1.0, 0, 0
-    for i in range(len(grid), 0, -1):
-        rows, hits = rows + at.get(i, (0, 0))[0], hits + at.get(i, (0, 0))[1]
-        f1 = 2 * hits / (rows + t["positives"]) if rows + t["positives"] else 0.0
-        if f1 >= best_f1:
-            best, best_f1 = float(grid[i - 1]), f1
-    return best
+    f1 = 2.0 * F.col("tp") / (F.col("upto") + F.lit(t["positives"]))
+    best = sweep(counts, is_stored=True).agg(F.max(F.struct(f1.alias("f1"), (-F.col("p")).alias("down"))).alias("b")).first()["b"]
+    return -float(best["down"])
 
 
 def choose_threshold(counts: DataFrame, method: str = "youden", custom: float = 0.5) -> tuple[float, str]:

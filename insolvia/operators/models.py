@@ -29,7 +29,7 @@ from .neighbors import knn_probability
 from .prepare import apply_scale, enforce_features, fit_scale
 from .relations import correlation_matrix, rank_auc
 from .scoring import linear_contributions
-from .wide import feature_numbers
+from .wide import array_width, feature_numbers
 
 # Default parameters per algorithm.
 DEFAULTS: dict[str, dict] = {
@@ -45,7 +45,7 @@ DEFAULTS: dict[str, dict] = {
 
 # Default search spaces.
 SEARCH_SPACES: dict[str, dict[str, list]] = {
-    "logistic_regression": {"regParam": [0.01, 0.1, 1.0, 10.0]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "decision_tree": {"maxDepth": [4, 6, 8, 12], "minInstancesPerNode": [2, 5, 10]},
     "random_forest": {"numTrees": [200, 400], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2, 5]},
     "boosted_trees": {"maxIter": [300, 600], "maxDepth": [4, 6, 8], "stepSize": [0.03, 0.05, 0.1]},
@@ -145,13 +145,19 @@ def search_grid(name: str, space: dict[str, list] | None = None, method: str = "
     return grid
 
 
+def _spark_names(candidate: dict, rows: int) -> dict:
+    """C, a penalty summed over rows, as the penalty averaged over rows that Spark takes."""
+    return {("regParam" if k == "C" else k): (1.0 / (v * max(rows, 1)) if k == "C" else v) for k, v in candidate.items()}
+
+
 def cross_validate(
     name: str, train: DataFrame, features: Sequence[str], target: str, fold: str, candidates: Sequence[dict] = ({},), parallelism: int = 2, seed: int = 42
 ) -> list[dict]:
     """Mean and deviation of ROC-AUC over the folds for each candidate, best first."""
-    weighted = with_class_weight(train, target).withColumn(fold, F.col(fold).cast("int"))
-    est = estimator(name, features, target, {}, train.count(), seed)
-    grid = [{est.getParam(k): v for k, v in c.items()} for c in candidates]
+    weighted = with_class_weight(train, target, "positive" if name == "boosted_trees" else "balanced").withColumn(fold, F.col(fold).cast("int"))
+    rows = train.count()
+    est = estimator(name, features, target, {}, rows, seed)
+    grid = [{est.getParam(k): v for k, v in _spark_names(c, rows).items()} for c in candidates]
     k = weighted.select(fold).distinct().count()
     cv = CrossValidator(
         estimator=Pipeline(stages=[assembler(features), est]),
@@ -166,9 +172,14 @@ def cross_validate(
 
 # ---------------------------------------------------------------- importances
 def native_importance(fitted: Fitted) -> dict[str, float]:
-    """Tree importances or absolute coefficients."""
-    model = fitted.model.stages[-1]
-    values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else np.abs(model.coefficients.toArray())
+    """Tree importances or absolute coefficients; empty for models that have neither."""
+    model = fitted.model.stages[-1] if fitted.model is not None else None
+    if hasattr(model, "featureImportances"):
+        values = model.featureImportances.toArray()
+    elif hasattr(model, "coefficients"):
+        values = np.abs(model.coefficients.toArray())
+    else:
+        return {}
     return {c: float(v) for c, v in zip(fitted.features, values)}
 
 
@@ -353,7 +364,7 @@ def best_of_two(df: DataFrame, features: Sequence[str], target: str, key: str, f
 
 def linear_probe(df: DataFrame, x: str, target: str, key: str, split: str = "split") -> tuple[float, dict]:
     """Logistic regression on frozen embeddings."""
-    dim = df.select(F.size(x)).first()[0]
+    dim = array_width(df, x)
     cols = [f"z_{i:03d}" for i in range(dim)]
     wide = df.select(key, target, split, *[F.col(x)[i].cast("double").alias(c) for i, c in enumerate(cols)])
     fitted = fit("logistic_regression", wide.filter(F.col(split) == "train"), cols, target)

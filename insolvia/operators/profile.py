@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import binned, category_of, melt, numeric_columns, rounded_even
+from ..functions.scalars import binned, category_of, melt, nan_as_null, numeric_columns, rounded_even
 from .order import quantiles
 from .quality import iqr_fences, missing_counts
 from .wide import feature_numbers, per_feature
@@ -27,7 +27,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], label: str | None = None
 def column_inventory(df: DataFrame) -> DataFrame:
     """Type, non-null count and exact distinct count per column."""
     cols = df.columns
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
+    long = nan_as_null(df).select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
     distinct = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").count()
     counted = distinct.groupBy("feature").agg(F.sum("count").alias("non_null"), F.count("*").alias("n_unique"))
     types = df.sparkSession.createDataFrame(df.dtypes, "feature string, dtype string")
@@ -100,13 +100,13 @@ def descriptive_statistics(df: DataFrame, columns: Sequence[str], percentiles: S
     )
 
 
-def missing_ranking(df: DataFrame, top: int = 10) -> DataFrame:
+def missing_ranking(df: DataFrame) -> DataFrame:
+    """Every column with missing values, most first."""
     per = missing_counts(df).filter(F.col("missing") > 0)
     return (
         per.select(F.col("column").alias("feature"), F.col("missing").alias("missing_count"),
                    rounded_even(F.col("missing") * 100.0 / F.col("n"), 4).alias("missing_pct"))
         .orderBy(F.desc("missing_count"), "feature")
-        .limit(top)
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.contracts import MIN_FISCAL_YEAR, Contract, static_kind_match
-from ..functions.scalars import finite_or_null, is_infinite, melt, numeric_columns, rounded_even, to_number, to_time
+from ..functions.scalars import finite_or_null, is_infinite, melt, nan_as_null, numeric_columns, rounded_even, to_number, to_time
 from ..session import materialize
 from .order import grouped_quantile, over_sequence, quantiles
 from .skew import join_to_keys
@@ -45,7 +45,7 @@ def _field(df: DataFrame, name: str) -> T.DataType:
 def missing_counts(df: DataFrame) -> DataFrame:
     """One row per column: missing count and share (one scan, then a tiny unpivot)."""
     cols = df.columns
-    row = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+    row = nan_as_null(df).agg(F.count("*").alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     long = row.select(
         "n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(cols)])).alias("s")
     )

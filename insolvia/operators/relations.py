@@ -11,7 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import category_of, melt
+from ..functions.scalars import category_of, melt, number_or_null
 from ..session import materialize
 from .order import EXPRESSIONS_PER_JOB, _batched, quantiles, running_totals
 from .profile import value_counts
@@ -36,7 +36,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """
     cols = list(columns)
     k = len(cols)
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    df = df.select(*[number_or_null(c).alias(c) for c in cols])
     n = df.count()
     ends = feature_numbers(df, cols, {"n": F.count, "lo": F.min, "hi": F.max})
     varies = [i for i, c in enumerate(cols) if ends[c]["n"] and ends[c]["lo"] < ends[c]["hi"]]
@@ -90,7 +90,7 @@ def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return pearson(materialize(ranks, "ranks"), columns)
 
 
-def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> DataFrame:
+def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact tau-b per feature pair without comparing rows pairwise.
 
     x is replaced by its dense rank.  Two points are ordered by x at the highest bit in
@@ -98,7 +98,7 @@ def kendall(df: DataFrame, columns: Sequence[str], max_features: int = 40) -> Da
     swept in y order and every 1-bit point adds the number of 0-bit points below it.
     That is n log n rows in one ordered running total, however large n is.
     """
-    cols = list(columns)[:max_features]
+    cols = list(columns)
     freq = value_counts(df, cols)
     dense = running_totals(freq.withColumn("one", F.lit(1)), ["feature"], ["value"], {"rank": "one"})
     dense = dense.select("feature", F.col("value").alias("x"), "rank", "n")

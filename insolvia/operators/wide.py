@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import melt
+from ..functions.scalars import melt, number_or_null
 
 # Beyond this many expressions one aggregate no longer compiles to a single fast loop, and
 # the cells are unpivoted and grouped by column name instead.
@@ -34,7 +34,7 @@ def per_feature(
     if len(columns) * len(aggs) <= WIDE_EXPRESSIONS:
         literal = {c: {k: F.lit(v) for k, v in (constants or {}).get(c, {}).items()} for c in columns}
         row = df.groupBy(*by).agg(
-            *[call(fn, F.col(c).cast("double"), literal[c]).alias(f"_{i}_{name}") for i, c in enumerate(columns) for name, fn in aggs.items()]
+            *[call(fn, number_or_null(c), literal[c]).alias(f"_{i}_{name}") for i, c in enumerate(columns) for name, fn in aggs.items()]
         )
         structs = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{name}").alias(name) for name in aggs]) for i, c in enumerate(columns)]
         return row.select(*by, F.explode(F.array(*structs)).alias("_s")).select(*by, "_s.*")
@@ -56,3 +56,11 @@ def feature_numbers(df: DataFrame, columns: Sequence[str], aggs: dict[str, Calla
     found = {r["feature"]: r.asDict() for r in per_feature(df, columns, aggs).collect()}
     empty = dict.fromkeys(aggs)
     return {c: found.get(c, {"feature": c, **empty}) for c in columns}
+
+
+def array_width(df: DataFrame, column: str) -> int:
+    """The one length of an array column; arrays of different lengths are refused."""
+    row = df.agg(F.min(F.size(column)).alias("low"), F.max(F.size(column)).alias("high")).first()
+    if row["low"] != row["high"]:
+        raise ValueError(f"arrays of {column} have {row['low']} to {row['high']} elements")
+    return row["low"] or 0

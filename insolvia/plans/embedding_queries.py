@@ -11,6 +11,7 @@ from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import neighbors as nb
 from ..operators.sampling import stratified_split
+from ..operators.wide import array_width
 from . import tables as t
 from .registry import query
 from .tables import r, sql_with
@@ -134,7 +135,7 @@ def _norm_histogram(spark, sf):
 @query("embedding_plane")
 def _plane(spark, sf):
     df = embeddings(spark, sf)
-    dim = df.select(F.size("embedding")).first()[0]
+    dim = array_width(df, "embedding")
     wide = df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"z_{i:03d}") for i in range(dim)])
     out = md.apply_projection(wide, md.fit_pca(wide, [f"z_{i:03d}" for i in range(dim)], k=2))
     return out.select("vec_id", "label", rounded("pca__1", 4).alias("pc1"), rounded("pca__2", 4).alias("pc2"))

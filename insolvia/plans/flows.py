@@ -99,13 +99,13 @@ def prepare(
 
 
 # ---------------------------------------------------------------- features
-def hints_from_tables(shape: DataFrame, pairs: DataFrame, vif: DataFrame, discrimination: DataFrame, top: int = 25) -> dict:
-    """What exploration suggests to feature engineering; each table has a row per feature."""
+def hints_from_tables(shape: DataFrame, pairs: DataFrame, vif: DataFrame, discrimination: DataFrame) -> dict:
+    """What exploration suggests to feature engineering, whole lists; each table has a row per feature."""
     return {
-        "skewed_features": [r["feature"] for r in shape.filter("highly_skewed").orderBy("feature").limit(top).collect()],
-        "high_correlation_pairs": [(r["feature_a"], r["feature_b"], r["r"]) for r in rel.high_pairs(pairs).limit(15).collect()],
-        "high_vif_features": [r["feature"] for r in vif.filter("vif > 10").orderBy(F.desc("vif")).limit(20).collect()],
-        "top_discriminative": [r["feature"] for r in discrimination.orderBy(F.desc("abs_cohens_d"), "feature").limit(15).collect()],
+        "skewed_features": [r["feature"] for r in shape.filter("highly_skewed").orderBy("feature").collect()],
+        "high_correlation_pairs": [(r["feature_a"], r["feature_b"], r["r"]) for r in rel.high_pairs(pairs).collect()],
+        "high_vif_features": [r["feature"] for r in vif.filter("vif > 10").orderBy(F.desc("vif")).collect()],
+        "top_discriminative": [r["feature"] for r in discrimination.orderBy(F.desc("abs_cohens_d"), "feature").collect()],
     }
 
 

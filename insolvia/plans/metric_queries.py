@@ -85,8 +85,8 @@ def _youden(spark, sf):
     "max_f1_threshold",
     sql_with(
         SCORES, COUNTS,
-        "grid AS (SELECT unnest(CASE WHEN COUNT(*) <= 200 THEN list(p) ELSE quantile_cont(p, " + str([i / 199 for i in range(200)]) + ") END) AS g FROM cnt)",
-        body=f"SELECT {r('g')} AS threshold, 'max_f1' AS method FROM grid, scores GROUP BY g ORDER BY 2.0 * COUNT(*) FILTER (y = 1 AND p >= g) / (COUNT(*) FILTER (p >= g) + COUNT(*) FILTER (y = 1)) DESC, g LIMIT 1",
+        "at_least AS (SELECT p, SUM(n) OVER w AS upto, SUM(pos) OVER w AS tp, SUM(pos) OVER () AS positives FROM cnt WINDOW w AS (ORDER BY p DESC))",
+        body=f"SELECT {r('p')} AS threshold, 'max_f1' AS method FROM at_least ORDER BY 2.0::DOUBLE * tp / (upto + positives) DESC, at_least.p LIMIT 1",
     ),
 )
 def _f1(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import to_number, to_time
+from ..functions.scalars import nan_as_null, to_number, to_time
 from ..operators.sampling import union_all
 from ..store import files
 
@@ -43,33 +43,42 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(c.strip() for c in next(csv.reader([files.first_line(spark, path)]), []))
 
 
+def _by_header(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in csv_paths(spark, folder):
+        groups.setdefault(_header(spark, path), []).append(path)
+    return groups
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Files of one header; `_overflow` holds what a line has too many."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_overflow")])
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
+
+
 def read_drifting_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """All CSVs of a folder by column name, with the file name as ``_source_file``.
 
     Files sharing a header are one scan.  Lines with too many fields are skipped, short
     lines are filled with nulls.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in csv_paths(spark, folder):
-        groups.setdefault(_header(spark, path), []).append(path)
     parts = []
-    for header, paths in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_overflow")])
-        part = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
-        part = part.withColumn("_source_file", F.col("_metadata.file_name")).filter(F.col("_overflow").isNull())
-        parts.append(part.drop("_overflow"))
+    for header, paths in _by_header(spark, folder).items():
+        part = _scan(spark, header, paths).withColumn("_source_file", F.col("_metadata.file_name"))
+        parts.append(part.filter(F.col("_overflow").isNull()).drop("_overflow"))
     return union_all(parts)
 
 
-def read_entity_csvs(spark: SparkSession, folder: str, entity: str = "ticker", types: dict[str, str] | None = None, max_files: int | None = None) -> DataFrame:
-    """One CSV per entity; the key is the upper-cased file name up to the first dot."""
-    paths = csv_paths(spark, folder)
-    paths = paths[:max_files] if max_files else paths
-    if not paths:
+def read_entity_csvs(spark: SparkSession, folder: str, entity: str = "ticker", types: dict[str, str] | None = None) -> DataFrame:
+    """One CSV per entity, joined by column name whatever the order of a file's columns; the
+    key is the upper-cased file name up to the first dot."""
+    parts = [
+        _scan(spark, header, paths).withColumn(entity, F.upper(F.split("_metadata.file_name", r"\.")[0])).drop("_overflow")
+        for header, paths in _by_header(spark, folder).items()
+    ]
+    if not parts:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    df = spark.read.option("header", True).csv(paths)
-    df = df.withColumn(entity, F.upper(F.split("_metadata.file_name", r"\.")[0]))
-    return typed(df.toDF(*[c.strip() for c in df.columns]), types or {})
+    return typed(union_all(parts), types or {})
 
 
 def resolve_dataset(spark: SparkSession, folder: str, name: str) -> tuple[str, str]:
@@ -82,7 +91,7 @@ def resolve_dataset(spark: SparkSession, folder: str, name: str) -> tuple[str, s
 
 def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
     fmt, path = resolve_dataset(spark, folder, name)
-    return spark.read.parquet(path) if fmt == "parquet" else read_csv(spark, path)
+    return nan_as_null(spark.read.parquet(path)) if fmt == "parquet" else read_csv(spark, path)
 
 
 def discover_datasets(spark: SparkSession, folder: str) -> list[str]:

@@ -8,6 +8,7 @@ import pytest
 
 from insolvia.operators import metrics as m
 from insolvia.operators import profile as p
+from insolvia.operators import quality as qu
 from insolvia.operators import relations as rel
 
 
@@ -140,13 +141,27 @@ def test_single_class_and_useless_scores(spark):
     assert (zero["precision"], zero["recall"], zero["f1"], zero["mcc"]) == (0.0, 0.0, 0.0, 0.0)
 
 
-def test_f1_grid_beyond_its_size(spark):
+def test_f1_looks_at_every_score(spark):
     pdf = scores(400, 9)
     pdf["p"] = np.random.default_rng(1).random(400)
-    t = m.max_f1_threshold(m.score_counts(spark.createDataFrame(pdf)), grid_size=20)
-    grid = np.quantile(np.unique(pdf.p), np.linspace(0, 1, 20))
-    f1 = [2 * ((pdf.p >= g) & (pdf.y == 1)).sum() / ((pdf.p >= g).sum() + pdf.y.sum()) for g in grid]
-    assert math.isclose(t, grid[int(np.argmax(f1))], abs_tol=1e-9)
+    t = m.max_f1_threshold(m.score_counts(spark.createDataFrame(pdf)))
+    every = np.sort(pdf.p.unique())
+    f1 = [2 * ((pdf.p >= g) & (pdf.y == 1)).sum() / ((pdf.p >= g).sum() + pdf.y.sum()) for g in every]
+    assert math.isclose(t, every[int(np.argmax(f1))], abs_tol=1e-12)
+
+
+def test_kendall_keeps_every_column(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.integers(0, 5, (12, 45)), columns=[f"x{i}" for i in range(45)])
+    found = rel.kendall(spark.createDataFrame(pdf), list(pdf.columns)).select("feature_a", "feature_b").collect()
+    assert {f"x{i}" for i in range(45)} <= {c for r in found for c in r}
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (None, 5.0), (4.0, 8.0)], "a double, b double")
+    counts = {r["column"]: r["missing"] for r in qu.missing_counts(df).collect()}
+    assert counts == {"a": 2, "b": 0}
+    assert abs(rel.correlation_matrix(df, ["a", "b"])[0, 1] - 1.0) < 1e-12
 
 
 def test_lift_and_gain(tiny_tasks):

@@ -26,12 +26,14 @@ def test_drifting_csvs(spark, tmp_path):
     assert rows == {("1", "10", None, "a.csv"), ("2", None, None, "a.csv"), ("4", None, "hello", "b.csv")}
 
 
-def test_entity_files_and_cap(spark, tmp_path):
+def test_entity_files_go_by_column_name(spark, tmp_path):
     for n in ("aaa.us", "bbb.us"):
         write(tmp_path / f"{n}.csv", "Date,Close\n2020-01-01,1.5\n")
     got = {(r["ticker"], r["Close"]) for r in src.read_entity_csvs(spark, str(tmp_path), types={"Close": "double"}).collect()}
     assert got == {("AAA", 1.5), ("BBB", 1.5)}
-    assert src.read_entity_csvs(spark, str(tmp_path), max_files=1).count() == 1
+    write(tmp_path / "ccc.csv", "Close, Date \n2.5,2020-01-02\n")
+    rows = {(r["ticker"], r["Date"], r["Close"]) for r in src.read_entity_csvs(spark, str(tmp_path), types={"Close": "double"}).collect()}
+    assert ("CCC", "2020-01-02", 2.5) in rows and ("AAA", "2020-01-01", 1.5) in rows
 
 
 def test_parquet_wins_over_csv(spark, tmp_path):
@@ -147,3 +149,24 @@ def test_text_files_replace_atomically(spark):
     for v in (1, 2):
         files.write_json(spark, path, {"v": v})
     assert files.read_json(spark, path) == {"v": 2} and files.read_json(spark, path + "x", {}) == {}
+
+
+def test_versions_go_by_number_and_are_never_overwritten(spark, tmp_path):
+    for n in (999, 1000):
+        spark.createDataFrame([(n, "train")], "x int, split string").write.partitionBy("split").parquet(str(tmp_path / f"v{n}" / "data"))
+    store = st.FeatureStore(spark, str(tmp_path))
+    assert store.versions() == ["v999", "v1000"] and store.latest() == "v1000"
+    record = store.save(spark.createDataFrame([(1, "train"), (2, "val")], "x int, split string"))
+    assert record["version"] == "v1001" == store.latest() and store.load()[0].count() == 2
+    assert spark.read.parquet(str(tmp_path / "v1000" / "data")).first()["x"] == 1000
+
+
+def test_hash_tells_where_nulls_stand(spark):
+    schema = "a int, b int"
+    assert st.content_hash(spark.createDataFrame([(1, None), (None, 2)], schema)) != st.content_hash(spark.createDataFrame([(None, 1), (2, None)], schema))
+
+
+def test_arrays_of_different_lengths_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([([1.0, 2.0], 0, "all"), ([1.0, 2.0, 3.0], 1, "all")], "z array<double>, target int, split string")
+    with pytest.raises(ValueError):
+        st.export_representation(df, "z", "target", str(tmp_path / "out"))
