@@ -43,9 +43,10 @@ BLOCK = 4_096
 
 @lru_cache(maxsize=4)
 def _seeds(registers: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(97)
-    draw = lambda: r.integers(0, 1 << 63, registers, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw(), draw()
+    """Factor and summand of each register; the first registers are the same whatever their number."""
+    drawn = np.random.default_rng(97).integers(0, 1 << 63, (registers, 2), dtype=np.int64).astype(np.uint64)
+    odd = drawn * np.uint64(2) + np.uint64(1)
+    return odd[:, 0].copy(), odd[:, 1].copy()
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:

@@ -197,6 +197,11 @@ def test_sketches_merge():
     assert (setsketch.merged(setsketch.sketch(a), setsketch.sketch(b)) == setsketch.sketch(both)).all()
 
 
+def test_short_sketches_begin_long_ones():
+    shingles = np.random.default_rng(8).integers(0, 1 << 62, 300).astype(np.uint64)
+    assert (setsketch.sketch(shingles, 96) == setsketch.sketch(shingles, 512)[:96]).all()
+
+
 def test_joint_estimate_is_close():
     r = np.random.default_rng(3)
     common, x, y = (r.integers(0, 1 << 62, k).astype(np.uint64) for k in (800, 100, 150))
