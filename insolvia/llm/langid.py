@@ -133,7 +133,9 @@ class LanguageModel:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            logits = self.table[cells].sum(axis=0, dtype=np.float64) * (TF_SCALE / len(cells))
+            # a long text is summed by cell, so that no row of weights is copied for each of its runs
+            total = self.table[cells].sum(axis=0, dtype=np.float64) if len(cells) < self.buckets else np.bincount(cells, minlength=self.buckets) @ self.table.astype(np.float64)
+            logits = total * (TF_SCALE / len(cells))
             p = _softmax(logits / self.temperature)
             best = int(np.argmax(p))
             names.append(self.languages[best])
@@ -179,7 +181,9 @@ def fit(docs: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text
 
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(draw < share[F.col("lang")]).withColumn("order", F.xxhash64("id", "text")).coalesce(1)
+    sample = rows.where(draw < share[F.col("lang")]).withColumn("order", F.xxhash64("id", "text"))
+    # the scan keeps its tasks, only the bounded sample moves to the one that learns
+    sample = sample.select("order", "text", "lang").repartition(1)
 
     def learn_rows(batches):
         data = []
@@ -195,5 +199,5 @@ def fit(docs: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text
         heat = fit_temperature(logits, np.array([r[2] for r in kept_back], int))
         yield pa.RecordBatch.from_arrays([pa.array([(w * idf[:, None]).astype(np.float32).tobytes()], pa.binary()), pa.array([heat])], names=["table", "heat"])
 
-    fitted = sample.select("order", "text", "lang").mapInArrow(learn_rows, "table binary, heat double").first()
+    fitted = sample.mapInArrow(learn_rows, "table binary, heat double").first()
     return LanguageModel(languages, np.frombuffer(fitted["table"], np.float32).reshape(buckets, len(languages)), fitted["heat"], buckets)
