@@ -356,8 +356,10 @@ def unordered_series(df: DataFrame, entity: str, time: str, seq: str, width: int
     pieces = marked.groupBy("entity", "g").agg(
         F.bool_or("down").alias("down"), F.min_by("t", "s").alias("first"), F.max_by("t", "s").alias("last"), F.count("*").alias("n")
     )
-    outer = Window.partitionBy("entity").orderBy("g")
-    joined = pieces.withColumn("down", F.col("down") | F.coalesce(F.col("first") < F.lag("last").over(outer), F.lit(False)))
+    # A sparse sequence leaves as many stretches as rows: they take the bounded route too.
+    pieces = materialize(pieces, "stretches")
+    joined = over_sequence(pieces, ["entity"], ["g"], 1, lambda w: {"step_down": F.coalesce(F.col("first") < F.lag("last").over(w), F.lit(False))})
+    joined = joined.withColumn("down", F.col("down") | F.col("step_down"))
     return joined.groupBy("entity").agg(F.bool_or("down").alias("unordered"), F.sum("n").alias("n"))
 
 

@@ -145,8 +145,7 @@ def _insights(spark, sf):
 
 @query("exploration_run")
 def _explore(spark, sf):
-    only = ["overview", "target", "descriptive", "missing", "outliers", "distributions", "correlation", "ratios", "relationships", "dimensionality"]
-    tables, status = flows.explore(t.firms(spark, sf).drop("split"), "target", "entity_id", only=only)
+    tables, status = flows.explore(t.firms(spark, sf).drop("split"), "target", "entity_id")
     write_report_tables(tables, new_path(spark, "exploration"))
     return status
 

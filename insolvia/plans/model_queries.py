@@ -48,7 +48,7 @@ def train_of(df):
 @query("risk_scoring")
 def _flagship(spark, sf):
     df = scaled_firms(spark, sf)
-    fitted = md.fit("logistic_regression", train_of(df), FEATURES, "target", {"maxIter": 100})
+    fitted = md.fit("logistic_regression", train_of(df), FEATURES, "target")
     scored = md.predict(fitted, df)
     threshold, _ = mt.choose_threshold(mt.score_counts(scored.filter(F.col("split") == "val"), "target", "p"))
     return scoring.score(scored, "p", threshold, "v001", "logistic_regression", F.lit("2024-01-20T00:00:00"), key="entity_id")
@@ -65,15 +65,15 @@ for _name, _params in SMALL.items():
 
 @query("fold_scores")
 def _cv(spark, sf):
-    folds = sampling.stratified_folds(train_of(scaled_firms(spark, sf)), "target", "entity_id", 3)
-    rows = md.cross_validate("logistic_regression", folds, FEATURES, "target", "fold", [{"maxIter": 50}])
+    folds = sampling.stratified_folds(train_of(scaled_firms(spark, sf)), "target", "entity_id", 5)
+    rows = md.cross_validate("logistic_regression", folds, FEATURES, "target", "fold")
     return spark.createDataFrame([(x["mean"], x["std"]) for x in rows], "mean double, std double")
 
 
 @query("parameter_search")
 def _search(spark, sf):
     folds = sampling.stratified_folds(train_of(scaled_firms(spark, sf)), "target", "entity_id", 3)
-    grid = md.search_grid("decision_tree", {"maxDepth": [2, 4], "minInstancesPerNode": [5, 10]}, "random", 3)
+    grid = md.search_grid("decision_tree")
     rows = md.cross_validate("decision_tree", folds, FEATURES, "target", "fold", grid)
     return spark.createDataFrame([(str(sorted(x["params"].items())), x["mean"], x["std"]) for x in rows], "params string, mean double, std double")
 
@@ -87,8 +87,8 @@ def _native(spark, sf):
 @query("permutation_importance")
 def _permutation(spark, sf):
     df = scaled_firms(spark, sf)
-    fitted = md.fit("logistic_regression", train_of(df), FEATURES, "target", {"maxIter": 50})
-    return md.permutation_importance(fitted, df.filter(F.col("split") == "val"), "target", "entity_id", repeats=2)
+    fitted = md.fit("logistic_regression", train_of(df), FEATURES, "target")
+    return md.permutation_importance(fitted, df.filter(F.col("split") == "val"), "target", "entity_id")
 
 
 @query("combined_importance")

@@ -291,8 +291,7 @@ def _registry(spark, sf):
     reg = st.ModelRegistry(spark, new_path(spark, "models"))
     df = scaled_firms(spark, sf)
     for name in ("logistic_regression", "naive_bayes"):
-        params = {"maxIter": 30} if name == "logistic_regression" else {}
-        fitted = md.fit(name, train_of(df), FEATURES, "target", params)
+        fitted = md.fit(name, train_of(df), FEATURES, "target")
         threshold, _, ev = md.evaluate_splits(fitted, df, "target", "entity_id")
         entry = reg.register(fitted, threshold, ev["test"], "v001", "target")
     reg.register_best(max(reg.entries(), key=lambda e: e["metrics"]["roc_auc"]))
@@ -303,7 +302,7 @@ def _registry(spark, sf):
 def _best(spark, sf):
     reg = st.ModelRegistry(spark, new_path(spark, "models"))
     df = scaled_firms(spark, sf)
-    entry = reg.register(md.fit("logistic_regression", train_of(df), FEATURES, "target", {"maxIter": 30}), 0.5, {"roc_auc": 0.5}, "v001", "target")
+    entry = reg.register(md.fit("logistic_regression", train_of(df), FEATURES, "target"), 0.5, {"roc_auc": 0.5}, "v001", "target")
     reg.register_best(entry)
     fitted, meta = reg.load_best()
     return md.predict(fitted, df).select("entity_id", F.lit(meta["model_version"]).alias("model_version"), rounded("p").alias("p"))
