@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.contracts import Contract
 from ..functions.scalars import rounded
 from ..operators import profile as pf
 from ..operators import relations as rel
@@ -10,12 +11,12 @@ from ..operators import scoring
 from ..session import new_path
 from ..store.tables import write_report_tables
 from ..streaming import scoring as stream
-from . import flows
+from . import crosscheck, flows
 from . import tables as t
 from .metric_queries import BAND, RISK
 from .model_queries import scaled_firms, train_of
 from .profile_queries import COHEN, LONG, PAIRS, SHAPE
-from .quality_queries import EVENTS
+from .quality_queries import EVENTS, _fence_sql, dup_sql
 from .registry import query
 from .tables import AS_OF_DATE, AS_OF_YEAR, DIRTY, FEATURES, FIRMS, GAPPY, r, sql_with, table
 
@@ -174,6 +175,82 @@ def _corpus(spark, sf):
     return out.select("source", "n_rows", rounded("score", 2).alias("score"), "grade", F.col("load_error").isNotNull().alias("failed"))
 
 
+CROSSED = {
+    c.source: c
+    for c in (
+        Contract(
+            "events", required={"entity_id": "integer", "date": "datetime", "v": "numeric", "region": "string"}, optional={"v_text": "numeric"},
+            entity="entity_id", dates=("date",), series_keys=("entity_id",), keys=("entity_id", "date", "v"), ranges={"v": (0.5, 20.0), "v_inf": (None, 1e9)}, freshness_days=400,
+        ),
+        Contract("orders", required={"o_orderkey": "integer"}, dates=("o_orderdate",), keys=("o_custkey",), min_rows=10**9, ranges={"o_totalprice": (2000.0, None)}, freshness_days=400),
+        Contract("customer", required={"c_custkey": "integer"}, keys=("c_custkey",), ranges={"c_acctbal": (-1e9, 1e9)}),
+        Contract("prices"),
+        Contract("rates"),
+        Contract("unread"),
+    )
+}
+MANIFEST = {"prices": "success", "rates": "failed", "events": "success"}
+
+_AGE = "floor((epoch(TIMESTAMP '{as_of}') - epoch(MAX({date}))) / 86400)"
+CROSS = (
+    DIRTY,
+    "cross0 AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{source}' AS source, '{check}' AS check_name, '{level}' AS level, '{column}' AS col, ({value})::DOUBLE AS value"
+        for source, check, level, column, value in (
+            ("events", "kind", "WARN", "v_text", "1"),
+            ("events", "schema", "FAIL", "region", "1"),
+            ("events", "key_nulls", "FAIL", "v", "SELECT COUNT(*) FILTER (v IS NULL) FROM dirty"),
+            ("events", "key_uniqueness", "WARN", "entity_id,date,v", f"SELECT {dup_sql('dirty', 'entity_id, date, v')}"),
+            ("events", "value_range", "FAIL", "v", "SELECT COUNT(*) FILTER (v < 0.5 OR v > 20) FROM dirty"),
+            ("events", "value_range", "FAIL", "v_inf", "SELECT COUNT(*) FILTER (v_inf > 1e9) FROM dirty"),
+            ("events", "infinities", "FAIL", "v_inf", "SELECT COUNT(*) FILTER (isinf(v_inf)) FROM dirty"),
+            ("events", "freshness", "WARN", "date", f"SELECT CASE WHEN age > 400 THEN age ELSE 0 END FROM (SELECT {_AGE.format(as_of=AS_OF_DATE, date='date')} AS age FROM dirty)"),
+            ("events", "time_order", "WARN", "date", "SELECT COUNT(DISTINCT entity_id) FROM (SELECT entity_id, date < LAG(date) OVER (PARTITION BY entity_id ORDER BY seq) AS back FROM dirty) WHERE back"),
+            ("orders", "row_count", "FAIL", "", "SELECT COUNT(*) FROM orders"),
+            ("orders", "key_uniqueness", "WARN", "o_custkey", "SELECT COUNT(*) - COUNT(DISTINCT o_custkey) FROM orders"),
+            ("orders", "value_range", "FAIL", "o_totalprice", "SELECT COUNT(*) FILTER (o_totalprice < 2000) FROM orders"),
+            ("orders", "freshness", "WARN", "o_orderdate", f"SELECT CASE WHEN age > 400 THEN age ELSE 0 END FROM (SELECT {_AGE.format(as_of=AS_OF_DATE, date='o_orderdate')} AS age FROM orders)"),
+            ("customer", "key_uniqueness", "WARN", "c_custkey", "SELECT COUNT(*) - COUNT(DISTINCT c_custkey) FROM customer"),
+        )
+    )
+    + "".join(
+        f" UNION ALL SELECT '{source}', 'far_out', 'WARN', feature, pct FROM ({_fence_sql(cte, columns, 3.0)}) WHERE pct > 0.2"
+        for source, cte, columns in (("events", "dirty", ["v_inf"]), ("orders", "orders", ["o_orderkey", "o_totalprice"]), ("customer", "customer", ["c_nationkey", "c_acctbal"]))
+    )
+    + ")",
+    """crossed AS (SELECT source, check_name, level, col, CASE WHEN check_name NOT IN ('schema', 'kind') THEN value END AS value FROM cross0 WHERE value > 0
+      UNION ALL SELECT s, 'summary', 'PASS', '', NULL FROM (VALUES ('events'), ('orders'), ('customer')) x(s) WHERE s NOT IN (SELECT source FROM cross0 WHERE value > 0)
+      UNION ALL SELECT * FROM (VALUES ('prices', 'coverage', 'FAIL', '', NULL), ('rates', 'coverage', 'WARN', '', NULL), ('unread', 'readable', 'FAIL', '', NULL)))""",
+)
+
+
+def _cross(spark, sf):
+    folder = new_path(spark, "crossed")
+    t.dirty_events(spark, sf).write.parquet(f"{folder}/events.parquet")
+    table(spark, sf, "orders").write.parquet(f"{folder}/orders.parquet")
+    table(spark, sf, "customer").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([("not parquet",)], "value string").write.text(f"{folder}/unread.parquet")
+    return crosscheck.cross_check(spark, folder, AS_OF_DATE, CROSSED, MANIFEST, {"events": "seq"})
+
+
+@query("corpus_cross_check", sql_with(*CROSS, body='SELECT source, check_name AS "check", level, col AS "column", value FROM crossed'))
+def _cross_findings(spark, sf):
+    return _cross(spark, sf)
+
+
+@query(
+    "corpus_cross_summary",
+    sql_with(
+        *CROSS,
+        body="""SELECT source, COUNT(*) FILTER (level = 'FAIL') AS n_fail, COUNT(*) FILTER (level = 'WARN') AS n_warn,
+          CASE WHEN bool_or(level = 'FAIL') THEN 'FAIL' WHEN bool_or(level = 'WARN') THEN 'WARN' ELSE 'PASS' END AS worst FROM crossed GROUP BY source""",
+    ),
+)
+def _cross_worst(spark, sf):
+    return crosscheck.cross_summary(_cross(spark, sf))
+
+
 # ---------------------------------------------------------------- streams
 @query(
     "stream_scoring",

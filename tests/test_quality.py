@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from insolvia.functions.contracts import Contract, contract_for
 from insolvia.functions.scalars import clean_text, confidence, risk_band, risk_score, safe_ratio, to_number
 from insolvia.operators import quality as q
+from insolvia.plans.crosscheck import cross_check, cross_summary
+from insolvia.session import new_path
+from insolvia.store.tables import write_sidecar
 
 
 def one(df):
@@ -114,3 +117,25 @@ def test_scalars(spark):
     ).first()
     assert (row["a"], row["b"], row["c"], row["r"]) == ("Big Co", None, None, None)
     assert row["s"] == 33.0 and row["band"] == "Medium" and math.isclose(row["conf"], 0.75) and row["edge"] == 1.0
+
+
+def test_cross_check_names_each_violation(spark):
+    folder = new_path(spark, "cross-test")
+    clean = spark.createDataFrame([(i, float(i % 7)) for i in range(40)], "id long, x double")
+    clean.write.parquet(f"{folder}/clean.parquet")
+    write_sidecar(spark, folder, "clean", clean, 40, None, f"{folder}/clean.parquet", {})
+    changed = clean.withColumn("x", F.col("x") + 1)
+    changed.write.parquet(f"{folder}/changed.parquet")
+    write_sidecar(spark, folder, "changed", clean, 40, None, f"{folder}/changed.parquet", {})
+    spark.createDataFrame([(None, 5.0), (1, float("inf")), (1, -1.0)], "id long, x double").write.parquet(f"{folder}/bad.parquet")
+    spark.createDataFrame([], "id long, x double").write.parquet(f"{folder}/empty.parquet")
+    contracts = {n: Contract(n, required={"id": "integer"}, keys=("id",), ranges={"x": (0.0, 100.0)}, min_rows=3) for n in ("clean", "changed", "bad", "empty", "lost", "never")}
+    out = cross_check(spark, folder, "2024-01-20", contracts, {"lost": "success"})
+    rows = {tuple(r) for r in out.collect()}
+    assert rows == {
+        ("clean", "summary", "PASS", "", None), ("changed", "integrity", "FAIL", "", None), ("empty", "row_count", "FAIL", "", 0.0),
+        ("bad", "key_nulls", "FAIL", "id", 1.0), ("bad", "key_uniqueness", "WARN", "id", 1.0), ("bad", "value_range", "FAIL", "x", 2.0), ("bad", "infinities", "FAIL", "x", 1.0),
+        ("lost", "coverage", "FAIL", "", None), ("never", "coverage", "WARN", "", None),
+    }
+    worst = {r["source"]: r["worst"] for r in cross_summary(out).collect()}
+    assert worst == {"clean": "PASS", "changed": "FAIL", "bad": "FAIL", "empty": "FAIL", "lost": "FAIL", "never": "WARN"}
