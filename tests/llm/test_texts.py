@@ -284,6 +284,30 @@ def test_contamination_awkward_rows(spark, awkward, nothing):
         decontam.find_contamination(awkward, bench, max_words=1)
 
 
+def test_contamination_in_blocks_equals_one_automaton(spark, documents, awkward):
+    """A benchmark above one automaton's size is scanned in blocks, with the same answer."""
+    rng = random.Random(19)
+    items = [(k, " ".join(rng.choice("abcdé") for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 6, 6, 9, 12, 14, 30])] + [(99, None), (None, "a b, C!"), (7, "short text"), (8, "short text")]
+    items += [(1000 + k, "e e e e") for k in range(40)]  # one window of many items is dealt out too
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(rng.choice(["a", "B", "c-", "d", "é", "zz", "e"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = documents([(i % 40, t) for i, t in enumerate(texts)]).unionByName(awkward.select("doc_id", "text", "lang", "source", "n_chars"))
+    plain = lambda rows: sorted([(r.doc_id is None, r.doc_id, r.n_words, r.n_hit, r["items"], [(s.start, s.end) for s in r.spans]) for r in rows.collect()], key=str)
+    whole = decontam.find_contamination(docs, bench, span=4, with_spans=True)
+    dealt = decontam.find_contamination(docs, bench, span=4, with_spans=True, block_pairs=20)
+    assert decontam._blocks(bench, 4, "item_id", "text", None, 20)[0] > 3 and plain(dealt) == plain(whole)
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(decontam.clean_documents(docs, bench, span=4, block_pairs=20)) == same(decontam.clean_documents(docs, bench, span=4))
+
+
+def test_large_benchmark_is_not_refused(spark, documents):
+    """More items than the 100,000 of the former cap."""
+    bench = spark.range(100_001).select(F.col("id").alias("item_id"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x y")).alias("text"))
+    docs = documents(["the w77 x y here", "w77 y x", "W100000, x y"])
+    found = {r.doc_id: r["items"] for r in decontam.find_contamination(docs, bench).collect()}
+    assert found == {0: ["77"], 1: [], 2: ["100000"]} and [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [1]
+
+
 # BPE and token files
 
 
