@@ -16,18 +16,8 @@ from . import tables as t
 from .registry import query
 from .tables import FEATURES, FIRMS, r, sql_with
 
-# Iterative fits run with the library's defaults; the ensembles are smaller than models.DEFAULTS,
-# whose 400 deep trees and 600 rounds take minutes each on one machine.
-SMALL = {
-    "logistic_regression": {},
-    "decision_tree": {},
-    "random_forest": {"numTrees": 20, "maxDepth": 8},
-    "boosted_trees": {"maxIter": 10, "maxDepth": 4},
-    "naive_bayes": {},
-    "mlp": {},
-    "svm": {},
-    "knn": {"k": 15},
-}
+# Every algorithm as the operator fits it: models.DEFAULTS, nothing overridden.
+ALGORITHMS: dict[str, dict] = {name: {} for name in md.DEFAULTS}
 
 
 def scaled_firms(spark, sf):
@@ -54,7 +44,7 @@ def _flagship(spark, sf):
     return scoring.score(scored, "p", threshold, "v001", "logistic_regression", F.lit("2024-01-20T00:00:00"), key="entity_id")
 
 
-for _name, _params in SMALL.items():
+for _name, _params in ALGORITHMS.items():
 
     @query(f"fit_{_name}")
     def _fit(spark, sf, name=_name, params=_params):
@@ -81,7 +71,7 @@ def _search(spark, sf):
 @query("native_importance")
 def _native(spark, sf):
     df = scaled_firms(spark, sf)
-    return md.importance_table(df, md.native_importance(md.fit("random_forest", train_of(df), FEATURES, "target", SMALL["random_forest"])))
+    return md.importance_table(df, md.native_importance(md.fit("random_forest", train_of(df), FEATURES, "target")))
 
 
 @query("permutation_importance")
@@ -93,7 +83,7 @@ def _permutation(spark, sf):
 
 @query("combined_importance")
 def _combined(spark, sf):
-    return md.combined_importance(train_of(scaled_firms(spark, sf)), FEATURES, "target", trees=10)
+    return md.combined_importance(train_of(scaled_firms(spark, sf)), FEATURES, "target")
 
 
 @query(
@@ -124,7 +114,7 @@ def _rfe(spark, sf):
 
 @query("forest_selection")
 def _select(spark, sf):
-    kept = md.select_by_forest(train_of(scaled_firms(spark, sf)), FEATURES, "target", trees=10)
+    kept = md.select_by_forest(train_of(scaled_firms(spark, sf)), FEATURES, "target")
     return spark.createDataFrame([(c, c in kept) for c in FEATURES], "feature string, kept boolean")
 
 
@@ -194,10 +184,10 @@ def _ifilter(spark, sf):
 
 @query("training_leaderboard")
 def _train_all(spark, sf):
-    board, _ = md.train_all(scaled_firms(spark, sf), FEATURES, "target", "entity_id", {k: SMALL[k] for k in ("logistic_regression", "decision_tree", "naive_bayes")})
+    board, _ = md.train_all(scaled_firms(spark, sf), FEATURES, "target", "entity_id", ALGORITHMS)
     return board
 
 
 @query("two_model_comparison")
 def _two(spark, sf):
-    return md.best_of_two(scaled_firms(spark, sf), FEATURES, "target", "entity_id", SMALL["random_forest"], SMALL["boosted_trees"])
+    return md.best_of_two(scaled_firms(spark, sf), FEATURES, "target", "entity_id", ALGORITHMS["random_forest"], ALGORITHMS["boosted_trees"])

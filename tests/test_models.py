@@ -188,3 +188,21 @@ def test_encoders_and_scalers_on_unseen_and_constant_values(spark):
         scaled = pr.apply_scale(train, pr.fit_scale(train, ["k", "v"], method))
         assert {r["k"] for r in scaled.collect()} == {want}
     assert pr.align_columns(test, ["v", "new"]).columns == ["v", "new"]
+
+
+def test_model_queries_run_the_operators_defaults(monkeypatch):
+    """Every algorithm is on the leaderboard, and no model query makes a fit smaller than models.DEFAULTS."""
+    from insolvia.plans import model_queries as mq
+    from insolvia.plans.registry import QUERIES
+
+    seen = {}
+    note = lambda label, out: lambda *a, **k: seen.__setitem__(label, (a, k)) or out
+    monkeypatch.setattr(mq, "scaled_firms", lambda spark, sf: None)
+    monkeypatch.setattr(mq, "train_of", lambda df: None)
+    monkeypatch.setattr(md, "train_all", note("training_leaderboard", ("board", {})))
+    monkeypatch.setattr(md, "combined_importance", note("combined_importance", None))
+    monkeypatch.setattr(md, "best_of_two", note("two_model_comparison", None))
+    for name in ("training_leaderboard", "combined_importance", "two_model_comparison"):
+        QUERIES[name](None, None)
+    assert {k: {**md.DEFAULTS[k], **p} for k, p in seen["training_leaderboard"][0][4].items()} == md.DEFAULTS
+    assert "trees" not in seen["combined_importance"][1] and seen["two_model_comparison"][0][4:] == ({}, {})
