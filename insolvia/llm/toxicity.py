@@ -5,8 +5,9 @@
    hardly do; the shortest beginning that is as telling as the longer ones is kept.
 3. Matching: the trie of the lexicon is intersected with a Levenshtein automaton for one edit. The
    product is walked as one automaton whose states (sets of trie node and edits made) are built when
-   first met and kept. Stems end anywhere in a word and must begin exactly; whole words may be
-   misspelled by one edit when they have at least MIN_FUZZY letters.
+   first met and kept. Stems end anywhere in a word and must begin exactly; whole words, those under a
+   stem too, may be misspelled by one edit (a wrong, extra or missing letter; two swapped letters are two
+   edits) when they have at least MIN_FUZZY letters, at a lower weight below FULL_FUZZY letters.
 4. Context: the words within WINDOW of a hit and the marks around it tell quotation from abuse; a hit
    between quotation marks or beside reporting words counts as quoted.
 5. Score: logistic regression over the weights, shares and contexts of a text's hits.
@@ -32,7 +33,10 @@ from ..session import bounded_collect, materialize
 from .words import chunked, row_id, shown_id, text_bytes
 
 PER_LABEL = 8_000
-MIN_STEM, MAX_STEM, MIN_FUZZY = 4, 12, 5
+MIN_STEM, MAX_STEM = 4, 12
+MIN_FUZZY, FULL_FUZZY = 4, 5
+# What is left of a term's weight when it is misspelled: a short one may well be another word.
+MISSPELLED, SHORT_MISSPELLED = 0.8, 0.4
 WINDOW = 6
 MAX_TERMS = 200_000
 
@@ -117,7 +121,7 @@ class Lexicon:
             for at, edits in self.sets[state]:
                 term = self.word_at.get(at)
                 if term and (edits == 0 or len(term) >= MIN_FUZZY):
-                    weight = self.words[term] * (1.0 if edits == 0 else 0.8)
+                    weight = self.words[term] * (1.0 if edits == 0 else MISSPELLED if len(term) >= FULL_FUZZY else SHORT_MISSPELLED)
                     if best is None or weight > best[1]:
                         best = (term, weight, edits)
         if len(self.matches) > 400_000:  # a memory bound; answers do not depend on it
@@ -242,7 +246,8 @@ def _term_counts(wanted: frozenset | None):
 
 
 def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], clean: int, toxic: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems whose log-odds for toxic are high, from (toxic, clean) counts of texts; longer beginnings that add nothing are left out."""
+    """Words and stems whose log-odds for toxic are high, from (toxic, clean) counts of texts; longer beginnings that add nothing
+    are left out, whole words under a stem are kept: only they are matched with an edit."""
     weight = {}
     for key, (a, b) in counts.items():
         odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -257,7 +262,6 @@ def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], clean: int, to
         longest = max((counts[k][0] for k in counts if k[1] and k[0].startswith(t)), default=0)
         if counts[(t, whole)][0] >= 1.3 * longest:
             stems[t] = w
-    words = {t: w for t, w in words.items() if not any(t[:k] in stems for k in range(MIN_STEM, len(t) + 1))}
     return words, stems
 
 

@@ -228,6 +228,18 @@ def test_quoted_hits_are_told_apart():
     assert flags('you idiot') == [False] and flags('the "idiot" here') == [True] and flags("he said idiot") == [True]
 
 
+def test_misspelled_stems_and_short_terms(quarrels):
+    """A misspelling inside a stem is a hit of the whole word; a four-letter term takes an edit at a lower weight."""
+    docs, labels = quarrels
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert "zorg" in model.lexicon.stems and model.lexicon.match("zergling")[0::2] == ("zorgling", 1)
+    misspelled, clean = model.score_texts(["what a zergling thing, a zergath", "what a thing"])
+    assert misspelled >= 0.5 > clean
+    lexicon = toxicity.Lexicon({"scum": 3.0, "idiot": 3.0}, {})
+    short, long = lexicon.match("scumm"), lexicon.match("idiott")
+    assert short[0::2] == ("scum", 1) and 0 < short[1] < long[1] and lexicon.match("scum") == ("scum", 3.0, 0)
+
+
 def test_toxicity_awkward_rows(quarrels, awkward, nothing):
     docs, labels = quarrels
     model = toxicity.fit(docs, labels, F.lit(True))
