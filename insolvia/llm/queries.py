@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exactdedup, langid, license, setsketch, substring, tokenfile, toxicity, urlfilter
+from . import bpe, decontam, exactdedup, hardneg, langid, license, quality, setsketch, substring, tokenfile, toxicity, urlfilter, whitening
 from .sql import ORACLES  # noqa: F401
 from .words import read_table
 
@@ -69,7 +69,24 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return setsketch.near_duplicates(read_table(spark, sf, "documents"), size=3, similarity=0.85)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine_hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    model = quality.fit(docs, read_table(spark, sf, "labels"), F.crc32("id") % 4 != 2)
+    held_out = F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_url_filters, op3_exact_dedup, op4_substring_dedup, op5_license_scans, op6_bpe, op7_decontamination, op8_toxicity, op9_token_files, op10_near_dedup)
+    for f in (op1_language_id, op2_url_filters, op3_exact_dedup, op4_substring_dedup, op5_license_scans, op6_bpe, op7_decontamination, op8_toxicity, op9_token_files, op10_near_dedup, op11_whitening, op12_hard_negatives, op13_quality)
 }

@@ -63,5 +63,15 @@ reach(doc_id, r) as (select a, a from sym union select reach.doc_id, sym.b from
 parts as (select doc_id, min(r) as part from reach group by doc_id)
 select words.doc_id, coalesce(n, 0) as n_shingles, coalesce(part, words.doc_id) as component_id, coalesce(part, words.doc_id) = words.doc_id as kept
 from words left join sizes using (doc_id) left join parts using (doc_id)
+""",
+    "op12_hard_negatives": r"""
+with usable as (
+  select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * c::double) for c in embedding] as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+pairs as (select a.id as a, r.id as r, a.label = r.label as same, list_dot_product(a.x, r.x)::bigint as s from usable a join usable r on a.id % 100 = 0 and a.id <> r.id),
+positives as (select a, r, s from pairs where same qualify row_number() over (partition by a order by s desc, r) <= 5)
+select p.a as anchor_id, p.r as positive_id, row_number() over (partition by p.a, p.r order by n.s desc, n.r)::int as rank, n.r as negative_id, p.s as positive_score, n.s as negative_score
+from positives p join pairs n on n.a = p.a and not n.same and 80 * p.s <= 100 * n.s and n.s <= p.s
+qualify row_number() over (partition by p.a, p.r order by n.s desc, n.r) <= 5
 """,
 }
