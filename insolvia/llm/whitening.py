@@ -21,6 +21,7 @@ named columns are read.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -56,7 +57,8 @@ def dense_index(df: DataFrame, label: str) -> DataFrame:
 
 def block_matrix(indexed: DataFrame, values: Column, rows: int, dims: int) -> BlockMatrix:
     vectors = indexed.select("index", array_to_vector(values).alias("row"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row"), rows, dims).toBlockMatrix(ROWS_PER_BLOCK, dims)
+    # Products read the blocks several times; without this each time deals all rows into blocks anew. A lost block is made again.
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row"), rows, dims).toBlockMatrix(ROWS_PER_BLOCK, dims).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gram(matrix: BlockMatrix, rows: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def whiten(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", scal
     values, alive, white = whitening_matrix(covariance, min(components, dims))
     count = len(values)
     by = BlockMatrix(spark.sparkContext.parallelize([((0, 0), Matrices.dense(dims, count, white.ravel(order="F")))], 1), dims, count)
-    spread = gram(fitted.multiply(by), n) / n
+    spread = gram(fitted.multiply(by).persist(StorageLevel.MEMORY_AND_DISK), n) / n
     error = float(np.abs(spread - np.eye(count))[np.ix_(alive, alive)].max()) if alive.any() else 0.0
     trace = float(np.trace(covariance))
     explained = [float(max(v, 0.0) / trace) if trace > 0 else 0.0 for v in values]
