@@ -157,6 +157,12 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null where it is a floating one; other types as they are."""
+    c = F.col(f"`{column}`")
+    return F.when(~F.isnan(c), c) if dict(df.dtypes)[column] in ("double", "float") else c
+
+
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature", value: str = "value") -> DataFrame:
     """Wide to long as doubles; a narrow projection, so only the listed columns are scanned."""
     wide = df.select(*keep, *[number_or_null(c).alias(c) for c in columns])

@@ -1,8 +1,16 @@
-"""Exact k nearest neighbours without a cross join.
+"""Exact k nearest neighbours by pivots, without comparing every block with every other.
 
-Queries and references are hashed into blocks and every pair of blocks meets in one
-bounded cogroup, where NumPy keeps the k best per query.  Only k candidates per query
-and block leave a task, and a ranked window merges them.
+References are dealt into cells: each belongs to the nearest of a bounded number of pivots
+(sampled references).  Per cell a few numbers reach the driver: size, bounding box, largest and
+smallest distance to the pivot, the k smallest such distances.  They bound, for each query, the
+distance of its k-th neighbour from above and the distance of a whole cell from below (triangle
+inequality, bounding box, and the half-space between two pivots), so that a query is sent only
+to cells that may hold one of its neighbours.  Queries and cells meet in bounded co-groups where
+NumPy keeps the k best per query; a ranked window merges them.
+
+Rows with gaps (imputation) are dealt by the pattern of their gaps first.  Within a pattern the
+distance over common coordinates is bounded by the box over these coordinates; rare patterns
+share cells without bounds, which every query visits.  All columns are filled in one pass.
 """
 from __future__ import annotations
 
@@ -10,11 +18,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.scalars import number_or_null
+from ..session import bounded_collect, materialize
 
 QUERY_BLOCK, REFERENCE_BLOCK = 2_048, 32_768
 CHUNK = 256
+# Rows a cell should have, and how many cells and separate patterns of gaps there may be.
+CELL_ROWS, MAX_CELLS, MAX_PATTERNS = 4_096, 1_024, 64
+# Relative slack of the bounds: rounding may not lose a neighbour.
+SLACK = 1e-9
 
 
 def _blocks(rows: int, size: int) -> int:
@@ -36,21 +53,197 @@ def _distances(q: np.ndarray, r: np.ndarray, nan_aware: bool) -> np.ndarray:
     return out
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, nan_aware: bool = False) -> DataFrame:
+def _vectors(column) -> np.ndarray:
+    """Arrow or pandas lists of doubles as a matrix, null entries as NaN."""
+    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(rows), -1)
+
+
+# ---------------------------------------------------------------- cells
+class Cells:
+    """What is known of every cell: pattern of present coordinates, pivot, size, box, radii."""
+
+    def __init__(self, pivots: np.ndarray, present: np.ndarray, mixed: np.ndarray):
+        self.pivots, self.present, self.mixed = pivots, present, mixed  # one row per cell
+        n, d = pivots.shape
+        self.size = np.zeros(n, np.int64)
+        self.low, self.high = np.full((n, d), np.inf), np.full((n, d), -np.inf)
+        self.radii: list[np.ndarray] = [np.zeros(0)] * n  # the smallest distances to the pivot
+        self.largest = np.zeros(n)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and distance to its pivot of each row; a row goes to the cells of its own pattern, if there are any."""
+        own = ~np.isnan(x)
+        cell, radius = np.full(len(x), -1), np.zeros(len(x))
+        for pattern in np.unique(own, axis=0):
+            rows = np.flatnonzero((own == pattern).all(axis=1))
+            at = np.flatnonzero((self.present == pattern).all(axis=1) & ~self.mixed)
+            if not len(at):
+                cell[rows] = np.flatnonzero(self.mixed)[0]
+                continue
+            for part in np.array_split(rows, _blocks(len(rows), CHUNK)):
+                d = _distances(x[part][:, pattern], self.pivots[at][:, pattern], False) if pattern.any() else np.zeros((len(part), len(at)))
+                cell[part], radius[part] = at[d.argmin(axis=1)], d.min(axis=1)
+        return cell, radius
+
+    def blocks(self) -> np.ndarray:
+        return np.maximum(1, -(-self.size // REFERENCE_BLOCK))
+
+    def visits(self, x: np.ndarray, k: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Queries x cells: whether the cell may hold one of the k nearest; and each query's home, the cell with the least
+        lower bound.  With ``wanted`` (queries x coordinates), one of
+        the k nearest among the rows that have the coordinate, for any wanted one."""
+        n = len(self.size)
+        has = ~np.isnan(x)
+        out, home = np.zeros((len(x), n), bool), np.zeros(len(x), int)
+        alive = self.size > 0
+        scale_to = x.shape[1]
+        for i, q in enumerate(x):
+            common = self.present & has[i]
+            count = common.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scale = scale_to / count if wanted is not None else np.ones(n)
+                gap = np.where(common, np.maximum(0, np.maximum(self.low - q, q - self.high)), 0.0)
+                lower = np.sqrt((gap**2).sum(axis=1) * scale)
+                reach = np.where(common, np.maximum(np.abs(q - self.low), np.abs(q - self.high)), 0.0)
+                upper = np.sqrt((reach**2).sum(axis=1) * scale)
+            lower[self.mixed], upper[self.mixed] = 0.0, np.inf
+            if wanted is None:
+                d = np.sqrt(((self.pivots - q) ** 2).sum(axis=1))
+                least = np.array([r[0] if len(r) else 0.0 for r in self.radii])
+                home[i] = np.where(alive, d, np.inf).argmin()
+                lower = np.maximum.reduce([lower, d - self.largest, least - d, (d - d[alive].min(initial=np.inf)) / 2])
+                near = np.concatenate([d[j] + r for j, r in enumerate(self.radii) if alive[j]] or [np.zeros(0)])
+                bound = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
+                out[i] = alive & (lower <= bound * (1 + SLACK) + SLACK)
+                continue
+            home[i] = np.where(alive & ~self.mixed, lower, np.inf).argmin()
+            usable = alive & ((count > 0) | self.mixed)
+            for c in np.flatnonzero(wanted[i]):
+                fit = usable & (self.present[:, c] | self.mixed)
+                order = np.argsort(np.where(fit, upper, np.inf))
+                held = np.cumsum(np.where(fit & ~self.mixed, self.size, 0)[order])
+                at = np.searchsorted(held, k)
+                bound = upper[order[at]] if at < n else np.inf
+                out[i] |= fit & (lower <= bound * (1 + SLACK) + SLACK)
+        return out, home
+
+
+def _sampled_pivots(refs: DataFrame, dims: int) -> Cells:
+    """Pivots of every common pattern, in proportion to its rows; at most MAX_CELLS rows are kept on the driver."""
+    pattern = F.transform("vec", lambda v: F.when(v.isNull() | F.isnan(v), F.lit("0")).otherwise(F.lit("1")))
+    marked = refs.withColumn("pattern", F.concat_ws("", pattern))
+    sizes = marked.groupBy("pattern").count().orderBy(F.desc("count"), "pattern").limit(MAX_PATTERNS).collect()
+    total = sum(r["count"] for r in sizes)
+    room = max(1, MAX_CELLS - len(sizes) - 1)
+    asked = {r["pattern"]: max(1, min(_blocks(r["count"], CELL_ROWS), int(room * r["count"] / max(1, total)) or 1)) for r in sizes}
+    place = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 40))
+    share = F.lit(None).cast("double")
+    for r in sizes:  # twice as many as asked, so that enough are drawn; all of a small pattern
+        p = min(1.0, (2.0 * asked[r["pattern"]] + 20) / r["count"])
+        share = F.when(F.col("pattern") == r["pattern"], F.lit(p * float(1 << 40))).otherwise(share)
+    drawn = marked.where(place < share).select("pattern", "vec", place.alias("place"), "id")
+    found: dict[str, list] = {}
+    for r in bounded_collect(drawn.orderBy("pattern", "place", "id"), 40 * MAX_PATTERNS + 8 * MAX_CELLS):
+        mine = found.setdefault(r["pattern"], [])
+        if len(mine) < asked[r["pattern"]]:
+            mine.append(r["vec"])
+    rows = [(v, [c == "1" for c in p], False) for p in found for v in found[p]] + [([0.0] * dims, [True] * dims, True)]
+    pivots = np.array([[0.0 if x is None or x != x else x for x in v] for v, _, _ in rows], float).reshape(len(rows), dims)
+    return Cells(pivots, np.array([p for _, p, _ in rows]).reshape(len(rows), dims), np.array([m for _, _, m in rows]))
+
+
+def _celled(refs: DataFrame, k: int, dims: int) -> tuple[DataFrame, Cells]:
+    """The references with their cell, written, and the cells with their numbers."""
+    cells = _sampled_pivots(refs, dims)
+    schema = T.StructType([*refs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell, radius = cells.assign(_vectors(batch.column("vec")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())], names=[*batch.schema.names, "cell", "radius"])
+
+    stored = materialize(refs.mapInArrow(assign, schema), "neighbour-cells")
+
+    def parts(batches):
+        part = Cells(cells.pivots, cells.present, cells.mixed)
+        for batch in batches:
+            x, cell, radius = _vectors(batch.column("vec")), batch.column("cell").to_numpy(), batch.column("radius").to_numpy()
+            for j in np.unique(cell):
+                at = cell == j
+                part.size[j] += at.sum()
+                part.low[j], part.high[j] = np.fmin(part.low[j], np.fmin.reduce(x[at])), np.fmax(part.high[j], np.fmax.reduce(x[at]))
+                part.largest[j] = max(part.largest[j], radius[at].max())
+                part.radii[j] = np.sort(np.concatenate([part.radii[j], radius[at]]))[:k]
+        live = np.flatnonzero(part.size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(live, pa.int32()), pa.array(part.size[live]), pa.array(part.largest[live]), *[pa.array([list(m[j]) for j in live], pa.list_(pa.float64())) for m in (part.low, part.high, part.radii)]],
+            names=["cell", "size", "largest", "low", "high", "radii"],
+        )
+
+    kinds = "cell int, size long, largest double, low array<double>, high array<double>, radii array<double>"
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = np.min(np.stack(pdf["low"]), axis=0), np.max(np.stack(pdf["high"]), axis=0)
+        radii = np.sort(np.concatenate(list(pdf["radii"])))[:k]
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "size": [pdf["size"].sum()], "largest": [pdf["largest"].max()], "low": [low], "high": [high], "radii": [radii]})
+
+    numbers = stored.select("vec", "cell", "radius").mapInArrow(parts, kinds).groupBy("cell").applyInPandas(merge, kinds)
+    for r in bounded_collect(numbers, MAX_CELLS + 1):
+        j = r["cell"]
+        cells.size[j], cells.largest[j], cells.low[j], cells.high[j], cells.radii[j] = r["size"], r["largest"], r["low"], r["high"], np.array(r["radii"])
+    return stored, cells
+
+
+def _routed(queries: DataFrame, cells: Cells, k: int, wanted: bool) -> DataFrame:
+    """Each query once per block of each cell that it must visit, with its home."""
+    counts = cells.blocks()
+
+    def route(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(begin, CHUNK)
+                x = _vectors(part.column("vec"))
+                visits, home = cells.visits(x, k, np.isnan(x) if wanted else None)
+                row, cell = np.nonzero(visits)
+                each = counts[cell]
+                row, cell = np.repeat(row, each), np.repeat(cell, each)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                out = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(c, pa.int32()) for c in (cell, block, home[row]))], names=[*part.schema.names, "cell", "block", "home"])
+
+    schema = T.StructType([*queries.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("cell", "block", "home")]])
+    return queries.mapInArrow(route, schema)
+
+
+def _met(queries: DataFrame, references: DataFrame, k: int, gaps: bool):
+    """Routed queries and the blocks of references they visit, grouped alike.  Queries of one home look at the same cells,
+    so they are kept together, and a home with many queries is split."""
+    first = references.select(F.size("vec").alias("d")).first()
+    stored, cells = _celled(references, k, first["d"] if first else 1)
+    routed = materialize(_routed(queries, cells, k, gaps), "neighbour-visits")
+    crowd = {r["home"]: r["n"] for r in bounded_collect(routed.groupBy("home").agg(F.count_distinct("id").alias("n")), MAX_CELLS + 1)}
+    per_cell = lambda numbers: F.array(*[F.lit(int(n)) for n in numbers])
+    split = F.element_at(per_cell([_blocks(crowd.get(j, 1), QUERY_BLOCK) for j in range(len(cells.size))]), F.col("home") + 1)
+    keys = ["cell", "block", "home", "part"]
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int"))
+    # Names of its own for the other side: a co-group of columns that share their origin is ambiguous.
+    pairs = routed.select(*[F.col(c).alias(f"r_{c}") for c in keys]).distinct()
+    block = F.pmod(F.xxhash64("id"), F.element_at(per_cell(cells.blocks()), F.col("r_cell") + 1)).cast("int")
+    refs = stored.drop("radius").withColumnRenamed("cell", "r_cell").withColumn("r_block", block).join(pairs, ["r_cell", "r_block"])
+    return routed.groupBy(*keys).cogroup(refs.groupBy(*[f"r_{c}" for c in keys])), pairs
+
+
+def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """(q_id, r_id, distance, payload, rank) with Euclidean distances.
 
-    Both sides have ``id`` and ``vec array<double>``; references also a ``payload double``.
-    Ties are broken by the reference id.
+    Both sides have ``id`` and ``vec array<double>`` without gaps; references also a ``payload
+    double``.  Ties are broken by the reference id.
     """
-    nq, nr = queries.count(), references.count()
-    qb, rb = _blocks(nq, QUERY_BLOCK), _blocks(nr, REFERENCE_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", "vec").withColumn("qb", block(qb)).withColumn("rb", every(rb))
-    r = references.select("id", "vec", "payload").withColumn("rb", block(rb)).withColumn("qb", every(qb))
+    columns = ["q_id", "r_id", "distance", "payload"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["q_id", "r_id", "distance", "payload"]
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in columns})
         right = right.sort_values("id", kind="stable")
@@ -59,14 +252,15 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, nan_aware: bool =
         qry, qid = np.array(left["vec"].tolist(), dtype=float), left["id"].to_numpy()
         keep, out = min(k, len(rid)), []
         for start in range(0, len(qid), CHUNK):
-            d = _distances(qry[start : start + CHUNK], ref, nan_aware)
+            d = _distances(qry[start : start + CHUNK], ref, False)
             order = np.argsort(d, axis=1, kind="stable")[:, :keep]  # references are in id order
             rows = np.repeat(np.arange(len(d)), keep)
             cols = order.ravel()
             out.append(pd.DataFrame({"q_id": qid[start + rows], "r_id": rid[cols], "distance": d[rows, cols], "payload": pay[cols]}))
         return pd.concat(out, ignore_index=True)
 
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "q_id bigint, r_id bigint, distance double, payload double")
+    met, _ = _met(queries.select("id", "vec"), references.select("id", "vec", "payload"), k, False)
+    found = met.applyInPandas(best, "q_id bigint, r_id bigint, distance double, payload double")
     w = Window.partitionBy("q_id").orderBy("distance", "r_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -85,16 +279,35 @@ def knn_probability(queries: DataFrame, references: DataFrame, k: int = 15, weig
 
 
 def knn_impute(df: DataFrame, train: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
-    """Fill each gap with the mean of that column over the k nearest train rows that have
-    it (distances over the coordinates both rows have)."""
-    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
-    out = df
+    """Fill each gap (null or NaN) with the mean of that column over the k nearest train rows that
+    have it (distances over the coordinates both rows have), else with the train mean."""
+    columns = list(columns)
+    vec = F.array(*[F.coalesce(number_or_null(c), F.lit(float("nan"))) for c in columns])
+    gap = F.lit(False)
     for c in columns:
-        gaps = df.filter(F.col(c).isNull()).select(F.col(key).alias("id"), vec.alias("vec"))
-        donors = train.filter(F.col(c).isNotNull()).select(F.col(key).alias("id"), vec.alias("vec"), F.col(c).cast("double").alias("payload"))
-        near = nearest(gaps, donors, k, nan_aware=True).filter(F.col("distance") < float("inf"))
-        fills = near.groupBy(F.col("q_id").alias(key)).agg(F.avg("payload").alias(f"_fill_{c}"))
-        out = out.join(fills, key, "left")
-    means = train.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    fill = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.lit(means[c])) for c in columns}
-    return out.withColumns(fill).drop(*[f"_fill_{c}" for c in columns])
+        gap = gap | number_or_null(c).isNull()
+    queries = df.filter(gap).select(F.col(key).alias("id"), vec.alias("vec"))
+    names = ["q_id", "at", "r_id", "distance", "value"]
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in names})]
+        if not left.empty and not right.empty:
+            right = right.sort_values("id", kind="stable")
+            ref, rid = _vectors(right["vec"]), right["id"].to_numpy()
+            have = ~np.isnan(ref)
+            for qid, q in zip(left["id"], _vectors(left["vec"])):
+                d = _distances(q[None], ref, True)[0]
+                for at in np.flatnonzero(np.isnan(q)):
+                    donors = np.flatnonzero(have[:, at] & np.isfinite(d))
+                    donors = donors[np.argsort(d[donors], kind="stable")[:k]]
+                    out.append(pd.DataFrame({"q_id": qid, "at": at, "r_id": rid[donors], "distance": d[donors], "value": ref[donors, at]}))
+        return pd.concat(out, ignore_index=True)
+
+    met, _ = _met(queries, train.select(F.col(key).alias("id"), vec.alias("vec")), k, True)
+    found = met.applyInPandas(best, "q_id bigint, at int, r_id bigint, distance double, value double")
+    w = Window.partitionBy("q_id", "at").orderBy("distance", "r_id")
+    near = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    fills = near.groupBy(F.col("q_id").alias(key)).agg(*[F.avg(F.when(F.col("at") == i, F.col("value"))).alias(f"_fill_{i}") for i in range(len(columns))])
+    means = train.agg(*[F.avg(number_or_null(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    out = df.join(fills, key, "left")
+    return out.withColumns({c: F.coalesce(number_or_null(c), F.col(f"_fill_{i}"), F.lit(means[f"m{i}"])) for i, c in enumerate(columns)}).drop(*[f"_fill_{i}" for i in range(len(columns))])

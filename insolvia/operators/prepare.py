@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NULL_TOKENS, clean_text, clipped, finite_or_null, is_infinite, numeric_columns, text_columns, to_time
+from ..functions.scalars import NULL_TOKENS, clean_text, clipped, finite_or_null, is_infinite, numeric_columns, present, text_columns, to_time
 from ..session import bounded_collect
 from .order import quantiles
 from .wide import feature_numbers
@@ -56,11 +56,11 @@ def consistency_audit(df: DataFrame, target: str) -> DataFrame:
 
 # ---------------------------------------------------------------- imputation
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """Mode per text column, ties to the smallest value."""
+    """Mode per column, ties to the smallest value."""
     out: dict[str, str | None] = dict.fromkeys(columns)
     if not columns:
         return out
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    long = df.select(*[present(df, c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
     counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
     best = counts.groupBy("column").agg(F.max("n").alias("n"))
     smallest = counts.join(F.broadcast(best), ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
@@ -72,7 +72,7 @@ def fit_impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     if strategy == "median":
         num = {c: q[0] for c, q in quantiles(df, numeric, [0.5]).items()}
     elif strategy == "mean":
-        row = df.agg(*[F.avg(c).alias(c) for c in numeric]).first() if numeric else {}
+        row = df.agg(*[F.avg(present(df, c)).alias(c) for c in numeric]).first() if numeric else {}
         num = {c: row[c] for c in numeric}
     else:
         raise ValueError(f"unknown imputation strategy {strategy}")
@@ -80,8 +80,9 @@ def fit_impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 def apply_impute(df: DataFrame, fitted: dict) -> DataFrame:
+    """Fill nulls, and NaN in floating columns, which the fits count as missing too."""
     fills = {**fitted["numeric"], **fitted["categorical"]}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if v is not None and c in df.columns})
+    return df.withColumns({c: F.coalesce(present(df, c), F.lit(v)) for c, v in fills.items() if v is not None and c in df.columns})
 
 
 # ---------------------------------------------------------------- outliers
@@ -104,7 +105,8 @@ def fit_clip(df: DataFrame, columns: Sequence[str], method: str = "winsorize", l
 
 
 def apply_clip(df: DataFrame, fitted: dict) -> DataFrame:
-    return df.withColumns({c: clipped(c, lo, hi) for c, (lo, hi) in fitted["bounds"].items() if c in df.columns})
+    """Values within the fitted bounds; NaN, which has no place among them, becomes null."""
+    return df.withColumns({c: clipped(present(df, c), lo, hi) for c, (lo, hi) in fitted["bounds"].items() if c in df.columns})
 
 
 def fit_zscore_filter(df: DataFrame, columns: Sequence[str], threshold: float = 5.0) -> dict:
@@ -188,7 +190,7 @@ def apply_scale(df: DataFrame, fitted: dict) -> DataFrame:
     absent = [c for c in fitted["stats"] if c not in df.columns]
     if absent:
         raise ValueError(f"columns missing at apply time: {absent}")
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) + F.lit(o) for c, (m, s, o) in fitted["stats"].items()})
+    return df.withColumns({c: (present(df, c) - F.lit(m)) / F.lit(s) + F.lit(o) for c, (m, s, o) in fitted["stats"].items()})
 
 
 # ---------------------------------------------------------------- alignment
@@ -210,7 +212,7 @@ def clean_simple(df: DataFrame, target: str) -> DataFrame:
     Columns without gaps are untouched and keep their type."""
     df = df.dropDuplicates()
     columns = [c for c in numeric_columns(df) if c != target]
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first() if columns else {}
+    gaps = df.agg(*[F.count_if(present(df, c).isNull()).alias(c) for c in columns]).first() if columns else {}
     return apply_impute(df, fit_impute(df, [c for c in columns if gaps[c]]))
 
 

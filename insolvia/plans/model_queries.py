@@ -12,6 +12,8 @@ from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import prepare as p
 from ..operators import sampling, scoring
+from ..session import new_path
+from ..store import tables as st
 from . import tables as t
 from .registry import query
 from .tables import FEATURES, FIRMS, r, sql_with
@@ -44,12 +46,39 @@ def _flagship(spark, sf):
     return scoring.score(scored, "p", threshold, "v001", "logistic_regression", F.lit("2024-01-20T00:00:00"), key="entity_id")
 
 
+_per = lambda f: ", ".join(f(c) for c in FEATURES)
+# The winsorized and standardised firms in SQL.
+SCALED = (
+    FIRMS
+    + f""", bounds AS (SELECT {_per(lambda c: f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}")} FROM firms WHERE split = 'train'),
+  cut AS (SELECT entity_id, target, split, {_per(lambda c: f"least(greatest({c}, lo_{c}), hi_{c}) AS {c}")} FROM firms, bounds),
+  moments AS (SELECT {_per(lambda c: f"AVG({c}) AS m_{c}, stddev_pop({c}) AS s_{c}")} FROM cut WHERE split = 'train'),
+  scaled AS (SELECT entity_id, target, split, {_per(lambda c: f"({c} - m_{c}) / s_{c} AS {c}")} FROM cut, moments)"""
+)
+_density = lambda k: f"ln((SELECT COUNT(*) FILTER (WHERE target = {k}) / COUNT(*)::DOUBLE FROM scaled WHERE split = 'train'))" + "".join(
+    f" - 0.5 * ln(2 * pi() * (v{k}_{c} + e)) - ({c} - m{k}_{c}) ** 2 / (2 * (v{k}_{c} + e))" for c in FEATURES
+)
+EXACT = {
+    "naive_bayes": sql_with(
+        SCALED,
+        f"smooth AS (SELECT 1e-9 * greatest({_per(lambda c: f'var_pop({c})')}) AS e FROM scaled WHERE split = 'train')",
+        "classes AS (SELECT " + _per(lambda c: ", ".join(f"AVG({c}) FILTER (WHERE target = {k}) AS m{k}_{c}, var_pop({c}) FILTER (WHERE target = {k}) AS v{k}_{c}" for k in (0, 1))) + " FROM scaled WHERE split = 'train')",
+        body=f"SELECT entity_id, target, {r(f'1 / (1 + exp(({_density(0)}) - ({_density(1)})))')} AS p FROM scaled, smooth, classes WHERE split = 'test'",
+    ),
+    "knn": sql_with(
+        SCALED,
+        "d AS (SELECT a.entity_id, a.target, b.entity_id AS near, b.target AS vote, sqrt(" + " + ".join(f"(a.{c} - b.{c}) ** 2" for c in FEATURES) + ") AS d FROM scaled a, scaled b WHERE a.split = 'test' AND b.split = 'train')",
+        "best AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY d, near) <= 15)",
+        body=f"SELECT entity_id, target, {r('CASE WHEN COUNT(*) FILTER (WHERE d = 0) > 0 THEN AVG(vote) FILTER (WHERE d = 0) ELSE SUM(vote / d) FILTER (WHERE d > 0) / SUM(1 / d) FILTER (WHERE d > 0) END')} AS p FROM best GROUP BY entity_id, target",
+    ),
+}
+
 for _name, _params in ALGORITHMS.items():
 
-    @query(f"fit_{_name}")
+    @query(f"fit_{_name}", EXACT.get(_name))
     def _fit(spark, sf, name=_name, params=_params):
         df = scaled_firms(spark, sf)
-        scored = md.predict(md.fit(name, train_of(df), FEATURES, "target", params), df.filter(F.col("split") == "test"))
+        scored = md.predict(md.fit_once(name, train_of(df), FEATURES, "target", params), df.filter(F.col("split") == "test"))
         return scored.select("entity_id", "target", rounded("p").alias("p"))
 
 
@@ -60,18 +89,35 @@ def _cv(spark, sf):
     return spark.createDataFrame([(x["mean"], x["std"]) for x in rows], "mean double, std double")
 
 
-@query("parameter_search")
-def _search(spark, sf):
+@query("fold_scores_over_time")
+def _time_cv(spark, sf):
+    folds = sampling.expanding_time_folds(train_of(scaled_firms(spark, sf)), ["entity_id"], 5)
+    rows = md.cross_validate("naive_bayes", folds, FEATURES, "target", "block", kind="time")
+    return spark.createDataFrame([(x["mean"], x["std"], len(x["scores"])) for x in rows], "mean double, std double, n_folds int")
+
+
+def _searched(spark, sf, name):
     folds = sampling.stratified_folds(train_of(scaled_firms(spark, sf)), "target", "entity_id", 3)
-    grid = md.search_grid("decision_tree")
-    rows = md.cross_validate("decision_tree", folds, FEATURES, "target", "fold", grid)
+    rows = md.cross_validate(name, folds, FEATURES, "target", "fold", md.search_grid(name))
     return spark.createDataFrame([(str(sorted(x["params"].items())), x["mean"], x["std"]) for x in rows], "params string, mean double, std double")
 
 
+@query("parameter_search")
+def _search(spark, sf):
+    return _searched(spark, sf, "decision_tree")
+
+
+for _name in ("logistic_regression", "naive_bayes", "knn"):
+
+    @query(f"parameter_search_{_name}")
+    def _search_one(spark, sf, name=_name):
+        return _searched(spark, sf, name)
+
+
 @query("native_importance")
 def _native(spark, sf):
     df = scaled_firms(spark, sf)
-    return md.importance_table(df, md.native_importance(md.fit("random_forest", train_of(df), FEATURES, "target")))
+    return md.importance_table(df, md.native_importance(md.fit_once("random_forest", train_of(df), FEATURES, "target")))
 
 
 @query("permutation_importance")
@@ -188,6 +234,36 @@ def _train_all(spark, sf):
     return board
 
 
+@query(
+    "training_contract",
+    sql_with(FIRMS, body="SELECT unnest(['" + "', '".join(ALGORITHMS) + "']) AS model, FALSE AS failed, TRUE AS metrics_in_range, (SELECT COUNT(*) FROM firms WHERE split = 'test') AS n_scored"),
+)
+def _train_contract(spark, sf):
+    """What any run must hold: every algorithm trained, all metrics within their range, every test row scored."""
+    df = scaled_firms(spark, sf)
+    board, models = md.train_all(df, FEATURES, "target", "entity_id", ALGORITHMS)
+    fine = F.lit(True)
+    for c in md.BOARD_METRICS:
+        fine = fine & F.coalesce(F.col(c).between(-1.0 if c == "mcc" else 0.0, 1.0), F.lit(False))
+    counts = None
+    for name, fitted in models.items():
+        scored = md.predict(fitted, df.filter("split = 'test'")).agg(F.count_if(F.col("p").between(0, 1)).alias("n_scored")).withColumn("model", F.lit(name))
+        counts = scored if counts is None else counts.unionByName(scored)
+    return board.select("model", F.col("error").isNotNull().alias("failed"), fine.alias("metrics_in_range")).join(counts, "model", "left")
+
+
+@query("training_registry")
+def _train_registry(spark, sf):
+    """Tuning, folds, explanation and registry entry of the quick algorithms."""
+    df = sampling.stratified_folds(scaled_firms(spark, sf), "target", "entity_id", 3)
+    quick = {n: {} for n in ("logistic_regression", "naive_bayes")}
+    _, models, records = md.train_run(df, FEATURES, "target", "entity_id", quick, fold="fold", search="grid", explain=True)
+    reg = st.ModelRegistry(spark, new_path(spark, "models"))
+    best = reg.register_run(models, records, "v001", "target")
+    rows = [(e["algorithm"], e["model_version"] == best["model_version"], e["cv"]["mean"], str(sorted(e["tuning"]["best_params"].items())), e["metrics"]["roc_auc"], e["val_metrics"]["roc_auc"], next(iter(e["importance"]))) for e in reg.entries()]
+    return spark.createDataFrame(rows, "algorithm string, is_best boolean, cv_mean double, best_params string, test_roc_auc double, val_roc_auc double, top_feature string")
+
+
 @query("two_model_comparison")
 def _two(spark, sf):
     return md.best_of_two(scaled_firms(spark, sf), FEATURES, "target", "entity_id", ALGORITHMS["random_forest"], ALGORITHMS["boosted_trees"])

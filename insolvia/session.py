@@ -26,6 +26,7 @@ def build_session(app: str = "insolvia", master: str = "local[*]", **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.scheduler.mode", "FAIR")  # fits run side by side, see models.in_pool
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

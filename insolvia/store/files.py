@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,17 +26,35 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the target and rename, so readers never see half a file."""
+    """Write beside the target, then put it in place in one step: readers find the old file or the new one, never none."""
     fs, p, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(p), overwrite)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False when it is there already.  Of several writers exactly one is told True."""
+    fs, p, jvm = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getScheme() == "file":  # Hadoop's local file system looks and creates in two steps
+            jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(p, False).close()
+    except Py4JJavaError as exc:
+        if "AlreadyExists" in str(exc.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
 
 
 def read_text(spark: SparkSession, path: str) -> str:
