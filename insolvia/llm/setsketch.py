@@ -7,15 +7,16 @@
 3. Bands of the first registers put nodes into buckets. In each bucket one leader, the node with the fullest
    buckets, is compared with all others: links, not pairs. Linked nodes are one component.
 4. Buckets that still hold several components get all registers of their texts and compare the nodes outside their largest component with
-   the others, block by block, by the joint likelihood estimate of the registers; what could be a link
-   within the estimate's error is confirmed too.
+   the others, block by block, by the joint likelihood of the registers (larger, smaller, equal) and the set sizes: a pair whose
+   likeliest similarity comes within the estimate's error of the one asked for is confirmed too. Leader pairs are confirmed
+   without an estimate.
 5. Every link is confirmed on the full sets, and the components of the confirmed links are the groups.
 
 A hot bucket is split into blocks of `block` rows; the leaders' side of every join has one row a key.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and form their own
-component; a null id counts as an id after all others; rows that share an id are one document, linked
-if any of them is; only the two named columns are read; an empty table gives an empty result.
+component; a null id counts as an id after all others; in `near_duplicates` rows that share an id are one document, linked
+if any of them is (`keep_one` tells their texts apart); only the two named columns are read; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -83,18 +84,38 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def _equal_share(j: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Chance that two registers are equal, for similarity j and relative sizes u + v = 1."""
-    x, y = np.maximum(0, u - v * j), np.maximum(0, v - u * j)
-    p = lambda t: -np.log(np.maximum(1e-12, 1 - t * (BASE - 1) / BASE)) / np.log(BASE)
-    return np.clip(1 - p(x) - p(y), 0, 1)
+def _more(t: np.ndarray) -> np.ndarray:
+    """Chance that a register of one set is the larger, t being the share of the union's elements that only this set has
+    (scaled by the sizes' sum); and the chance's slope in t."""
+    c = (BASE - 1) / BASE
+    return -np.log(np.maximum(1e-12, 1 - t * c)) / np.log(BASE)
 
 
-def least_equal(similarity: float, n: np.ndarray, m: np.ndarray, registers: int, errors: float = ERRORS) -> np.ndarray:
-    """Equal registers that a pair of sets of n and m elements shows at the least, if it is as similar as asked, but for `errors` standard errors."""
+def _slope(t: np.ndarray) -> np.ndarray:
+    c = (BASE - 1) / BASE
+    return c / np.maximum(1e-12, 1 - t * c) / np.log(BASE)
+
+
+def reaches(similarity: float, up: np.ndarray, down: np.ndarray, n: np.ndarray, m: np.ndarray, registers: int, errors: float = ERRORS) -> np.ndarray:
+    """Whether the similarity of greatest joint likelihood of two sketches comes within `errors` standard errors of the one
+    asked for, or above it. up and down count the registers in which the first or second is larger, n and m are the set sizes.
+
+    The log likelihood is concave in the similarity, so its maximum lies at or above a cut exactly if its slope there is not
+    negative. The standard error is that of Fisher's information at the similarity asked for."""
     total = np.maximum(1, n + m).astype(float)
-    p = _equal_share(np.full(np.shape(total), similarity), n / total, m / total)
-    return registers * p - errors * np.sqrt(registers * p * (1 - p)) - 1
+    u, v = n / total, m / total
+    top = np.minimum(n, m) / np.maximum(1, np.maximum(n, m))  # no two sets of these sizes are more similar
+
+    def parts(j):
+        x, y = np.maximum(1e-9, u - v * j), np.maximum(1e-9, v - u * j)
+        more, less = np.clip(_more(x), 1e-9, 1), np.clip(_more(y), 1e-9, 1)
+        return more, less, np.clip(1 - more - less, 1e-9, 1), -v * _slope(x), -u * _slope(y)
+
+    more, less, same, dm, dl = parts(np.minimum(similarity, top))
+    error = 1 / np.sqrt(registers * (dm**2 / more + dl**2 / less + (dm + dl) ** 2 / same))
+    cut = np.maximum(0.0, np.minimum(similarity, top) - errors * error - 0.5 / registers)
+    more, less, same, dm, dl = parts(cut)
+    return (up * dm / more + down * dl / less - (registers - up - down) * (dm + dl) / same >= 0) | (cut <= 0)
 
 
 def joint_estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
@@ -102,8 +123,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     grid = np.linspace(0, min(n, m) / max(1, n, m), 201)
     total = max(1, n + m)
     x, y = np.maximum(0, n - m * grid) / total, np.maximum(0, m - n * grid) / total
-    p = lambda t: -np.log(np.maximum(1e-12, 1 - t * (BASE - 1) / BASE)) / np.log(BASE)
-    more, less = np.clip(p(x), 1e-9, 1), np.clip(p(y), 1e-9, 1)
+    more, less = np.clip(_more(x), 1e-9, 1), np.clip(_more(y), 1e-9, 1)
     same = np.clip(1 - more - less, 1e-9, 1)
     up, down = int((a > b).sum()), int((a < b).sum())
     return float(grid[np.argmax(up * np.log(more) + down * np.log(less) + (len(a) - up - down) * np.log(same))])
@@ -197,7 +217,8 @@ def _compare_block(bands: int, rows: int, registers: int, percent: int):
             if not len(at):
                 continue
             equal = r[at] == r[q]
-            enough = equal.sum(axis=1) >= least_equal(percent / 100, n[at], np.full(len(at), n[q]), registers)
+            same, up = equal.sum(axis=1), (r[at] > r[q]).sum(axis=1)
+            enough = reaches(percent / 100, up, registers - same - up, n[at], np.full(len(at), n[q]), registers)
             at, equal = at[enough], equal[enough]
             if not len(at):
                 continue
@@ -263,15 +284,25 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that stay when each group keeps its smallest id; of rows that share that id one stays."""
-    own, mark, count = free_names(docs, "_id", "_mark", "_rows")
-    groups = near_duplicates(docs, ident, text, **options).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(own)).groupBy(own).agg(F.count("*").alias(count))
-    groups = materialize(groups, "near-kept")
+    """The rows of docs, all columns, that stay when each group keeps its smallest id.
+
+    A document is an id with a text: rows that share an id but not the text, and rows without an id, are documents of their
+    own, ordered by id (null last), then by the text's digest. Of rows with equal id and text one stays."""
+    own, mark, node, count = free_names(docs, "_id", "_mark", "_node", "_rows")
     marked = docs.withColumn(own, row_id(ident)).withColumn(mark, F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    single, several = F.col(count) == 1, F.col(count) > 1
-    if groups.where(several).isEmpty():
+    per_id = marked.groupBy(own).agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    if not per_id.where((F.col("low") != F.col("high")) | (F.col(own) == LAST_ID)).isEmpty():
+        # Ids do not name documents: number the different (id, text) pairs in their order.
+        order = [F.col(ident).isNull().alias("none"), own, mark]
+        pairs = marked.select(*order).distinct().orderBy("none", own, mark).select(own, mark, "none", F.monotonically_increasing_id().alias(node))
+        pairs = materialize(pairs, "near-documents")
+        none = free_names(docs, "_none")[0]
+        marked = marked.withColumn(none, F.col(ident).isNull()).join(pairs.withColumnRenamed("none", none).hint("merge"), [own, mark, none])
+        marked = materialize(marked.dropDuplicates([node]).select(*docs.columns, node), "near-numbered")
+        groups = near_duplicates(marked.select(node, text), node, text, **options).where("kept").select(F.col("doc_id").alias(node))
+        return marked.join(materialize(groups, "near-kept").hint("merge"), node, "left_semi").drop(node)
+    groups = near_duplicates(docs, ident, text, **options).where("kept").select(F.col("doc_id").alias(own)).groupBy(own).agg(F.count("*").alias(count))
+    groups = materialize(groups, "near-kept")
+    if groups.where(F.col(count) > 1).isEmpty():
         return marked.join(groups.hint("merge"), own, "left_semi").drop(own, mark)
-    once = marked.join(groups.where(single), own, "left_semi")
-    again = marked.join(groups.where(several), own, "left_semi")
-    first = again.groupBy(own).agg(F.min(mark).alias(mark))
-    return once.unionByName(again.join(first, [own, mark], "left_semi").dropDuplicates([own])).drop(own, mark)
+    return marked.join(groups.hint("merge"), own, "left_semi").dropDuplicates([own]).drop(own, mark)

@@ -187,7 +187,7 @@ def test_near_awkward_rows(awkward, nothing):
     assert {r.component_id for r in rows if r.n_shingles == 1 and r.doc_id in (3, 4, None)} == {3}
     kept = setsketch.keep_one(awkward)
     assert kept.columns == awkward.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 5), (False, 7)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 5), (False, 7), (True, None)]
     assert setsketch.near_duplicates(nothing).collect() == [] and setsketch.keep_one(nothing).collect() == []
 
 
@@ -208,7 +208,49 @@ def test_joint_estimate_is_close():
     a, b = np.concatenate([common, x]), np.concatenate([common, y])
     found = setsketch.joint_estimate(setsketch.sketch(a), setsketch.sketch(b), len(a), len(b))
     assert abs(found - 800 / 1050) < 0.1
-    assert (setsketch.sketch(a) == setsketch.sketch(b)).sum() >= setsketch.least_equal(0.75, np.array([900]), np.array([950]), setsketch.REGISTERS)[0]
+
+
+def counts(a, b):
+    x, y = setsketch.sketch(a), setsketch.sketch(b)
+    return np.array([(x > y).sum()]), np.array([(x < y).sum()]), np.array([len(a)]), np.array([len(b)])
+
+
+def test_slope_of_the_likelihood_tells_where_its_maximum_lies():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        common, x, y = (r.integers(0, 1 << 62, int(k)).astype(np.uint64) for k in (r.integers(100, 600), r.integers(1, 120), r.integers(1, 120)))
+        a, b = np.concatenate([common, x]), np.concatenate([common, y])
+        up, down, n, m = counts(a, b)
+        best = setsketch.joint_estimate(setsketch.sketch(a), setsketch.sketch(b), len(a), len(b))
+        for asked in (0.5, 0.7, 0.85):
+            cut = min(asked, min(len(a), len(b)) / max(len(a), len(b))) - 0.5 / setsketch.REGISTERS
+            if abs(best - cut) > 0.01:  # the grid's step
+                assert setsketch.reaches(asked, up, down, n, m, setsketch.REGISTERS, errors=0.0)[0] == (best >= cut)
+
+
+def test_links_are_not_lost_to_the_estimate():
+    r = np.random.default_rng(12)
+    for size in (4, 10, 50, 400):
+        for _ in range(40):
+            only = max(1, size // 8)
+            common, x, y = (r.integers(0, 1 << 62, int(k)).astype(np.uint64) for k in (8 * only, only, only if r.random() < 0.5 else 0))
+            a, b = np.concatenate([common, x]), np.concatenate([common, y])
+            assert setsketch.reaches(0.8, *counts(a, b), setsketch.REGISTERS)[0]
+    far = [r.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(2)]
+    assert not setsketch.reaches(0.8, *counts(*far), setsketch.REGISTERS)[0]
+
+
+def test_null_and_repeated_ids_keep_their_documents(documents):
+    """Clean documents stay whatever their ids; only texts that are like another one go."""
+    one, two, three, four = (f"{w} alpha beta {w} gamma delta {w} epsilon zeta {w}" for w in ("red", "blue", "green", "white"))
+    docs = documents([(1, one), (7, two), (7, three), (None, four), (None, one), (None, "lone words"), (None, "lone words"), (9, three), (8, None), (8, ""), (None, None)])
+    kept = sorted((r.doc_id is None, r.doc_id, r.text or "") for r in setsketch.keep_one(docs).collect())
+    assert kept == [(False, 1, one), (False, 7, *[t for t in (min(two, three), )]), (False, 7, max(two, three)), (False, 8, ""), (True, None, ""), (True, None, "lone words"), (True, None, four)]
+
+
+def test_many_null_ids_are_one_row_each(documents):
+    docs = documents([(None, f"text number {i} with words {i * 7} and {i * 13}") for i in range(200)] + [(3, "another text")])
+    assert setsketch.keep_one(docs).count() == 201
 
 
 def test_components_of_paths_and_stars(spark):
