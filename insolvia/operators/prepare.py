@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NULL_TOKENS, clean_text, clipped, finite_or_null, is_infinite, numeric_columns, present, text_columns, to_time
-from ..session import bounded_collect
-from .order import quantiles
+from ..session import materialize, new_path
+from .order import quantiles, with_position
+from .skew import join_to_keys
 from .wide import feature_numbers
 
-# Fixed value: text columns with more categories than this are not encoded.
-MAX_CARDINALITY = 50
+# Up to so many values a column's vocabulary is part of the projection, one column per value when one-hot
+# encoded; longer ones are dictionaries, tables that are joined, and give one sparse vector column.
+INLINE_VALUES = 50
 
 
 # ---------------------------------------------------------------- cleaning
@@ -127,29 +130,68 @@ def apply_zscore_filter(df: DataFrame, fitted: dict, train: str | None = "train"
 
 
 # ---------------------------------------------------------------- encoding
-def fit_categories(df: DataFrame, columns: Sequence[str], max_cardinality: int = MAX_CARDINALITY) -> dict:
-    """Sorted vocabulary per column; columns above the cap are reported, not encoded.
+def fit_categories(df: DataFrame, columns: Sequence[str], inline: int = INLINE_VALUES) -> dict:
+    """Vocabulary of each column in sorted order, of any length.
 
-    At most ``max_cardinality + 1`` values of a column reach the driver.
+    ``categories`` holds the short ones.  ``dictionaries`` names the stored table of each longer one: value,
+    code (its position, counted over range partitions) and its number of rows.  At most ``inline + 1`` values of
+    a column reach the driver.
     """
-    vocabulary, skipped = {}, []
+    vocabulary, dictionaries = {}, {}
     for c in columns:
-        values = df.select(F.col(c).cast("string").alias("v")).dropna().distinct().limit(max_cardinality + 1)
-        values = [r["v"] for r in bounded_collect(values)]
-        if len(values) > max_cardinality:
-            skipped.append(c)
-        else:
-            vocabulary[c] = sorted(values)
-    return {"categories": vocabulary, "skipped": skipped}
+        counted = df.select(F.col(f"`{c}`").cast("string").alias("value")).dropna().groupBy("value").agg(F.count("*").alias("n_rows"))
+        counted = materialize(counted, "vocabulary")
+        some = counted.limit(inline + 1).collect()
+        if len(some) <= inline:
+            vocabulary[c] = sorted(r["value"] for r in some)
+            continue
+        path = new_path(df.sparkSession, "dictionary")
+        with_position(counted, ["value"], "code").write.parquet(path)
+        dictionaries[c] = {"path": path, "size": counted.count()}
+    return {"categories": vocabulary, "dictionaries": dictionaries}
+
+
+def _coded(df: DataFrame, column: str, dictionary: dict, code: str) -> DataFrame:
+    """The rows with the dictionary's code of the column as ``code``, null where it has none.  Values that fill more
+    than a task are matched by a broadcast of theirs; rows without a value do not take part in the join."""
+    table = df.sparkSession.read.parquet(dictionary["path"])
+    key, weight = f"{code}_value", f"{code}_rows"
+    known = table.select(F.col("value").alias(key), (F.col("code") - F.lit(dictionary["first"])).cast("long").alias(code), F.col("n_rows").alias(weight))
+    keyed = df.withColumn(key, F.col(f"`{column}`").cast("string"))
+    found = join_to_keys(keyed.filter(F.col(key).isNotNull()), known, [key], weight, "left")
+    empty = keyed.filter(F.col(key).isNull()).withColumn(code, F.lit(None).cast("long"))
+    return found.unionByName(empty).drop(key)
+
+
+def _dictionaries(df: DataFrame, fitted: dict) -> dict[str, dict]:
+    """Those of the columns at hand, with the position at which their codes begin."""
+    out = {}
+    for c, d in fitted.get("dictionaries", {}).items():
+        if c in df.columns:
+            first = df.sparkSession.read.parquet(d["path"]).agg(F.min("code")).first()[0]
+            out[c] = {**d, "first": first}
+    return out
 
 
 def apply_onehot(df: DataFrame, fitted: dict, drop_first: bool = False) -> DataFrame:
-    """0/1 columns named ``column=value``; null and unseen values are all zero."""
-    new = {}
-    for c, values in fitted["categories"].items():
+    """0/1 columns named ``column=value``; null and unseen values are all zero.  A column with a dictionary becomes one
+    sparse vector column ``column=`` with a place per value."""
+    new, short = {}, [c for c in fitted["categories"] if c in df.columns]
+    for c in short:
+        values = fitted["categories"][c]
         for v in values[1:] if drop_first else values:
-            new[f"{c}={v}"] = F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
-    return df.withColumns(new).drop(*fitted["categories"])
+            new[f"{c}={v}"] = F.coalesce((F.col(f"`{c}`").cast("string") == F.lit(v)).cast("int"), F.lit(0))
+    out = df.withColumns(new).drop(*short)
+    for i, (c, d) in enumerate(_dictionaries(out, fitted).items()):
+        size, skip = d["size"] - int(drop_first), int(drop_first)
+        place = f"_place_{i}"
+        coded = _coded(out, c, d, f"_code_{i}").withColumn(place, F.col(f"_code_{i}") - skip)
+        # an encoder of `size` places; what is outside of them is the extra place, which is left out of the vector
+        placed = coded.withColumn(place, F.when(F.col(place).between(0, size - 1), F.col(place)).otherwise(F.lit(size)).cast("double"))
+        encoder = OneHotEncoder(inputCols=[place], outputCols=[f"{c}="], handleInvalid="keep", dropLast=True)
+        model = encoder.fit(df.sparkSession.createDataFrame([(float(size - 1),)], f"{place} double"))
+        out = model.transform(placed).drop(place, f"_code_{i}", c)
+    return out
 
 
 def apply_ordinal(df: DataFrame, fitted: dict, unknown: float = -1.0) -> DataFrame:
@@ -160,7 +202,12 @@ def apply_ordinal(df: DataFrame, fitted: dict, unknown: float = -1.0) -> DataFra
         for i, v in enumerate(values):
             code = F.when(F.col(c).cast("string") == F.lit(v), F.lit(float(i))).otherwise(code)
         new[c] = code
-    return df.withColumns(new)
+    out = df.withColumns(new)
+    for i, (c, d) in enumerate(_dictionaries(out, fitted).items()):
+        columns = out.columns
+        coded = _coded(out, c, d, f"_code_{i}")
+        out = coded.withColumn(c, F.coalesce(F.col(f"_code_{i}").cast("double"), F.lit(float(unknown)))).select(*[f"`{x}`" for x in columns])
+    return out
 
 
 # ---------------------------------------------------------------- scaling

@@ -1,6 +1,7 @@
 """Learned preparation fitted on the train split and applied to every split."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, rounded
@@ -164,6 +165,32 @@ def _ordinal(spark, sf):
     return p.apply_ordinal(df, p.fit_categories(split_of(df), ["segment"]))
 
 
+# Long vocabularies: learned on every fourth part left out, so that some values are unseen.
+LEARNED = "SELECT DISTINCT {0} AS v FROM {1} WHERE {2} % 4 <> 0"
+CODES = "codes AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS code, COUNT(*) OVER () AS n FROM (" + LEARNED + "))"
+
+
+@query(
+    "ordinal_encode_many",
+    "WITH " + CODES.format("c_name", "customer", "c_custkey") + " SELECT c_custkey, CAST(coalesce(code, -1) AS DOUBLE) AS c_name FROM customer LEFT JOIN codes ON c_name = v",
+)
+def _ordinal_many(spark, sf):
+    df = t.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return p.apply_ordinal(df, p.fit_categories(df.filter(F.col("c_custkey") % 4 != 0), ["c_name"]))
+
+
+@query(
+    "onehot_encode_many",
+    "WITH " + CODES.format("p_name", "part", "p_partkey") + " SELECT p_partkey, CAST((SELECT MAX(n) FROM codes) AS INTEGER) AS size, CAST(code AS INTEGER) AS place FROM part LEFT JOIN codes ON p_name = v",
+)
+def _onehot_many(spark, sf):
+    df = t.table(spark, sf, "part").select("p_partkey", "p_name")
+    dense = vector_to_array("p_name=")
+    place = F.nullif(F.array_position(dense, F.lit(1.0)).cast("int"), F.lit(0)) - 1
+    out = p.apply_onehot(df, p.fit_categories(df.filter(F.col("p_partkey") % 4 != 0), ["p_name"]))
+    return out.select("p_partkey", F.size(dense).alias("size"), place.alias("place"))
+
+
 def _scale_sql(expr):
     return sql_with(FIRMS, TRAIN, body="SELECT entity_id, split, " + ", ".join(f"{r(expr.format(c))} AS {c}" for c in FEATURES) + " FROM firms")
 

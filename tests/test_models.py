@@ -183,7 +183,10 @@ def test_encoders_and_scalers_on_unseen_and_constant_values(spark):
     fitted = pr.fit_categories(train, ["s"])
     assert [(r["s=a"], r["s=b"]) for r in pr.apply_onehot(test, fitted).collect()] == [(0, 0), (0, 0)]
     assert [r["s"] for r in pr.apply_ordinal(test, fitted).collect()] == [-1.0, -1.0]
-    assert pr.fit_categories(train, ["s"], max_cardinality=1)["skipped"] == ["s"]
+    long = pr.fit_categories(train, ["s"], inline=1)
+    assert long["categories"] == {} and long["dictionaries"]["s"]["size"] == 2
+    assert [r["s"] for r in pr.apply_ordinal(test, long).collect()] == [-1.0, -1.0]
+    assert [r["s="].toArray().tolist() for r in pr.apply_onehot(test, long).collect()] == [[0.0, 0.0]] * 2
     for method, want in (("standard", 0.0), ("minmax", 0.0), ("robust", 0.0)):
         scaled = pr.apply_scale(train, pr.fit_scale(train, ["k", "v"], method))
         assert {r["k"] for r in scaled.collect()} == {want}
