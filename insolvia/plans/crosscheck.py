@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import CONTRACTS, Contract, contract_for
 from ..operators import quality as q
+from ..operators.sampling import shared_entities
 from ..session import bounded_collect
 from ..sources.files import discover_datasets, read_dataset
 from ..store import files
@@ -91,6 +92,34 @@ def cross_check(spark: SparkSession, folder: str, as_of: str, contracts: dict[st
     return spark.createDataFrame(found, FINDING)
 
 
+def corpus_checks(spark: SparkSession, folder: str, contracts: dict[str, Contract] | None = None) -> DataFrame:
+    """What can only be said of several sources together: (check, level, source, value).
+
+    ``entity_size`` is each source's number of entities, ``entity_overlap`` how many all of them share (a warning
+    when none), ``corpus`` the number of readable sources (a warning, and nothing else, when fewer than two).
+    """
+    contracts = CONTRACTS if contracts is None else contracts
+    tables: dict[str, DataFrame] = {}
+    for source in discover_datasets(spark, folder):
+        try:
+            tables[source] = read_dataset(spark, folder, source)
+        except (PySparkException, Py4JJavaError):  # cross_check reports it
+            continue
+    schema = "check string, level string, source string, value bigint"
+    if len(tables) < 2:
+        return spark.createDataFrame([("corpus", "WARN", "", len(tables))], schema)
+    entity = {s: (contracts.get(s) or contract_for(s)).entity for s in tables}
+    universes = {s: (df, entity[s]) for s, df in tables.items() if entity[s] in df.columns}
+    shared = bounded_collect(shared_entities(universes)) if universes else []  # one row per source that has entities
+    if 0 < len(shared) < len(universes):  # sources without any entity do not count
+        shared = bounded_collect(shared_entities({r["source"]: universes[r["source"]] for r in shared}))
+    rows = [("entity_size", "PASS", r["source"], r["n_entities"]) for r in shared]
+    if len(shared) >= 2:
+        common = shared[0]["n_common"]
+        rows.append(("entity_overlap", "PASS" if common else "WARN", ",".join(sorted(r["source"] for r in shared)), common))
+    return spark.createDataFrame([*rows, ("corpus", "PASS", "", len(tables))], schema)
+
+
 def cross_summary(findings: DataFrame) -> DataFrame:
     """Findings per level and the worst level of each source."""
     fails, warns = F.count_if(F.col("level") == "FAIL"), F.count_if(F.col("level") == "WARN")

@@ -9,9 +9,10 @@ from ..operators import profile as pf
 from ..operators import relations as rel
 from ..operators import scoring
 from ..session import new_path
+from ..store import files
 from ..store.tables import write_report_tables
 from ..streaming import scoring as stream
-from . import crosscheck, flows
+from . import crosscheck, flows, validation
 from . import tables as t
 from .metric_queries import BAND, RISK
 from .model_queries import scaled_firms, train_of
@@ -251,6 +252,100 @@ def _cross_worst(spark, sf):
     return crosscheck.cross_summary(_cross(spark, sf))
 
 
+@query(
+    "corpus_entity_overlap",
+    """WITH u AS (SELECT DISTINCT 'events' AS source, user_id AS e FROM events UNION ALL SELECT DISTINCT 'orders', o_custkey FROM orders UNION ALL SELECT DISTINCT 'customer', c_custkey FROM customer)
+    SELECT 'entity_size' AS "check", 'PASS' AS level, source, COUNT(*) AS value FROM u GROUP BY source
+    UNION ALL SELECT 'entity_overlap', CASE WHEN COUNT(*) > 0 THEN 'PASS' ELSE 'WARN' END, 'customer,events,orders', COUNT(*) FROM (SELECT e FROM u GROUP BY e HAVING COUNT(*) = 3)
+    UNION ALL SELECT 'corpus', 'PASS', '', 3""",
+)
+def _overlap(spark, sf):
+    folder = new_path(spark, "overlap")
+    for name in ("events", "orders", "customer"):
+        table(spark, sf, name).write.parquet(f"{folder}/{name}.parquet")
+    spark.createDataFrame([("not parquet",)], "value string").write.text(f"{folder}/unread.parquet")
+    keys = {"events": "user_id", "orders": "o_custkey", "customer": "c_custkey"}
+    return crosscheck.corpus_checks(spark, folder, {s: Contract(s, entity=k) for s, k in keys.items()})
+
+
+WATCHED = {
+    c.source: c
+    for c in (
+        Contract(
+            "events", required={"entity_id": "integer", "date": "datetime", "v": "numeric", "region": "string"}, optional={"v_text": "numeric", "note": "string", "cat": "string"},
+            entity="entity_id", dates=("date",), series_keys=("entity_id",), positive=("v_text",), nonneg=("v",), ratio_bounds={"v": (0.0, 20.0)},
+        ),
+        Contract("customer", required={"c_custkey": "integer"}, dynamic=True),
+        Contract("rates"),
+    )
+}
+_MISSED = "SELECT '{s}' AS source, 'missing' AS check_name, CASE WHEN m >= 0.9 * n AND {required} THEN 'required_column_mostly_missing' WHEN m >= 0.3 * n THEN 'columns_with_high_missingness' ELSE 'some_missing' END AS code, CASE WHEN m >= 0.9 * n AND {required} THEN 'error' WHEN m >= 0.3 * n THEN 'warn' ELSE 'info' END AS level, '{c}' AS col, m::DOUBLE AS value FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER ({c} IS NULL) AS m FROM {t}) WHERE m > 0"
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+WATCH = (
+    DIRTY,
+    f"""steps AS (SELECT entity_id, (epoch(date) - epoch(LAG(date) OVER (PARTITION BY entity_id ORDER BY date))) AS step FROM (SELECT DISTINCT entity_id, date FROM dirty WHERE date IS NOT NULL)),
+  gaps AS (SELECT entity_id FROM (SELECT entity_id, step, quantile_cont(step, 0.5) OVER (PARTITION BY entity_id) AS med, COUNT(step) OVER (PARTITION BY entity_id) AS n FROM steps WHERE step IS NOT NULL) WHERE n >= 2 AND med > 0 AND step > 3 * med GROUP BY entity_id)""",
+    "watch0 AS ("
+    + " UNION ALL ".join(
+        [
+            f"SELECT 'events' AS source, '{check}' AS check_name, '{code}' AS code, '{level}' AS level, '{column}' AS col, ({value})::DOUBLE AS value"
+            for check, code, level, column, value in (
+                ("financial", "negative_value", "error", "v", "SELECT COUNT(*) FILTER (v < 0) FROM dirty"),
+                ("financial", "nonpositive_value", "error", "v_text", "SELECT COUNT(*) FILTER (TRY_CAST(v_text AS DOUBLE) <= 0) FROM dirty"),
+                ("financial", "impossible_ratio", "warn", "v", "SELECT COUNT(*) FILTER (v < 0 OR v > 20) FROM dirty"),
+                ("financial", "future_date", "error", "date", f"SELECT COUNT(*) FILTER (date > TIMESTAMP '{AS_OF_DATE}' + INTERVAL 2 DAY) FROM dirty"),
+                ("duplicates", "duplicate_rows", "warn", "", f"SELECT {dup_sql('dirty', 'entity_id, date, v, cat, v_text, date_text, v_inf')}"),
+                ("duplicates", "duplicate_entity_timestamps", "warn", "entity_id,date", f"SELECT {dup_sql('dirty', 'entity_id, date')}"),
+                ("timeseries", "unparseable_timestamps", "warn", "date", "SELECT COUNT(*) FILTER (date IS NULL) FROM dirty"),
+                ("timeseries", "not_chronological", "warn", "date", "SELECT COUNT(DISTINCT entity_id) FROM (SELECT entity_id, date < LAG(date) OVER (PARTITION BY entity_id ORDER BY seq) AS back FROM dirty) WHERE back"),
+                ("timeseries", "duplicate_timestamps", "warn", "date", "SELECT COUNT(*) - COUNT(DISTINCT (entity_id, date)) FROM dirty WHERE date IS NOT NULL"),
+                ("timeseries", "time_gaps", "info", "date", "SELECT COUNT(*) FROM gaps"),
+            )
+        ]
+        + [_MISSED.format(s="events", t="dirty", c=c, required="TRUE" if c in ("entity_id", "date", "v") else "FALSE") for c in ("entity_id", "date", "v", "cat", "v_text", "date_text", "v_inf")]
+        + [_MISSED.format(s="customer", t="customer", c=c, required="TRUE" if c == "c_custkey" else "FALSE") for c in _CUSTOMER]
+        + [f"SELECT '{s}', 'outliers', 'iqr_outliers', 'warn', feature, pct FROM ({_fence_sql(cte, cols, 1.5)}) WHERE pct > 0.1" for s, cte, cols in (("events", "dirty", ["v", "v_inf"]), ("customer", "customer", ["c_custkey", "c_nationkey", "c_acctbal"]))]
+    )
+    + ")",
+    """watch1 AS (SELECT * FROM watch0 WHERE value > 0
+      UNION ALL SELECT 'events', 'schema', code, level, col, NULL FROM (VALUES ('missing_required_columns', 'error', 'region'), ('missing_optional_columns', 'info', 'note'), ('unexpected_columns', 'warn', 'date_text'), ('unexpected_columns', 'warn', 'v_inf'), ('dtype_mismatch', 'warn', 'v_text')) x(code, level, col)
+      UNION ALL SELECT 'customer', 'schema', 'unexpected_columns', 'info', column_name, NULL FROM (DESCRIBE customer) WHERE column_name <> 'c_custkey'),
+  watched AS (SELECT * FROM watch1 UNION ALL SELECT s, c, 'ok', 'info', '', NULL FROM (VALUES ('events'), ('customer')) a(s), (VALUES ('schema'), ('missing'), ('duplicates'), ('financial'), ('outliers'), ('timeseries')) b(c)
+      WHERE NOT EXISTS (SELECT 1 FROM watch1 w WHERE w.source = s AND w.check_name = c))""",
+)
+
+
+def _watched(spark, sf):
+    folder = new_path(spark, "watched")
+    t.dirty_events(spark, sf).write.parquet(f"{folder}/events.parquet")
+    table(spark, sf, "customer").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([("not parquet",)], "value string").write.text(f"{folder}/unread.parquet")
+    return (*validation.validate_folder(spark, folder, AS_OF_DATE, AS_OF_YEAR, WATCHED, order={"events": "seq"}, reports=f"{folder}/reports"), folder)
+
+
+@query("corpus_findings", sql_with(*WATCH, body='SELECT source, check_name AS "check", code, level, col AS "column", value FROM watched'))
+def _watch_findings(spark, sf):
+    return _watched(spark, sf)[0]
+
+
+@query(
+    "corpus_findings_summary",
+    sql_with(
+        *WATCH,
+        body="""SELECT s.source, s.present, n_rows, coalesce(n_errors, 0)::INTEGER AS n_errors, coalesce(n_warnings, 0)::INTEGER AS n_warnings, s.present AND NOT s.failed AND coalesce(n_errors, 0) = 0 AS is_valid, s.failed
+          FROM (VALUES ('events', TRUE, FALSE), ('customer', TRUE, FALSE), ('rates', FALSE, FALSE), ('unread', TRUE, TRUE)) s(source, present, failed)
+          LEFT JOIN (SELECT source, COUNT(*) FILTER (level = 'error') AS n_errors, COUNT(*) FILTER (level = 'warn') AS n_warnings FROM watched GROUP BY source) w USING (source)
+          LEFT JOIN (SELECT 'events' AS source, COUNT(*) AS n_rows FROM dirty UNION ALL SELECT 'customer', COUNT(*) FROM customer) c USING (source)""",
+    ),
+)
+def _watch_summary(spark, sf):
+    """The summary as it was written, read back."""
+    _, summary, folder = _watched(spark, sf)
+    written = files.read_json(spark, f"{folder}/reports/_summary.json")
+    rows = [(d["source"], d["present"], d["n_rows"], d["n_errors"], d["n_warnings"], d["is_valid"], d["load_error"] is not None) for d in written["datasets"]]
+    return spark.createDataFrame(rows, "source string, present boolean, n_rows bigint, n_errors int, n_warnings int, is_valid boolean, failed boolean")
+
+
 # ---------------------------------------------------------------- streams
 @query(
     "stream_scoring",
