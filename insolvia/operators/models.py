@@ -64,7 +64,7 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
 
 # Memory a tree fit may use for the node statistics of one pass, and rows a fitting task should have.
 TREE_MEMORY_MB = 1_024
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 2_000
 # Part of the key under which a fit is kept: raise it when a fit's result changes.
 FIT_VERSION = 1
 
