@@ -21,7 +21,7 @@ HEADLINE = [
     "series_not_chronological", "series_gaps", "descriptive_statistics", "pearson_matrix", "spearman_matrix", "univariate_auc", "mutual_information",
     "winsorize", "scale_robust", "impute_median", "onehot_encode", "deduplicate_keep_last", "stratified_split", "time_split", "rolling_volatility",
     "feature_generation", "selection_vote", "full_evaluation", "company_facts", "batch_scoring", "fit_logistic_regression", "fit_random_forest", "fit_naive_bayes",
-    "risk_scoring",
+    "risk_scoring", "fit_decision_tree", "fit_knn", "impute_nearest_neighbours", "corpus_findings", "ordinal_encode_many",
 ]
 
 
