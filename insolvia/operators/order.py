@@ -252,6 +252,38 @@ def bucket_by_cuts(cuts: Sequence[Cut]) -> Column:
     return expr
 
 
+def cuts_by_group(df: DataFrame, group: str, order: Sequence[str], sizes: Sequence, least_buckets: int = 1024) -> DataFrame:
+    """Boundaries of every group at once: `_group` and `_cut0`, `_cut1`, …, the last order tuple among the
+    group's first ``size(n)`` rows (null when that is no row, the group's last one when it has fewer).
+
+    The first order column is a hash in [0, 1).  Rows are counted per group and hash bucket, with
+    partial sums before the shuffle; only buckets that hold a boundary are looked into, where equal
+    tuples are counted together.  Buckets are as many as keep both windows below the task limit.
+    """
+    head, limit = order[0], max_task_rows(df.sparkSession)
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(least_buckets, -(-4 * largest // limit))
+    rows = df.select(F.col(group).alias("_group"), *order, F.floor(F.col(head) * buckets).alias("_bucket"))
+    counted = rows.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_bucket"))
+    n = F.sum("_n").over(Window.partitionBy("_group"))
+    sized = counted.withColumns({"_below": upto - F.col("_n"), "_all": n})
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("_cut"), F.least(size(F.col("_all")), F.col("_all")).alias("_size")) for i, size in enumerate(sizes)]))
+    sought = materialize(
+        sized.withColumn("_w", wanted).select("_group", "_bucket", "_below", "_n", "_all", "_w.*")
+        .where((F.col("_size") > F.col("_below")) & (F.col("_size") <= F.col("_below") + F.col("_n")))
+        .select("_group", "_bucket", "_cut", (F.col("_size") - F.col("_below")).alias("_rest")),
+        "sought",
+    )
+    same = lambda a, b: a["_group"].eqNullSafe(b["_group"]) & (a["_bucket"] == b["_bucket"])
+    near = rows.join(sought.select("_group", "_bucket").distinct(), same(rows, sought), "left_semi")
+    tuples = near.groupBy("_group", "_bucket", *order).agg(F.count("*").alias("_n"))
+    tuples = tuples.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_group", "_bucket").orderBy(*order)))
+    at = tuples.join(sought, same(tuples, sought)).where((F.col("_rest") <= F.col("_upto")) & (F.col("_rest") > F.col("_upto") - F.col("_n")))
+    found = at.select(tuples["_group"], "_cut", F.struct(*order).alias("_at"))
+    return found.groupBy("_group").agg(*[F.max(F.when(F.col("_cut") == i, F.col("_at"))).alias(f"_cut{i}") for i in range(len(sizes))])
+
+
 # ---------------------------------------------------------------- global positions
 def with_position(df: DataFrame, order: Sequence[str], name: str = "_pos") -> DataFrame:
     """Add the 0-based global position in ``order`` (which should be total).

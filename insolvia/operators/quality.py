@@ -567,12 +567,12 @@ def payload_issues(df: DataFrame, expected: Sequence[str], features: str = "feat
         & (e["value"].isNull() | F.isnan(number(e["value"])) | (F.abs(number(e["value"])) == float("inf"))),
     )
     issues = F.concat(
-        F.transform(F.array_except(names, F.map_keys(m)), lambda n: issue(n, "error", "missing required feature")),
-        F.transform(F.array_except(F.map_keys(m), names), lambda n: issue(n, "warning", "unknown feature (ignored)")),
-        F.transform(not_finite, lambda e: issue(e["key"], "error", "value must be a finite number")),
-        F.transform(bad_type, lambda e: issue(e["key"], "error", "expected number, got text")),
+        F.transform(F.array_except(names, F.map_keys(m)), lambda n: issue(n, "error", "no value for this feature")),
+        F.transform(F.array_except(F.map_keys(m), names), lambda n: issue(n, "warning", "not a feature of the model, left aside")),
+        F.transform(not_finite, lambda e: issue(e["key"], "error", "not a finite number")),
+        F.transform(bad_type, lambda e: issue(e["key"], "error", "text where a number belongs")),
     )
-    empty = F.array(issue(F.lit(""), "error", "features must be a non-empty object"))
+    empty = F.array(issue(F.lit(""), "error", "payload without any feature"))
     all_issues = F.when(m.isNull() | (F.size(m) == 0), empty).otherwise(issues)
     return df.select(F.col(id_col).alias("id"), F.explode(all_issues).alias("i")).select("id", "i.*")
 

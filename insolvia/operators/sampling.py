@@ -1,14 +1,13 @@
 """Sorting, top-k, splits, folds, duplicate removal and set operations."""
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_collect, materialize
-from .order import bucket_by_cuts, cut_at, hash_uniform
+from ..session import materialize
+from .order import bucket_by_cuts, cut_at, cuts_by_group, hash_uniform
 
 
 def sort_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -19,26 +18,24 @@ def top_n(df: DataFrame, by: str, n: int, tie_break: Sequence[str] = ()) -> Data
     return df.orderBy(F.col(by).desc(), *tie_break).limit(n)
 
 
-def quota(n: int, share: float) -> int:
+def _quota(n: Column, share: float) -> Column:
     """Rows that make up ``share`` of ``n``, rounded half up."""
-    return int(math.floor(n * share + 0.5))
+    return F.floor(n * share + 0.5)
 
 
-def _by_class(df: DataFrame, label: str, order: Sequence[str], sizes_of, column: str, names: Sequence):
-    """Cut every class separately at the ranks ``sizes_of(n)`` and name the pieces.
+def _by_class(df: DataFrame, label: str, order: Sequence[str], sizes: Sequence, column: str, names: Sequence):
+    """Cut every class separately behind its first ``size(n)`` rows and name the pieces.
 
-    The boundary search makes several passes, so it runs over a stored copy of the label
-    and order columns only; the rows themselves get their piece by a plain expression.
+    The boundary search reads a stored copy of the label and order columns only; its number
+    of jobs does not grow with the classes.  The rows get their piece by a join with one row a class.
     """
     narrow = materialize(df.select(label, *order), "ranks")
-    classes = bounded_collect(narrow.groupBy(label).count())
-    expr = F.lit(None)
-    for row in classes:
-        member = F.col(label).eqNullSafe(F.lit(row[label]))
-        cuts = cut_at(narrow.filter(member), order, sizes_of(row["count"]))
-        piece = F.element_at(F.array(*[F.lit(x) for x in names]), bucket_by_cuts(cuts) + 1)
-        expr = F.when(member, piece).otherwise(expr)
-    return df.withColumn(column, expr)
+    cuts = materialize(cuts_by_group(narrow, label, order, sizes), "cuts")
+    here = F.struct(*order)
+    piece = F.lit(names[-1])
+    for i in range(len(sizes) - 1, -1, -1):
+        piece = F.when(here <= F.col(f"_cut{i}"), F.lit(names[i])).otherwise(piece)
+    return df.join(cuts, df[label].eqNullSafe(cuts["_group"]), "left").select(*[df[c] for c in df.columns], piece.alias(column))
 
 
 def stratified_split(
@@ -51,7 +48,7 @@ def stratified_split(
         hashed,
         label,
         ["_h", key],
-        lambda n: [quota(n, test), quota(n, test) + quota(n, val)],
+        [lambda n: _quota(n, test), lambda n: _quota(n, test) + _quota(n, val)],
         "split",
         ["test", "val", "train"],
     )
@@ -71,7 +68,7 @@ def time_split(df: DataFrame, order: Sequence[str], test: float = 0.15, val: flo
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Fold 0..k-1 per row, each class spread evenly over the folds."""
     hashed = df.withColumn("_h", hash_uniform(key, seed=seed))
-    sizes = lambda n: [(n * (i + 1)) // k for i in range(k - 1)]
+    sizes = [lambda n, i=i: F.floor(n * (i + 1) / k) for i in range(k - 1)]
     return _by_class(hashed, label, ["_h", key], sizes, "fold", list(range(k))).drop("_h")
 
 

@@ -1,6 +1,8 @@
 """Exploratory queries over the firm table."""
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category_of, column_kinds, rounded
@@ -193,16 +195,25 @@ def _high(spark, sf):
     return rel.high_pairs(rel.correlation_pairs(t.firms(spark, sf), FEATURES), 0.8).withColumn("r", rounded("r"))
 
 
+def _determinant(names):
+    """Determinant of the correlations of `names` as SQL over columns `a_b`, by the sum over permutations."""
+    terms = []
+    for order in itertools.permutations(range(len(names))):
+        swaps = sum(x > y for x, y in itertools.combinations(order, 2))
+        cells = ["_".join(sorted((names[i], names[j]))) for i, j in enumerate(order) if i != j]
+        terms.append(("-" if swaps % 2 else "+") + "*".join(cells or ["1"]))
+    return " ".join(terms)
+
+
 @query(
     "variance_inflation",
     sql_with(
-        FIRMS, "c AS (SELECT corr(gross, qty) AS ab, corr(gross, avg_disc) AS ac, corr(qty, avg_disc) AS bc FROM firms)",
-        "d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)",
-        body=" UNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'(1 - {x} * {x}) / det', 4)} AS vif FROM d" for f, x in (("gross", "bc"), ("qty", "ac"), ("avg_disc", "ab"))),
+        FIRMS, "c AS (SELECT " + ", ".join(f"corr({a}, {b}) AS {'_'.join(sorted((a, b)))}" for a, b in itertools.combinations(FEATURES, 2)) + " FROM firms)",
+        body=" UNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'({_determinant([x for x in FEATURES if x != f])}) / ({_determinant(FEATURES)})', 4)} AS vif FROM c" for f in FEATURES),
     ),
 )
 def _vif(spark, sf):
-    return rel.variance_inflation(t.firms(spark, sf), ["gross", "qty", "avg_disc"]).withColumn("vif", rounded("vif", 4))
+    return rel.variance_inflation(t.firms(spark, sf), FEATURES).withColumn("vif", rounded("vif", 4))
 
 
 @query(

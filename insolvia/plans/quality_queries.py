@@ -437,10 +437,10 @@ def _ready(spark, sf):
     sql_with(
         FIRMS,
         body="""SELECT entity_id AS id, feature, severity, issue FROM (
-          SELECT entity_id, 'gross' AS feature, 'error' AS severity, 'missing required feature' AS issue FROM firms WHERE entity_id % 7 = 0
-          UNION ALL SELECT entity_id, 'colour', 'warning', 'unknown feature (ignored)' FROM firms WHERE entity_id % 5 = 0
-          UNION ALL SELECT entity_id, 'qty', 'error', 'value must be a finite number' FROM firms WHERE entity_id % 11 = 0
-          UNION ALL SELECT entity_id, 'avg_disc', 'error', 'expected number, got text' FROM firms WHERE entity_id % 13 = 0)""",
+          SELECT entity_id, 'gross' AS feature, 'error' AS severity, 'no value for this feature' AS issue FROM firms WHERE entity_id % 7 = 0
+          UNION ALL SELECT entity_id, 'colour', 'warning', 'not a feature of the model, left aside' FROM firms WHERE entity_id % 5 = 0
+          UNION ALL SELECT entity_id, 'qty', 'error', 'not a finite number' FROM firms WHERE entity_id % 11 = 0
+          UNION ALL SELECT entity_id, 'avg_disc', 'error', 'text where a number belongs' FROM firms WHERE entity_id % 13 = 0)""",
     ),
 )
 def _payload(spark, sf):

@@ -34,10 +34,9 @@ def _csv(spark, sf):
     return sf_.read_csv(spark, _written_csv(df, spark, "csv"), {"o_orderkey": "bigint", "o_totalprice": "double"})
 
 
-@query("labelled_csv_scan", sql_with(DIRTY, body="SELECT DISTINCT entity_id, cat, CAST(seq % 1000000000 % 2 AS INTEGER) AS label FROM dirty0 WHERE cat <> ' N/A '"))
+@query("labelled_csv_scan", sql_with(DIRTY, body="SELECT DISTINCT entity_id, cat, CAST(seq % 2 AS INTEGER) AS label FROM dirty"))
 def _labelled(spark, sf):
-    d = t.dirty_events(spark, sf).filter((F.col("seq") < t.COPY_OFFSET) & (F.col("cat") != " N/A "))
-    df = d.select("entity_id", F.col("cat").alias(" cat"), (F.col("seq") % 2).cast("string").alias("label "))
+    df = t.dirty_events(spark, sf).select("entity_id", F.col("cat").alias(" cat"), (F.col("seq") % 2).cast("string").alias("label "))
     path = new_path(spark, "labelled")
     df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return sf_.read_labelled_csv(spark, path, "label", {"entity_id": "bigint"})
@@ -53,34 +52,26 @@ def _drift(spark, sf):
     c = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment").alias("line"))
     extra = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment", F.lit("too"), F.lit("many")).alias("line"))
     s = table(spark, sf, "supplier").select(F.concat_ws(",", "s_suppkey", "s_name").alias("line"))
-    _lines_as_file(spark, c.union(extra), folder, "a.csv", "id, segment ")
-    _lines_as_file(spark, s, folder, "b.csv", "id,city")
+    _lines_as_csv(c.union(extra), f"{folder}/a.csv", "id, segment ")
+    _lines_as_csv(s, f"{folder}/b.csv", "id,city")
     return sf_.read_drifting_csvs(spark, folder)
 
 
-def _lines_as_file(spark, lines, folder, name, header):
-    """Write lines as a single named file (test input only: one landed source file)."""
-    tmp = new_path(spark, "lines")
-    ordered = spark.createDataFrame([(header,)], "line string").union(lines).coalesce(1)
-    ordered.write.text(tmp)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path(folder))
-    part = next(n for n in files.names(spark, tmp) if n.startswith("part-"))
-    fs.rename(path(f"{tmp}/{part}"), path(f"{folder}/{name}"))
+def _lines_as_csv(lines, path, header):
+    """Whole lines under a raw header line, a part file a task; the separator stands in no line, so nothing is quoted."""
+    raw = lines.toDF(header).write.option("header", True).option("sep", "\u0001")
+    raw.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 @query(
     "entity_csv_scan",
-    "SELECT strftime(o_orderdate, '%Y-%m-%d') AS \"Date\", o_totalprice AS \"Close\", 'ORD' || upper(o_orderstatus) AS ticker FROM orders",
+    "SELECT strftime(o_orderdate, '%Y-%m-%d') AS \"Date\", o_totalprice AS \"Close\", 'ORD' || coalesce(upper(o_orderstatus), 'NONE') AS ticker FROM orders",
 )
 def _entity_files(spark, sf):
     folder = new_path(spark, "tickers")
-    o = table(spark, sf, "orders")
-    for s in ("F", "O", "P"):
-        lines = o.filter(F.col("o_orderstatus") == s).select(F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_totalprice").alias("line"))
-        _lines_as_file(spark, lines, folder, f"ord{s.lower()}.us.csv", "Date,Close")
+    name = F.concat(F.lit("ord"), F.coalesce(F.lower("o_orderstatus"), F.lit("none")), F.lit(".us.csv"))
+    lines = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.col("o_totalprice").alias("Close"), name.alias("file"))
+    lines.write.partitionBy("file").option("header", True).csv(folder)
     return sf_.read_entity_csvs(spark, folder, types={"Close": "double"})
 
 
@@ -158,7 +149,7 @@ def _coded(spark, sf):
 
 @query(
     "daily_quotes",
-    sql_with(BARS, body="SELECT strftime(date, '%Y-%m-%d') AS date, CAST(CAST(volume AS BIGINT) AS VARCHAR) AS volume, CAST(CAST(round(high * 100) AS BIGINT) AS VARCHAR) AS high, CAST(CAST(round(low * 100) AS BIGINT) AS VARCHAR) AS low, upper(entity_id) AS symbol, upper(entity_id) AS entity_id FROM bars WHERE day(date) <> 13"),
+    sql_with(BARS, body="SELECT strftime(date, '%Y-%m-%d') AS date, CAST(CAST(volume AS BIGINT) AS VARCHAR) AS volume, CAST(CAST(round(high * 100) AS BIGINT) AS VARCHAR) AS high, CAST(CAST(round(low * 100) AS BIGINT) AS VARCHAR) AS low, CAST(CAST(round(open * 100) AS BIGINT) AS VARCHAR) AS open, CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR) AS close, upper(entity_id) AS symbol, upper(entity_id) AS entity_id FROM bars WHERE day(date) <> 13"),
 )
 def _quotes(spark, sf):
     b = t.price_bars(spark, sf)
@@ -170,7 +161,7 @@ def _quotes(spark, sf):
     good = F.to_json(F.create_map(F.lit("Time Series (Daily)"), F.create_map(F.col("date").cast("string"), quote)))
     doc = F.when(F.dayofmonth("date") == 13, F.lit('{"Note": "call frequency"}')).otherwise(good)
     out = pl.daily_quotes(b.select(F.col("entity_id").alias("symbol"), doc.alias("payload")))
-    return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "volume", "high", "low", "symbol", "entity_id")
+    return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "volume", "high", "low", "open", "close", "symbol", "entity_id")
 
 
 @query(
@@ -310,13 +301,13 @@ def _best(spark, sf):
 
 @query(
     "representation_export",
-    "SELECT 'all' AS split, CAST(label AS INTEGER) AS target, floor(embedding[1]::DOUBLE * 1e6 + 0.5) / 1e6 AS z_000, floor(embedding[64]::DOUBLE * 1e6 + 0.5) / 1e6 AS z_063 FROM embeddings",
+    "SELECT 'all' AS split, CAST(label AS INTEGER) AS target, " + ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 1e6 + 0.5) / 1e6 AS z_{i:03d}" for i in range(64)) + " FROM embeddings",
 )
 def _export(spark, sf):
     df = table(spark, sf, "embeddings").select("embedding", F.col("label").alias("target"), F.lit("all").alias("split"))
     path = st.export_representation(df, "embedding", "target", new_path(spark, "export"))
     out = spark.read.parquet(path)
-    return out.select("split", "target", rounded("z_000").alias("z_000"), rounded("z_063").alias("z_063"))
+    return out.select("split", "target", *[rounded(c).alias(c) for c in out.columns if c.startswith("z_")])
 
 
 @query(

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,9 @@ from ..functions.scalars import nan_as_null, to_number, to_time
 from ..operators.sampling import union_all
 from ..store import files
 
+# Files whose first line is read at a time.
+HEADER_READERS = 16
+
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Apply coercing casts by column name; unreadable values become null."""
@@ -44,12 +48,22 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 def _by_header(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
+    """Paths by header.  Only first lines are read, many files at a time."""
+    paths = csv_paths(spark, folder)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda path: _header(spark, path), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in csv_paths(spark, folder):
-        groups.setdefault(_header(spark, path), []).append(path)
+    for header, path in zip(headers, paths):
+        groups.setdefault(header, []).append(path)
     return groups
 
 
+def _csv_name() -> Column:
+    """Name of the CSV a row came from: the file's, or that of the folder of part files (behind a partition's `name=`)."""
+    part_of = F.regexp_extract("_metadata.file_path", r"/(?:[^/=]+=)?([^/]+\.csv)/[^/]+$", 1)
+    return F.when(part_of != "", part_of).otherwise(F.col("_metadata.file_name"))
+
+
 def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
     """Files of one header; `_overflow` holds what a line has too many."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_overflow")])
@@ -59,21 +73,21 @@ def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> Dat
 def read_drifting_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """All CSVs of a folder by column name, with the file name as ``_source_file``.
 
-    Files sharing a header are one scan.  Lines with too many fields are skipped, short
+    A CSV is a file or a folder of part files under one header.  Files sharing a header are one scan.  Lines with too many fields are skipped, short
     lines are filled with nulls.
     """
     parts = []
     for header, paths in _by_header(spark, folder).items():
-        part = _scan(spark, header, paths).withColumn("_source_file", F.col("_metadata.file_name"))
+        part = _scan(spark, header, paths).withColumn("_source_file", _csv_name())
         parts.append(part.filter(F.col("_overflow").isNull()).drop("_overflow"))
     return union_all(parts)
 
 
 def read_entity_csvs(spark: SparkSession, folder: str, entity: str = "ticker", types: dict[str, str] | None = None) -> DataFrame:
-    """One CSV per entity, joined by column name whatever the order of a file's columns; the
+    """One CSV (a file or a folder of part files) per entity, joined by column name whatever the order of a file's columns; the
     key is the upper-cased file name up to the first dot."""
     parts = [
-        _scan(spark, header, paths).withColumn(entity, F.upper(F.split("_metadata.file_name", r"\.")[0])).drop("_overflow")
+        _scan(spark, header, paths).withColumn(entity, F.upper(F.split(_csv_name(), r"\.")[0])).drop("_overflow")
         for header, paths in _by_header(spark, folder).items()
     ]
     if not parts:

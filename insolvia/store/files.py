@@ -67,7 +67,11 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
+    """First line of a file; of a folder, that of its first non-empty part file."""
     fs, p, jvm = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        lines = (first_line(spark, f"{path}/{n}") for n in names(spark, path) if not n.startswith(("_", ".")))
+        return next(filter(None, lines), "")
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
     try:
         return reader.readLine() or ""

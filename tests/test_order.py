@@ -136,6 +136,41 @@ def test_stratified_split_keeps_class_mix(tiny_tasks):
     assert got == {("train", 0): 630, ("train", 1): 70, ("val", 0): 135, ("val", 1): 15, ("test", 0): 135, ("test", 1): 15}
 
 
+def _jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_split_of_many_classes_takes_no_more_jobs(spark):
+    few, many = (spark.range(30_000).withColumn("y", F.col("id") % n) for n in (10, 10_000))
+    count = lambda df: s.stratified_split(df, "y", "id").groupBy("y", "split").count().toPandas()
+    _, jobs_few = _jobs_of(spark, "few", lambda: count(few))
+    got, jobs_many = _jobs_of(spark, "many", lambda: count(many))
+    assert len(got) == 10_000 and (got["split"] == "train").all() and (got["count"] == 3).all()  # 15 % of three rows round to none
+    assert 0 < jobs_many <= jobs_few + 2
+
+
+def test_class_cuts_equal_plain_ranks_with_repeated_keys_and_null_class(tiny_tasks):
+    rng = np.random.default_rng(3)
+    y = [None if v == 4 else int(v) for v in rng.integers(0, 5, 900)]
+    df = tiny_tasks.createDataFrame([(c, int(k) if k > 100 else 7) for c, k in zip(y, rng.integers(0, 300, 900))], "y int, id long")  # key 7 has a third of all rows
+    rows = df.withColumn("h", o.hash_uniform("id", seed=42)).toPandas()
+    rows["y"] = rows["y"].fillna(-1)
+    want = {}
+    for c, part in rows.groupby("y"):
+        part = part.sort_values(["h", "id"])
+        cut = [int(len(part) * 0.15 + 0.5), 2 * int(len(part) * 0.15 + 0.5)]
+        ends = [tuple(part.iloc[n - 1][["h", "id"]]) for n in cut]
+        for h, k in zip(part.h, part.id):
+            name = "test" if (h, k) <= ends[0] else "val" if (h, k) <= ends[1] else "train"
+            want[(c, name)] = want.get((c, name), 0) + 1
+    got = {(-1 if r["y"] is None else r["y"], r["split"]): r["count"] for r in s.stratified_split(df, "y", "id").groupBy("y", "split").count().collect()}
+    assert got == want
+
+
 def test_time_split_sizes_and_order(tiny_tasks):
     pdf = skewed(9)
     out = s.time_split(tiny_tasks.createDataFrame(pdf), ["v", "id"]).toPandas()

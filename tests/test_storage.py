@@ -36,6 +36,17 @@ def test_entity_files_go_by_column_name(spark, tmp_path):
     assert ("CCC", "2020-01-02", 2.5) in rows and ("AAA", "2020-01-01", 1.5) in rows
 
 
+def test_a_csv_may_be_a_folder_of_part_files(spark, tmp_path):
+    write(tmp_path / "aaa.us.csv" / "part-0.csv", "Date,Close\n2020-01-01,1.5\n")
+    write(tmp_path / "aaa.us.csv" / "part-1.csv", "Date,Close\n2020-01-02,2.5\n")
+    write(tmp_path / "aaa.us.csv" / "_SUCCESS", "")
+    write(tmp_path / "file=bbb.us.csv" / "part-0.csv", "Date,Close\n2020-01-01,3.5\n")
+    write(tmp_path / "ccc.us.csv", "Close,Date\n4.5,2020-01-01\n")
+    got = {(r["ticker"], r["Date"], r["Close"]) for r in src.read_entity_csvs(spark, str(tmp_path), types={"Close": "double"}).collect()}
+    assert got == {("AAA", "2020-01-01", 1.5), ("AAA", "2020-01-02", 2.5), ("BBB", "2020-01-01", 3.5), ("CCC", "2020-01-01", 4.5)}
+    assert {r["_source_file"] for r in src.read_drifting_csvs(spark, str(tmp_path)).collect()} == {"aaa.us.csv", "bbb.us.csv", "ccc.us.csv"}
+
+
 def test_parquet_wins_over_csv(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "d.parquet"))
     write(tmp_path / "d.csv", "id\n1\n")
