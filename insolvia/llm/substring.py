@@ -2,7 +2,8 @@
 
 A window is `span` consecutive words of one text. Every window has a minimiser, the smallest hash
 among its runs of `core` words, and equal windows have equal minimisers; consecutive windows that
-share one form a super-k-mer. The steps:
+share one form a super-k-mer of at most `MAX_WINDOWS` windows (more only come in a row where a text
+repeats itself). The steps:
 
 1. Each text gives one thin row per super-k-mer (minimiser, place, length). Minimisers that occur
    under one document id only cannot hold a repeated window and are dropped.
@@ -10,7 +11,8 @@ share one form a super-k-mer. The steps:
    are combined before the shuffle, so a passage copied by a third of all rows arrives once per map task.
 3. In a bucket the windows of the packed strings are sorted by their bytes, so that equal ones meet
    and the smallest document id of each is exact. A bucket of more than `bucket_strings` different
-   strings (a frequent core in many contexts) is dealt out by the digest of the single window instead.
+   strings, or of more than `bucket_bytes` bytes of windows (a frequent core in many contexts, very long
+   words), is dealt out by the digest of the single window instead.
 4. Each place looks up the smallest ids of its windows; a window seen under a smaller id marks its words.
 
 Defined cases: null and empty texts have no words; a text with fewer than `span` words has no window;
@@ -35,6 +37,10 @@ SPAN = 50
 CORE = 8
 # Different packed strings that one task compares at a time.
 BUCKET_STRINGS = 20_000
+# Bytes of single windows that one task sorts at a time.
+BUCKET_BYTES = 64 << 20
+# Windows of one packed string.
+MAX_WINDOWS = 1_000
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,6 +68,8 @@ def _super_kmers(data, starts, ends, first, span, core):
     new = np.ones(len(place), bool)
     new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
+    new[(np.arange(len(place)) - np.repeat(at, np.diff(np.append(at, len(place))))) % MAX_WINDOWS == 0] = True
+    at = np.flatnonzero(new)
     return owner[at], place[at], np.diff(np.append(at, len(place))), least[at]
 
 
@@ -83,28 +91,30 @@ def _thin(span: int, core: int):
 
 def _pack(span: int):
     """Cut the named super-k-mers out of their texts: words joined by one space."""
-    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("minimiser", pa.int64()), ("place", pa.int32()), ("packed", pa.large_binary())])
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("minimiser", pa.int64()), ("place", pa.int32()), ("bytes", pa.int64()), ("packed", pa.large_binary())])
 
     def run(batches):
         for batch in chunked(batches, "text"):
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             rows = zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), text_bytes(batch.column("text")), batch.column("kmers").to_pylist())
             for ident, key, text, kmers in rows:
                 words = text.split()
                 for k in kmers:
-                    at = k["place"]
-                    for column, value in zip(out, (ident, key, k["minimiser"], at, b" ".join(words[at : at + k["windows"] + span - 1]))):
+                    at, n = k["place"], k["windows"]
+                    packed = b" ".join(words[at : at + n + span - 1])
+                    slices = n * len(packed) * span // (n + span - 1)  # about what its windows take one by one
+                    for column, value in zip(out, (ident, key, k["minimiser"], at, slices, packed)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return run, "id long, text_key long, minimiser long, place int, packed binary"
+    return run, "id long, text_key long, minimiser long, place int, bytes long, packed binary"
 
 
-def _windows_of(packed: bytes, span: int) -> list[bytes]:
+def _windows_of(packed: bytes, span: int) -> Iterator[bytes]:
     cut = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
     starts = [0, *(cut + 1).tolist()]
     ends = [*cut.tolist(), len(packed)]
-    return [packed[a:b] for a, b in zip(starts, ends[span - 1 :])]
+    return (packed[a:b] for a, b in zip(starts, ends[span - 1 :]))
 
 
 _FOUND = pa.schema([("minimiser", pa.int64()), ("string", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("least", pa.int64())])
@@ -168,7 +178,7 @@ def _single_windows(span: int):
     return run, "minimiser long, string binary, low int, id long, window binary"
 
 
-def repeated_windows(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+def repeated_windows(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Windows whose words also start in a document with a smaller id: id, text_key, low, high (first window's word, last window's word)."""
     rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     thin = materialize(rows.mapInArrow(*_thin(span, core)), "kmers-thin")
@@ -181,10 +191,11 @@ def repeated_windows(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         rows.join(wanted, ["id", "text_key"]).mapInArrow(*_pack(span)).withColumn("string", F.unhex(F.md5("packed"))), "kmers-packed"
     )
     strings = packed.groupBy("minimiser", "string", "packed").agg(F.min("id").alias("id"))
-    hot = packed.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > bucket_strings).select("minimiser")
+    crowded_by = lambda n, size: (F.col(n) > bucket_strings) | (F.col(size) > bucket_bytes)
+    load = packed.groupBy("minimiser").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).where(crowded_by("n", "size")).select("minimiser")
     hot = materialize(
-        packed.join(hot, "minimiser", "left_semi").groupBy("minimiser", "string").agg(F.lit(1).alias("one"))
-        .groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > bucket_strings).select("minimiser"),
+        packed.join(load, "minimiser", "left_semi").groupBy("minimiser", "string").agg(F.max("bytes").alias("bytes"))
+        .groupBy("minimiser").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).where(crowded_by("n", "size")).select("minimiser"),
         "kmers-hot",
     )
     crowded = not hot.isEmpty()
@@ -224,9 +235,9 @@ def _cover(span: int):
     return run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and kept_text (the words that stay, joined by one space)."""
-    hits = repeated_windows(docs, ident, text, span, core, bucket_strings)
+    hits = repeated_windows(docs, ident, text, span, core, bucket_strings, bucket_bytes)
     hits = hits.groupBy("id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("hits"))
     rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     done = rows.join(hits, ["id", "text_key"], "left").select("id", "text", "hits").mapInArrow(*_cover(span))

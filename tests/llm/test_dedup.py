@@ -124,6 +124,30 @@ def test_passages_equal_brute_force(documents, span, core, bucket):
     assert any(r.n_removed for r in rows.values())
 
 
+@pytest.mark.parametrize("limit", [1, 400, 64 << 20])
+def test_buckets_are_bounded_by_bytes(documents, limit):
+    texts = [(i, t) for i, t in enumerate(passages(random.Random(9), 10))]
+    rows = {r.doc_id: r for r in substring.remove_repeats(documents(texts), span=10, core=3, bucket_bytes=limit).collect()}
+    want = removed_by_brute_force([(i, (t or "").split()) for i, t in texts], 10)
+    assert [rows[i].kept_text for i, _ in texts] == [" ".join(kept) for kept in want]
+
+
+def test_a_text_that_repeats_itself_is_cut_into_bounded_strings(documents):
+    rng = random.Random(4)
+    cycle = [f"c{i}" for i in range(7)]
+    texts = [
+        (1, "one " * 3_500), (2, "one " * 2_777 + "end"), (3, " ".join(cycle * 900)), (4, "other " + " ".join((cycle * 500)[3:])),
+        (5, " ".join(rng.choice("ab") for _ in range(2_500))),
+    ]
+    rows = {r.doc_id: r for r in substring.remove_repeats(documents(texts), span=10, core=3).collect()}
+    want = removed_by_brute_force([(i, t.split()) for i, t in texts], 10)
+    assert [rows[i].kept_text for i, _ in texts] == [" ".join(kept) for kept in want]
+    data = b"one " * 5_000
+    starts = np.arange(0, 20_000, 4)
+    _, _, windows, _ = substring._super_kmers(np.frombuffer(data, np.uint8), starts, starts + 3, np.array([0, 5_000]), 10, 3)
+    assert windows.max() == substring.MAX_WINDOWS and windows.sum() == 5_000 - 9
+
+
 def test_passages_awkward_rows(awkward, nothing):
     rows = substring.remove_repeats(awkward).collect()
     assert len(rows) == awkward.count()
