@@ -164,6 +164,57 @@ def test_matching_statistics_equal_brute_force():
         assert length == max((n for n in range(at + 2) if n == 0 or tuple(w[at + 1 - n : at + 1]) in runs))
 
 
+def test_license_from_a_later_paragraph_on(documents):
+    texts = [license.LATER["mit"][-1].upper(), "\n".join(license.LATER["bsd"][:2]), license.LATER["apache"][0], license.LATER["isc"][0], license.LATER["zlib"][0], license.LATER["unlicense"][0]]
+    rows = {r.doc_id: r for r in license.scan_licenses(documents(texts)).collect()}
+    assert [rows[i].labels for i in range(6)] == ["mit", "bsd", "apache", "isc", "zlib", "unlicense"] and all(rows[i].score == 1 for i in range(6))
+
+
+def test_states_know_every_place():
+    rng = random.Random(5)
+    templates = {f"t{k}": " ".join(rng.choice("abc") for _ in range(40)) for k in range(3)}
+    automaton = license.LicenseAutomaton({"a b": "p"}, templates)
+    for _ in range(200):
+        run = [rng.choice("abc") for _ in range(rng.randint(1, 5))]
+        state = 0
+        for w in run:
+            state = automaton.next[state].get(automaton.numbers[w.encode()], -1) if state >= 0 else -1
+        want = sorted((k, at + len(run) - 1) for k, (words, _) in enumerate(automaton.templates) for at in range(len(words)) if words[at : at + len(run)] == [w.encode() for w in run])
+        assert (sorted(automaton.places_of(state)) if state >= 0 else []) == want
+
+
+def test_best_chain_equals_trying_all_chains():
+    def longest(found, chain=()):
+        best = sum_of(chain)
+        for x in found:
+            if not chain or (chain[-1][1] < x[1] and chain[-1][3] < x[3] and x[0] - chain[-1][1] <= license.MAX_GAP and x[2] - chain[-1][3] <= license.MAX_GAP):
+                best = max(best, longest(found, (*chain, x)))
+        return best
+
+    def sum_of(chain):
+        total = 0
+        for i, (first, last, a, b) in enumerate(chain):
+            over, until = chain[i - 1][1::2] if i else (-1, -1)
+            total += max(0, min(last - max(first, over + 1), b - max(a, until + 1)) + 1)
+        return total
+
+    rng = random.Random(8)
+    for _ in range(150):
+        found = []
+        for _ in range(rng.randint(1, 7)):
+            first, a, n = rng.randint(0, 40), rng.randint(0, 40), rng.randint(4, 9)
+            found.append((first, first + n - 1, a, a + n - 1))
+        spans = license.best_chains(found)
+        assert max(s[2] for s in spans) == longest(found)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_two_copies_of_a_license_are_two_spans(documents):
+    text = license.TEMPLATES["isc"]
+    row = license.scan_licenses(documents([f"{text} {text}"])).first()
+    assert [(s.label, s.coverage) for s in row.spans if s.coverage > 0.9] == [("isc", 1.0)] * 2 and row.labels == "isc"
+
+
 def test_license_awkward_rows(awkward, nothing):
     assert license.scan_licenses(awkward).count() == awkward.count() and license.scan_licenses(nothing).collect() == []
 
