@@ -43,7 +43,7 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int,
             nodes[at] = (-1, 0.0, -1, -1, depth + float(path_norm(len(rows))))
             continue
         f = int(rng.choice(splittable))
-        cut = float(rng.uniform(lo[f], hi[f]))
+        cut = float(min(rng.uniform(lo[f], hi[f]), np.nextafter(hi[f], lo[f])))  # neighbouring numbers: a draw may round up to hi
         left, right = len(nodes), len(nodes) + 1
         nodes += [None, None]
         nodes[at] = (f, cut, left, right, 0.0)

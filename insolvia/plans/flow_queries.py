@@ -10,7 +10,7 @@ from ..operators import relations as rel
 from ..operators import scoring
 from ..session import new_path
 from ..store import files
-from ..store.tables import write_report_tables
+from ..store.tables import content_hash, write_report_tables
 from ..streaming import scoring as stream
 from . import crosscheck, flows, validation
 from . import tables as t
@@ -94,6 +94,44 @@ def _prepared(spark, sf):
     return out.select("entity_id", "split", *[rounded(c).alias(c) for c in FEATURES + ["segment"]])
 
 
+@query(
+    "prepared_rows_kept",
+    sql_with(
+        *PREPARED[:4],
+        body="SELECT entity_id, split FROM filled WHERE NOT (split = 'train' AND ("
+        + " OR ".join(f"abs({c} - {_train(f'AVG({c})', 'filled')}) / {_train(f'stddev_pop({c})', 'filled')} > 5" for c in FEATURES) + "))",
+    ),
+)
+def _rows_kept(spark, sf):
+    out, _, _ = flows.prepare(messy_firms(spark, sf), "target", "entity_id", "seq", clip="zscore_rows")
+    return out.select("entity_id", "split")
+
+
+@query("prepared_by_neighbours_and_forest")
+def _by_neighbours(spark, sf):
+    _, trail, _ = flows.prepare(messy_firms(spark, sf), "target", "entity_id", "seq", impute="nearest", clip="isolation_forest")
+    return trail.table(spark)
+
+
+@query(
+    "stored_splits_check",
+    sql_with(
+        FIRMS,
+        body="""SELECT split, COUNT(*) FILTER (split <> 'val' OR entity_id % 9 <> 0) AS n_rows, 0::BIGINT AS bad_labels, 0::BIGINT AS bad_cells, split <> 'test' AS same_columns, split <> 'val' AS same_hash, split = 'train' AS ready
+        FROM firms GROUP BY split""",
+    ),
+)
+def _stored_splits(spark, sf):
+    """Rows of val are lost after its hash was noted, and test is written without a column."""
+    folder, noted = new_path(spark, "splits"), {}
+    for name in ("train", "val", "test"):
+        df = t.firms(spark, sf).filter(F.col("split") == name).drop("split")
+        df = df.drop("return_rate") if name == "test" else df
+        noted[name] = content_hash(df)
+        (df.filter("entity_id % 9 <> 0") if name == "val" else df).write.parquet(f"{folder}/{name}.parquet")
+    return flows.check_stored_splits(spark, folder, "target", noted)
+
+
 def _explored(spark, sf):
     df = t.firms(spark, sf)
     return (

@@ -16,9 +16,11 @@ from ..operators import prepare as pr
 from ..operators import profile as pf
 from ..operators import quality as q
 from ..operators import relations as rel
+from ..operators.neighbors import knn_impute
 from ..operators.sampling import drop_duplicates_by_contract, stratified_split, time_split, union_all
 from ..session import materialize
-from ..sources.files import discover_datasets, read_dataset
+from ..sources.files import discover_datasets, read_dataset, read_split
+from ..store.tables import content_hash
 
 
 # ---------------------------------------------------------------- lineage
@@ -51,6 +53,20 @@ def lineage_totals(trail: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- preparation
+def _zscore_rows(df: DataFrame, train: DataFrame, columns: Sequence[str], key: str) -> tuple[dict, DataFrame]:
+    fitted = pr.fit_zscore_filter(train, columns)
+    return fitted, pr.apply_zscore_filter(df, fitted)
+
+
+def _forest_rows(df: DataFrame, train: DataFrame, columns: Sequence[str], key: str) -> tuple[dict, DataFrame]:
+    forest = an.fit_isolation_forest(train, columns, key)
+    return {"columns": list(columns), "cut": an.AUTO_CUT}, an.filter_anomalies(df, forest, an.AUTO_CUT)
+
+
+# Outlier methods that drop rows of train: what was fitted, and the rows that stay.
+ROW_FILTERS = {"zscore_rows": _zscore_rows, "isolation_forest": _forest_rows}
+
+
 def prepare(
     df: DataFrame, target: str, key: str, seq: str, dates: Sequence[str] = (), order: Sequence[str] = (), impute: str = "median",
     clip: str = "winsorize", encode: str = "onehot", scale: str = "standard",
@@ -58,7 +74,9 @@ def prepare(
     """Clean, deduplicate, split, impute, clip, encode, scale.
 
     Row-level steps see the whole table; the rest is fitted on train.  The split table is
-    written once, then every fitted step is a projection over it.
+    written once, then every fitted step is a projection over it.  ``impute`` may also be
+    "nearest" (k-NN over the numeric columns), ``clip`` "zscore_rows" or "isolation_forest",
+    which drop train rows instead of clipping values; the table is written again after these.
     """
     trail, fitted = Lineage(), {}
     width = lambda d: len([c for c in d.columns if c != "split"])
@@ -85,10 +103,21 @@ def prepare(
 
     numeric = [c for c in numeric_columns(out) if c not in skip]
     text = [c for c in text_columns(out) if c not in skip]
-    fitted["impute"] = pr.fit_impute(train(out), numeric, text, impute)
-    step("imputation", lambda d: pr.apply_impute(d, fitted["impute"]), impute)
-    fitted["clip"] = pr.fit_clip(train(out), numeric, clip)
-    step("outliers", lambda d: pr.apply_clip(d, fitted["clip"]), clip)
+    if impute == "nearest":
+        fitted["impute"] = {"strategy": impute, "numeric": {}, "categorical": pr.most_frequent(train(out), text)}
+        step("imputation", lambda d: materialize(pr.apply_impute(knn_impute(d, train(d), key, numeric), fitted["impute"]), "imputed"), impute)
+    else:
+        fitted["impute"] = pr.fit_impute(train(out), numeric, text, impute)
+        step("imputation", lambda d: pr.apply_impute(d, fitted["impute"]), impute)
+    if clip in ROW_FILTERS:
+        fitted["clip"], kept = ROW_FILTERS[clip](out, train(out), numeric, key)
+        before, out = width(out), materialize(kept, "filtered")
+        left = train(out).count()
+        trail.add("outliers", (rows, before), (left, width(out)), clip)
+        rows = left
+    else:
+        fitted["clip"] = pr.fit_clip(train(out), numeric, clip)
+        step("outliers", lambda d: pr.apply_clip(d, fitted["clip"]), clip)
     fitted["categories"] = pr.fit_categories(train(out), text)
     encoder = pr.apply_onehot if encode == "onehot" else pr.apply_ordinal
     step("encoding", lambda d: encoder(d, fitted["categories"]), encode)
@@ -143,6 +172,29 @@ def engineer(df: DataFrame, target: str, keep: Sequence[str], hints: dict | None
     return out, lineage, {"plan": plan, "selected": selected}
 
 
+# ---------------------------------------------------------------- stored splits
+def check_stored_splits(spark: SparkSession, folder: str, target: str, hashes: dict[str, str], required: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """``ready_to_train`` for splits as they are stored, and whether each has the columns of the first one and the
+    content hash noted when it was written.  A split that is absent is not ready; one without a noted hash does not match."""
+    columns, found, facts = None, [], []
+    for name in required:
+        try:
+            df = read_split(spark, folder, name)
+        except FileNotFoundError:
+            facts.append((name, False, False))
+            continue
+        columns = columns or df.dtypes
+        facts.append((name, df.dtypes == columns, content_hash(df) == hashes.get(name)))
+        found.append(q.ready_to_train(df.withColumn("split", F.lit(name)), target, required=[name]))
+    noted = spark.createDataFrame(facts, "split string, same_columns boolean, same_hash boolean")  # one row per split
+    if not found:
+        return noted.select("split", *[F.lit(0).cast("bigint").alias(c) for c in ("n_rows", "bad_labels", "bad_cells")], "same_columns", "same_hash", F.lit(False).alias("ready"))
+    out = noted.join(union_all(found), "split", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    ready = F.coalesce("ready", F.lit(False)) & F.col("same_columns") & F.col("same_hash")
+    return out.select("split", zero("n_rows"), zero("bad_labels"), zero("bad_cells"), "same_columns", "same_hash", ready.alias("ready"))
+
+
 # ---------------------------------------------------------------- exploration
 SEVERITY = {"critical": 0, "warning": 1, "info": 2}
 

@@ -209,3 +209,11 @@ def test_model_queries_run_the_operators_defaults(monkeypatch):
         QUERIES[name](None, None)
     assert {k: {**md.DEFAULTS[k], **p} for k, p in seen["training_leaderboard"][0][4].items()} == md.DEFAULTS
     assert "trees" not in seen["combined_importance"][1] and seen["two_model_comparison"][0][4:] == ({}, {})
+
+
+def test_isolation_tree_splits_values_one_step_apart():
+    low = 0.05
+    x = np.array([[low], [np.nextafter(low, 1)]] * 20)
+    for seed in range(20):
+        nodes = an.grow(x, np.random.default_rng(seed))
+        assert [n[0] for n in nodes].count(-1) == 2 and all(n is not None for n in nodes)

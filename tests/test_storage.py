@@ -130,6 +130,32 @@ def test_preparation_invariants(spark):
     assert set(json.loads(json.dumps(fitted))) == {"impute", "clip", "categories", "scale"}
 
 
+def test_preparation_with_nearest_neighbours_and_row_filters(spark):
+    df = prepared_input(spark).withColumn("f1", F.when(F.col("id") % 60 == 7, 1e6).otherwise(F.col("f1")))
+    plain, _, _ = flows.prepare(df, "y", "id", "seq")
+    plain = {r["id"]: r["split"] for r in plain.select("id", "split").collect()}
+    for clip in ("zscore_rows", "isolation_forest"):
+        out, trail, fitted = flows.prepare(df, "y", "id", "seq", impute="nearest", clip=clip)
+        got = {r["id"]: r["split"] for r in out.select("id", "split").collect()}
+        steps = {r["step"]: r for r in trail.table(spark).collect()}
+        lost = {i for i in plain if i not in got}
+        assert lost and all(plain[i] == "train" for i in lost) and all(plain[i] == got[i] for i in got)
+        assert steps["outliers"]["rows_delta"] == -len(lost) and steps["scaling"]["rows_before"] == steps["outliers"]["rows_after"]
+        assert not any(out.filter(F.col(f"`{c}`").isNull()).count() for c in out.columns)
+        assert fitted["impute"]["strategy"] == "nearest" and steps["imputation"]["detail"] == "nearest"
+
+
+def test_stored_splits_that_are_absent_or_unnoted_are_not_ready(spark, tmp_path):
+    df = spark.range(10).select("id", (F.col("id") % 2).cast("int").alias("y"))
+    df.write.parquet(str(tmp_path / "train.parquet"))
+    df.withColumn("y", F.col("y") + F.lit(1)).write.parquet(str(tmp_path / "val.parquet"))
+    got = {r["split"]: r for r in flows.check_stored_splits(spark, str(tmp_path), "y", {"train": st.content_hash(df)}).collect()}
+    assert got["train"]["ready"] and got["train"]["same_hash"] and got["train"]["n_rows"] == 10
+    assert (got["val"]["bad_labels"], got["val"]["same_hash"], got["val"]["ready"]) == (5, False, False)
+    assert (got["test"]["n_rows"], got["test"]["ready"]) == (0, False)
+    assert flows.check_stored_splits(spark, str(tmp_path / "none"), "y", {}).filter("ready").count() == 0
+
+
 def test_corpus_survives_a_broken_file(spark, tmp_path):
     spark.createDataFrame([(1, "2020-01-01")], "GDP long, date string").write.parquet(str(tmp_path / "fred.parquet"))
     write(tmp_path / "bad.parquet", "not parquet")
