@@ -370,9 +370,10 @@ def permutation_importance(fitted: Fitted, df: DataFrame, target: str, key: str,
 def combined_importance(train: DataFrame, features: Sequence[str], target: str, trees: int = 300, seed: int = 42) -> DataFrame:
     """Forest, boosted-tree and linear-contribution importances, each summing to 1, with
     the mean rank over the three."""
-    forest = native_importance(fit("random_forest", train, features, target, {"numTrees": trees}, seed))
-    boosted = native_importance(fit("boosted_trees", train, features, target, {"maxIter": trees}, seed))
-    linear = fit("logistic_regression", train, features, target).model.stages[-1].coefficients.toArray()
+    ensembles = [("random_forest", {"numTrees": trees}), ("boosted_trees", {"maxIter": trees}), ("logistic_regression", None)]
+    fits = in_pool(train.sparkSession, [lambda name=name, params=params: fit(name, train, features, target, params, seed) for name, params in ensembles], len(ensembles))
+    forest, boosted = native_importance(fits[0]), native_importance(fits[1])
+    linear = fits[2].model.stages[-1].coefficients.toArray()
     contributions = {r["feature"]: r["mean_abs_contribution"] for r in linear_contributions(train, dict(zip(features, linear))).collect()}
     methods = {"random_forest": forest, "boosted_trees": boosted, "linear_contribution": contributions}
     share = {m: {c: v[c] / (sum(v.values()) or 1.0) for c in features} for m, v in methods.items()}

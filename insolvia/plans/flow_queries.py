@@ -4,19 +4,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.contracts import Contract
-from ..functions.scalars import rounded
+from ..functions.scalars import melt, rounded, signed_log
 from ..operators import profile as pf
 from ..operators import relations as rel
 from ..operators import scoring
 from ..session import new_path
 from ..store import files
-from ..store.tables import content_hash, write_report_tables
+from ..store.tables import FeatureStore, content_hash
 from ..streaming import scoring as stream
-from . import crosscheck, flows, validation
+from . import crosscheck, exploration, featurerun, flows, validation
 from . import tables as t
 from .metric_queries import BAND, RISK
 from .model_queries import scaled_firms, train_of
-from .profile_queries import COHEN, LONG, PAIRS, SHAPE
+from .profile_queries import COHEN, FENCE, LONG, PAIRS, SHAPE
 from .quality_queries import EVENTS, _fence_sql, dup_sql
 from .registry import query
 from .tables import AS_OF_DATE, AS_OF_YEAR, DIRTY, FEATURES, FIRMS, GAPPY, r, sql_with, table
@@ -185,23 +185,114 @@ def _insights(spark, sf):
 
 @query("exploration_run")
 def _explore(spark, sf):
-    tables, status = flows.explore(t.firms(spark, sf).drop("split"), "target", "entity_id")
-    write_report_tables(tables, new_path(spark, "exploration"))
-    return status
+    """All analyzers; their status, and the table each wrote, read back from the report."""
+    folder = new_path(spark, "exploration")
+    exploration.write_report(t.firms(spark, sf).drop("split"), "target", "entity_id", folder)
+    rows = exploration.load_report(spark, folder)["analyzers"]
+    return spark.createDataFrame([(a["analyzer"], a["status"], a["error"], a["table"] is not None) for a in rows], "analyzer string, status string, error string, written boolean")
+
+
+# Analyzers whose part of the report SQL can tell; inflation, components and anomalies it cannot.
+REPORTED = ["target", "missing", "outliers", "distributions", "correlation", "ratios", "relationships"]
+AUC = """auc AS (SELECT feature, abs((SUM(CASE WHEN target = 1 THEN rk END) - p * (p + 1) / 2.0) / (p * (n - p)::DOUBLE) - 0.5) * 2 AS sep FROM (
+  SELECT feature, target, rank() OVER (PARTITION BY feature ORDER BY value) + (COUNT(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rk,
+    SUM(target) OVER (PARTITION BY feature) AS p, COUNT(*) OVER (PARTITION BY feature) AS n FROM long) GROUP BY feature, p, n)"""
+
+
+@query(
+    "exploration_insights",
+    sql_with(
+        FIRMS, LONG, SHAPE, PAIRS, COHEN, AUC, FENCE,
+        """found AS (
+          SELECT 0 AS rule, 'critical' AS severity, 'class_imbalance' AS category, 'severe class imbalance ' || q || ':1' AS message FROM (SELECT round_even(greatest(p, n - p)::DOUBLE / least(p, n - p) * 1e3, 0) / 1e3 AS q FROM (SELECT COUNT(*) AS n, SUM(target) AS p FROM firms)) WHERE q >= 5
+          UNION ALL SELECT 1, 'warning', 'class_imbalance', 'moderate class imbalance ' || q || ':1' FROM (SELECT round_even(greatest(p, n - p)::DOUBLE / least(p, n - p) * 1e3, 0) / 1e3 AS q FROM (SELECT COUNT(*) AS n, SUM(target) AS p FROM firms)) WHERE q >= 2 AND q < 5
+          UNION ALL SELECT 2, 'info', 'data_quality', 'no missing values'
+          UNION ALL SELECT 4, 'warning', 'feature_distribution', s || ' features highly skewed, ' || h || ' heavy-tailed' FROM (SELECT COUNT(*) FILTER (abs(sk) >= 1) AS s, COUNT(*) FILTER (ku >= 3) AS h FROM shape) WHERE s > 0
+          UNION ALL SELECT 5, 'warning', 'multicollinearity', n || ' correlated pairs, 0 features with high inflation' FROM (SELECT COUNT(*) AS n FROM pairs WHERE abs(r) >= 0.8) WHERE n > 0
+          UNION ALL SELECT 6, 'warning', 'outliers', 'mean outlier share ' || printf('%.1f', m) || ' %' FROM (SELECT AVG(pct) AS m FROM (SELECT round_even(COUNT(*) FILTER (value < lo OR value > hi) * 100.0::DOUBLE / COUNT(*) * 1e4, 0) / 1e4 AS pct FROM long JOIN fence USING (feature) GROUP BY feature)) WHERE m >= 5
+          UNION ALL SELECT 8, 'info', 'financial_signal', 'most discriminative: ' || (SELECT feature FROM cohen ORDER BY abs(d) DESC, feature LIMIT 1)
+          UNION ALL SELECT 9, 'info', 'financial_signal', 'strongest category: ' || (SELECT category FROM cohen GROUP BY category ORDER BY AVG(abs(d)) DESC, category LIMIT 1)
+          UNION ALL SELECT 10, 'info', 'predictive_power', 'strongest predictor: ' || (SELECT feature FROM auc ORDER BY sep DESC, feature LIMIT 1)
+          UNION ALL SELECT 11, 'warning', 'predictive_power', 'features separate the classes only weakly' FROM (SELECT AVG(sep) AS s FROM auc) WHERE s < 0.05)""",
+        body="""SELECT rule, severity, category, message, message = coalesce((SELECT message FROM found WHERE severity <> 'info' ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, rule LIMIT 1), '') AS headline FROM found""",
+    ),
+)
+def _report(spark, sf):
+    folder = new_path(spark, "exploration")
+    exploration.write_report(t.firms(spark, sf).drop("split"), "target", "entity_id", folder, only=REPORTED)
+    said = exploration.load_report(spark, folder)["insights"]
+    rows = [(i["rule"], i["severity"], i["category"], i["message"], i["message"] == said["headline"]) for i in said["items"]]
+    return spark.createDataFrame(rows, "rule int, severity string, category string, message string, headline boolean")
+
+
+_runs: dict[tuple, tuple] = {}
+
+
+def feature_run(spark, sf):
+    """The whole feature run over the scaled firms, all stages and defaults, once per application: rows, record, store."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs:
+        folder = new_path(spark, "explored")
+        exploration.write_report(t.firms(spark, sf).drop("split"), "target", "entity_id", folder, only=["distributions", "correlation", "inflation", "ratios"])
+        store = FeatureStore(spark, new_path(spark, "features"))
+        _runs[key] = (*featurerun.run_features(scaled_firms(spark, sf), "target", ["entity_id"], store, exploration.load_hints(spark, folder)), store)
+    return _runs[key]
 
 
 @query("feature_lineage")
 def _features(spark, sf):
-    hints = flows.hints_from_tables(*_explored(spark, sf))
-    df = scaled_firms(spark, sf)
-    _, lineage, _ = flows.engineer(df, "target", ["entity_id"], hints)
-    return lineage
+    return featurerun.lineage(spark, feature_run(spark, sf)[1]["state"])
+
+
+@query("feature_importance")
+def _feature_importance(spark, sf):
+    return featurerun.importance(spark, feature_run(spark, sf)[1]["state"])
+
+
+@query("replayed_features", sql_with(FIRMS, body="SELECT split, COUNT(*) AS n_rows, COUNT(*) AS n_equal, 0::BIGINT AS n_gaps FROM firms GROUP BY split"))
+def _replayed(spark, sf):
+    """The stored version's document applied to the firms again, held against the rows stored with it."""
+    rows, record, store = feature_run(spark, sf)
+    names = record["features"]
+    again = featurerun.replay_version(scaled_firms(spark, sf), store)
+    both = rows.alias("a").join(again.alias("b"), "entity_id")
+    equal = F.forall(F.array(*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in names]), lambda x: x)
+    gap = F.exists(F.array(*[F.col(f"b.{c}") for c in names]), lambda x: x.isNull() | F.isnan(x))
+    return both.groupBy(F.col("a.split").alias("split")).agg(F.count("*").alias("n_rows"), F.count_if(equal).alias("n_equal"), F.count_if(gap).alias("n_gaps"))
+
+
+# Every generated column in SQL, in the order of the plan.
+_COMBINED = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+GENERATED = (
+    {f"log__{c}": f"sign({c}) * ln(1 + abs({c}))" for c in FEATURES}
+    | {f"ratio__{a}__over__{b}": f"{a} / (CASE WHEN {b} <> 0 THEN {b} END + 1e-9::DOUBLE)" for a, b in _COMBINED}
+    | {f"mul__{a}__x__{b}": f"{a} * {b}" for a, b in _COMBINED}
+    | {f"diff__{a}__minus__{b}": f"{a} - {b}" for a, b in _COMBINED}
+    | {f"poly__{c}__pow2": f"{c} * {c}" for c in FEATURES}
+)
+RELEVANCE = 0.02
 
 
-@query("engineered_features", sql_with(FIRMS, body="SELECT entity_id, target, split FROM firms"))
+@query(
+    "engineered_features",
+    sql_with(
+        FIRMS,
+        "made AS MATERIALIZED (SELECT entity_id, split, target, " + ", ".join([*FEATURES, *[f"{e} AS {c}" for c, e in GENERATED.items()]]) + " FROM firms)",
+        "mid AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in GENERATED) + " FROM made WHERE split = 'train')",
+        "filled AS MATERIALIZED (SELECT made.entity_id, made.split, made.target, " + ", ".join([*[f"made.{c} AS {c}" for c in FEATURES], *[f"coalesce(made.{c}, mid.{c}) AS {c}" for c in GENERATED]]) + " FROM made, mid)",
+        "cells AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT entity_id, split, target, '{c}' AS feature, {c} AS value FROM filled" for c in [*FEATURES, *GENERATED]) + ")",
+        "worth AS (SELECT feature, coalesce(abs(corr(value, target)), 0) AS r FROM cells WHERE split = 'train' GROUP BY feature HAVING var_samp(value) > 1e-8)",
+        f"kept AS (SELECT feature FROM worth QUALIFY CASE WHEN COUNT(*) FILTER (r >= {RELEVANCE}) OVER () > 0 THEN r >= {RELEVANCE} ELSE ROW_NUMBER() OVER (ORDER BY r DESC, feature DESC) <= 5 END)",
+        body=f"SELECT entity_id, split, feature, {r('sign(value) * ln(1 + abs(value))')} AS value FROM cells JOIN kept USING (feature)",
+    ),
+)
 def _engineered(spark, sf):
-    out, _, _ = flows.engineer(scaled_firms(spark, sf), "target", ["entity_id"], components=False)
-    return out.select("entity_id", "target", "split")
+    """Rows of a run by variance and relevance, a row per feature that stayed; values on a logarithmic scale."""
+    hints = {"top_discriminative": FEATURES, "skewed_features": FEATURES}
+    settings = featurerun.Settings(correlation=None, inflation=None, relevance=RELEVANCE, min_votes=None, eliminate_to=None, forest_trees=None, reduction=None, importance_trees=None)
+    out, record = featurerun.run_features(t.firms(spark, sf), "target", ["entity_id"], FeatureStore(spark, new_path(spark, "features")), hints, settings)
+    cells = melt(out, record["features"], ["entity_id", "split"])
+    return cells.select("entity_id", "split", "feature", rounded(signed_log("value")).alias("value"))
 
 
 @query("corpus_validation")

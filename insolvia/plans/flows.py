@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.contracts import Contract, contract_for
 from ..functions.scalars import numeric_columns, text_columns
 from ..operators import anomaly as an
-from ..operators import features as ft
 from ..operators import models as md
 from ..operators import prepare as pr
 from ..operators import profile as pf
@@ -138,40 +137,6 @@ def hints_from_tables(shape: DataFrame, pairs: DataFrame, vif: DataFrame, discri
     }
 
 
-def engineer(df: DataFrame, target: str, keep: Sequence[str], hints: dict | None = None, min_votes: int = 2, top_k: int = 40, components: bool = True) -> tuple[DataFrame, DataFrame, dict]:
-    """Generate, drop collinear columns, select, project; fitted on train, replayed on all splits."""
-    steps: list[tuple] = []
-    train = lambda d: d.filter(F.col("split") == "train")
-    features = [c for c in numeric_columns(df) if c not in {target, *keep}]
-    plan = ft.plan_features(train(df), features, hints)
-    out = materialize(ft.apply_features(df, plan), "generated")
-    steps.append(("generation", len(features), len(features) + len(plan["generated"]), len(plan["generated"]), 0))
-
-    current = features + plan["generated"]
-    dropped = ft.correlation_filter(train(out), current, target)
-    left = [c for c in current if c not in dropped]
-    by_vif, _ = ft.vif_elimination(train(out), left)
-    left = [c for c in left if c not in by_vif]
-    steps.append(("multicollinearity", len(current), len(left), 0, len(current) - len(left)))
-
-    low = {r["feature"] for r in ft.low_variance(train(out), left).filter("dropped").collect()}
-    usable = [c for c in left if c not in low]
-    voted = {r["feature"] for r in ft.vote(ft.voters(train(out), usable, target, min(top_k, len(usable))), min_votes).collect()}
-    selected = [c for c in usable if c in voted]
-    steps.append(("selection", len(left), len(selected), 0, len(left) - len(selected)))
-
-    out = out.select(*keep, target, "split", *selected)
-    if components and len(selected) >= 3:
-        pca = md.fit_pca(train(out), selected, variance=0.95)
-        out = md.apply_projection(out, pca)
-        k = pca["components"].shape[1]
-        steps.append(("reduction", len(selected), len(selected) + k, k, 0))
-    lineage = df.sparkSession.createDataFrame(
-        [(i + 1, *s) for i, s in enumerate(steps)], "step_order int, step string, cols_before int, cols_after int, n_generated int, n_removed int"
-    )
-    return out, lineage, {"plan": plan, "selected": selected}
-
-
 # ---------------------------------------------------------------- stored splits
 def check_stored_splits(spark: SparkSession, folder: str, target: str, hashes: dict[str, str], required: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """``ready_to_train`` for splits as they are stored, and whether each has the columns of the first one and the

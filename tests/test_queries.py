@@ -10,7 +10,7 @@ SAMPLE = [
     "dirty_events_table", "firm_features", "iqr_outlier_share", "series_gaps", "kendall_tau", "spearman_matrix", "winsorize", "impute_nearest_neighbours",
     "feature_generation", "selection_vote", "full_evaluation", "cumulative_lift", "batch_scoring", "time_split", "stratified_folds", "rolling_volatility",
     "company_facts", "coded_series", "column_shuffle", "nearest_neighbour_probe", "preparation_lineage", "stream_request_metrics", "corpus_cross_check", "corpus_cross_summary",
-    "corpus_findings", "corpus_findings_summary", "corpus_entity_overlap", "ordinal_encode_many", "onehot_encode_many", "fit_naive_bayes", "fit_knn", "impute_median",
+    "corpus_findings", "corpus_findings_summary", "corpus_entity_overlap", "ordinal_encode_many", "onehot_encode_many", "fit_naive_bayes", "fit_knn", "impute_median", "engineered_features",
 ]
 
 
