@@ -12,8 +12,9 @@ repeats itself). The steps:
 3. In a bucket the windows of the packed strings are sorted by their bytes, so that equal ones meet
    and the smallest document id of each is exact. A bucket of more than `bucket_strings` different
    strings, or of more than `bucket_bytes` bytes of windows (a frequent core in many contexts, very long
-   words), is dealt out by the digest of the single window instead.
-4. Each place looks up the smallest ids of its windows; a window seen under a smaller id marks its words.
+   words), is dealt out by the digest of the single window instead, places of one window over `SALTS` groups.
+4. The smallest ids of a string are one row, a list of runs of neighbouring windows. Each place looks up
+   the row of its string, and a window seen under a smaller id marks its words.
 
 Defined cases: null and empty texts have no words; a text with fewer than `span` words has no window;
 a null id counts as an id after all others; rows that share an id are one document, so they never
@@ -27,7 +28,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -41,6 +42,8 @@ BUCKET_STRINGS = 20_000
 BUCKET_BYTES = 64 << 20
 # Windows of one packed string.
 MAX_WINDOWS = 1_000
+# Groups that the places of one frequent window are dealt out to.
+SALTS = 256
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -117,7 +120,23 @@ def _windows_of(packed: bytes, span: int) -> Iterator[bytes]:
     return (packed[a:b] for a, b in zip(starts, ends[span - 1 :]))
 
 
-_FOUND = pa.schema([("minimiser", pa.int64()), ("string", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("least", pa.int64())])
+_FOUND = pa.schema([("minimiser", pa.int64()), ("string", pa.binary()), ("runs", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("least", pa.int64())])))])
+_FOUND_TYPE = "minimiser long, string binary, runs array<struct<low: int, high: int, least: long>>"
+
+
+def _found(minimisers, strings, sizes: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    """One row per string, from the smallest id of each of its windows in order: neighbours of one id make a run."""
+    begin = np.cumsum(sizes) - sizes
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[begin] = True
+    at = np.flatnonzero(new)
+    low = at - np.repeat(begin, sizes)[at]
+    runs = pa.StructArray.from_arrays(
+        [pa.array(low.astype(np.int32)), pa.array((low + np.diff(np.append(at, len(least))) - 1).astype(np.int32)), pa.array(least[at])], fields=list(_FOUND.field("runs").type.value_type)
+    )
+    offsets = np.searchsorted(at, np.append(begin, len(least))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(minimisers, pa.int64()), pa.array(strings, pa.binary()), pa.ListArray.from_arrays(offsets, runs, type=_FOUND.field("runs").type)], schema=_FOUND)
 
 
 def _in_bucket(span: int):
@@ -126,24 +145,18 @@ def _in_bucket(span: int):
     def answer(bucket):
         listed = [(window, ident, k, j) for k, (_, ident, _, packed) in enumerate(bucket) for j, window in enumerate(_windows_of(packed, span))]
         listed.sort()
-        least = [[0] * 0 for _ in bucket]
-        for k, (_, _, _, packed) in enumerate(bucket):
-            least[k] = [0] * (packed.count(b" ") + 2 - span)
+        least = [[0] * (packed.count(b" ") + 2 - span) for _, _, _, packed in bucket]
         last, best = None, 0
         for window, ident, k, j in listed:  # sorted: the first of equal windows has the smallest id
             if window != last:
                 last, best = window, ident
             least[k][j] = best
-        for (minimiser, _, string, _), ids in zip(bucket, least):
-            low = 0
-            for j in range(1, len(ids) + 1):
-                if j == len(ids) or ids[j] != ids[low]:
-                    yield minimiser, string, low, j - 1, ids[low]
-                    low = j
+        return [(minimiser, string, ids) for (minimiser, _, string, _), ids in zip(bucket, least)]
 
     def table(rows):
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)
+        minimisers, strings, least = zip(*rows) if rows else ((), (), ())
+        sizes = np.fromiter(map(len, least), np.int64, len(least))
+        return _found(minimisers, strings, sizes, np.fromiter((i for ids in least for i in ids), np.int64, int(sizes.sum())))
 
     def run(batches):
         bucket, out = [], []
@@ -152,7 +165,7 @@ def _in_bucket(span: int):
                 if bucket and bucket[0][0] != row[0]:
                     out.extend(answer(bucket))
                     bucket = []
-                    if len(out) > 20_000:
+                    if len(out) > 5_000:
                         yield table(out)
                         out = []
                 bucket.append(row)
@@ -160,7 +173,14 @@ def _in_bucket(span: int):
             out.extend(answer(bucket))
         yield table(out)
 
-    return run, "minimiser long, string binary, low int, high int, least long"
+    return run, _FOUND_TYPE
+
+
+def _in_runs(batches):
+    """Strings with their windows (low, least) in order: the windows in runs."""
+    for batch in batches:
+        windows = batch.column("windows")
+        yield _found(batch.column("minimiser"), batch.column("string"), windows.value_lengths().to_numpy().astype(np.int64), windows.flatten().field("least").to_numpy())
 
 
 def _single_windows(span: int):
@@ -179,7 +199,7 @@ def _single_windows(span: int):
 
 
 def repeated_windows(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Windows whose words also start in a document with a smaller id: id, text_key, low, high (first window's word, last window's word)."""
+    """Windows whose words also start in a document with a smaller id: id, text_key, hits (runs of windows by first word: low, high)."""
     rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     thin = materialize(rows.mapInArrow(*_thin(span, core)), "kmers-thin")
     shared = thin.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("minimiser")
@@ -203,13 +223,22 @@ def repeated_windows(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     found = calm.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(*_in_bucket(span))
     if crowded:
         single = materialize(strings.join(hot, "minimiser", "left_semi").mapInArrow(*_single_windows(span)), "kmers-single")
-        least = single.groupBy("window").agg(F.min("id").alias("least"))
-        found = found.unionByName(single.join(least, "window").select("minimiser", "string", "low", F.col("low").alias("high"), "least"))
+        # A window that stands in most strings is dealt out by salt: its least id per salt, then over its salts.
+        salted = single.withColumn("salt", F.pmod(F.xxhash64("string", "low"), F.lit(SALTS)))
+        least = (
+            salted.groupBy("window", "salt").agg(F.min("id").alias("id"))
+            .select("window", "salt", F.min("id").over(Window.partitionBy("window")).alias("least"))
+        )
+        answered = salted.drop("id").join(least, ["window", "salt"]).groupBy("minimiser", "string").agg(F.sort_array(F.collect_list(F.struct("low", "least"))).alias("windows"))
+        found = found.unionByName(answered.mapInArrow(_in_runs, _FOUND_TYPE))
+    place = F.col("place")
+    hits = F.transform(F.filter("runs", lambda r: r["least"] < F.col("id")), lambda r: F.struct((place + r["low"]).alias("low"), (place + r["high"]).alias("high")))
     return (
         packed.select("id", "text_key", "minimiser", "place", "string")
-        .join(found, ["minimiser", "string"])
-        .where(F.col("least") < F.col("id"))
-        .select("id", "text_key", (F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
+        .join(found, ["minimiser", "string"])  # one row per place
+        .select("id", "text_key", hits.alias("hits"))
+        .where(F.size("hits") > 0)
+        .groupBy("id", "text_key").agg(F.flatten(F.collect_set("hits")).alias("hits"))
     )
 
 
@@ -238,7 +267,6 @@ def _cover(span: int):
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE, bucket_strings: int = BUCKET_STRINGS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and kept_text (the words that stay, joined by one space)."""
     hits = repeated_windows(docs, ident, text, span, core, bucket_strings, bucket_bytes)
-    hits = hits.groupBy("id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("hits"))
     rows = docs.select(row_id(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     done = rows.join(hits, ["id", "text_key"], "left").select("id", "text", "hits").mapInArrow(*_cover(span))
     return done.withColumn("doc_id", shown_id(F.col("doc_id")))

@@ -132,6 +132,20 @@ def test_buckets_are_bounded_by_bytes(documents, limit):
     assert [rows[i].kept_text for i, _ in texts] == [" ".join(kept) for kept in want]
 
 
+def test_a_common_passage_is_looked_up_by_runs_not_by_window(documents):
+    """Every place meets one row, and windows of one smallest id side by side are one hit, in crowded buckets too."""
+    rng = random.Random(3)
+    common = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{words(rng, 12, 500)} {common} {words(rng, 12, 500)}" for _ in range(30)]
+    for bucket in (1, 20_000):
+        rows = substring.repeated_windows(documents(texts), span=10, core=3, bucket_strings=bucket).collect()
+        assert sorted(r.id for r in rows) == list(range(1, 30))  # one row per text
+        for r in rows:
+            covered = sorted(k for h in r.hits for k in range(h.low, h.high + 1))
+            assert covered == list(range(12, 43))  # each of the 31 windows once
+            assert len(r.hits) <= 12  # at most one a super-k-mer
+
+
 def test_a_text_that_repeats_itself_is_cut_into_bounded_strings(documents):
     rng = random.Random(4)
     cycle = [f"c{i}" for i in range(7)]
