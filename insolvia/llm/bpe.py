@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunked, row_id, shown_id, text_bytes
+from .words import chunked, ranges, row_id, shown_id, text_bytes
 
 # A worker keeps at most this many encoded fragments (a memory bound; the ids do not depend on it).
 KEPT_FRAGMENTS = 500_000
@@ -33,6 +33,7 @@ _WHITE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # Bytes that no UTF-8 text holds mark cuts and ends of texts while a chunk is split.
 _CUT, _END = 0xFF, 0xFE
+_END_PIECE = bytes([_END])
 # Fragments that begin with a space are handed to the library so many at a time: each is a certain cut.
 _TOGETHER = 16
 
@@ -92,6 +93,11 @@ class FragmentEncoder:
         self.split = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
         self.cache: dict[bytes, object] = {}
 
+    def _is_cut(self, whole: bytes, data: np.ndarray) -> np.ndarray:
+        """Whether a certain cut falls after each byte but the last of texts joined by the end byte."""
+        table = self.narrow if _WIDE_SPACE.search(whole) else self.cut
+        return table[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
+
     def fragments(self, texts: list[bytes]) -> list[list[bytes]]:
         """The fragments of each text; a special token is a fragment."""
         whole = bytes([_END]).join(texts)
@@ -102,8 +108,7 @@ class FragmentEncoder:
         if not whole:
             return [[] for _ in texts]
         data = np.frombuffer(whole, np.uint8)
-        table = self.narrow if _WIDE_SPACE.search(whole) else self.cut
-        at = np.flatnonzero(table[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]) + 1
+        at = np.flatnonzero(self._is_cut(whole, data)) + 1
         marked = np.full(len(data) + len(at), _CUT, np.uint8)
         places = np.ones(len(marked), bool)
         places[at + np.arange(len(at))] = False
@@ -127,6 +132,45 @@ class FragmentEncoder:
                 found[k] = list(map(self.cache.__getitem__, pieces[k]))
         return found
 
+    def encode_flat(self, texts: list[bytes], tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by `tail`, and how many each text has then.
+
+        Arrow numbers the different fragments, and only those are looked up one by one. Needs an encoder
+        of `ids_only` entries.
+        """
+        pieces, first = self._spans(texts)
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if len(self.cache) > self.kept:
+            self.cache.clear()
+        self.cache[_END_PIECE] = tail
+        new = {p for p in different if p not in self.cache}
+        if new:
+            self._learn(new)
+        entries = list(map(self.cache.__getitem__, different))
+        flat = np.frombuffer(b"".join(entries), "<u4")
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
+        number = coded.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return flat[ranges((np.cumsum(sizes) - sizes)[number], counts)], np.diff(ends[first])
+
+    def _spans(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The fragments of all texts, each text's followed by the end byte, as one Arrow array, and where each text's begin (one more entry: the end)."""
+        whole = bytes([_END]).join([*texts, b""])
+        if len(whole) >= 1 << 31 or (self.split is not None and self.split.search(whole)):
+            listed = [[*self.fragments([t])[0], _END_PIECE] for t in texts]
+            return pa.array([p for f in listed for p in f], pa.large_binary()), np.cumsum([0, *map(len, listed)])
+        data = np.frombuffer(whole, np.uint8)
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        begins = np.concatenate([[0], stops])
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = self._is_cut(whole, data)
+        edge[begins] = edge[stops - 1] = True
+        edges = np.flatnonzero(edge).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(whole)])
+        return pieces, np.searchsorted(edges, begins)
+
     def _learn(self, new: set[bytes]) -> None:
         spaced = [p for p in new if p[0] == 32 and p not in self.special]
         alone = [p for p in new if p[0] != 32 or p in self.special]

@@ -41,6 +41,8 @@ from .words import chunked, row_id, shown_id, text_bytes
 MAGIC = b"RKID"
 END_ID = 0
 BLOCK_VALUES = 1 << 19
+# Bytes of text whose different fragments are looked up at a time.
+CHUNK = 2 << 20
 # Characters that one task tokenises: files stay near this size at any input.
 FILE_LETTERS = 32 << 20
 MAX_IDS = 4_000_000  # the rank table is proportional to the vocabulary
@@ -126,13 +128,12 @@ def _draft(vocabulary: str, tail: bytes, where: str):
 
         def blocks():
             ids, sizes, held, waiting = [], [], [], 0
-            for batch in chunked(batches, "text"):
-                for ident, found in zip(batch.column("id").to_pylist(), bpe.encode(text_bytes(batch.column("text")))):
-                    raw = b"".join(found) + tail
-                    ids.append(ident)
-                    sizes.append(len(raw) >> 2)
-                    held.append(raw)
-                    waiting += sizes[-1]
+            for batch in chunked(batches, "text", CHUNK):
+                values, counts = bpe.encode_flat(text_bytes(batch.column("text")), tail)
+                ids.extend(batch.column("id").to_pylist())
+                sizes.extend(counts.tolist())
+                held.append(values)
+                waiting += len(values)
                 if waiting >= BLOCK_VALUES:
                     yield block(ids, sizes, held)
                     ids, sizes, held, waiting = [], [], [], 0
@@ -141,7 +142,7 @@ def _draft(vocabulary: str, tail: bytes, where: str):
 
         def block(ids, sizes, held):
             nonlocal total
-            values = np.frombuffer(b"".join(held), "<u4")
+            values = np.concatenate(held)
             seen = np.bincount(values, minlength=len(total))
             total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)]) + seen
             state["n"] += len(values)

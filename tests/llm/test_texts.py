@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -401,6 +402,42 @@ def test_fragments_cover_the_text_and_are_many():
     assert [list(x) for x in small.encode([text, text])] == [list(x) for x in encoder.encode([text, text])]
 
 
+@pytest.mark.parametrize("kept", [3, 500_000])
+def test_flat_encoding_equals_the_library(library, kept):
+    encoder = bpe.FragmentEncoder(bpe.default_vocabulary(), bpe.ids_only, kept=kept)
+    odd = odd_texts(random.Random(11), 200)
+    plain = [t.replace("<|endoftext|>", "") for t in odd]
+    for texts in ([], [""], ["", ""], odd, [*plain, ""], ["", *plain[:3]]):
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        for end in ([], [0]):
+            values, sizes = encoder.encode_flat([t.encode() for t in texts], np.array(end, "<u4").tobytes())
+            assert values.tolist() == [i for ids in want for i in [*ids, *end]]
+            assert sizes.tolist() == [len(ids) + len(end) for ids in want]
+
+
+def test_token_files_look_up_each_different_fragment_once_a_chunk(monkeypatch):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    encoder = bpe.FragmentEncoder(bpe.default_vocabulary(), bpe.ids_only)
+    encoder.cache = Counting()
+    monkeypatch.setattr(tokenfile, "encoder", lambda *_: encoder)
+    monkeypatch.setattr(tokenfile, "_put", lambda store, base, name, blocks: list(blocks))
+    monkeypatch.setattr(tokenfile, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Part", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    run, _ = tokenfile._draft("", b"\0\0\0\0", "file:///tmp")
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["the same few words " * 20_000, "the same few words " * 10_000]})
+    rows = [r for part in run([batch]) for r in part.to_pylist()]
+    assert rows[0]["n"] > 100_000 and Counting.asked < 100
+
+
 def test_decoding_gives_the_texts_back(documents):
     texts = [t for t in odd_texts(random.Random(5), 50)] + [None]
     back = bpe.decode_ids(bpe.encode_texts(documents(texts)))
