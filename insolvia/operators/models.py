@@ -1,6 +1,6 @@
-"""Classifiers on Spark ML, tuning, cross-validation, importances and projections.
+"""Classifiers, mostly on Spark ML, tuning, cross-validation, importances and projections.
 
-Stand-ins where Spark has no equal: gradient-boosted trees for the boosting back-ends, a
+Forests and boosted trees are grown by operators/trees.py.  Stand-ins where Spark has no equal: gradient-boosted trees for the boosting back-ends, a
 random forest for extremely randomised trees, a sigmoid network for the rectified one.
 The kernel machine is a linear margin over random Fourier features of the Gaussian kernel,
 with a fitted logistic link.  Gaussian naive Bayes is one aggregate and a projection.
@@ -31,6 +31,7 @@ from ..functions.scalars import melt
 from ..session import bounded_collect, materialize, shared_folder
 from ..store import files
 from . import metrics as mt
+from . import trees as tr
 from .augment import with_partner
 from .neighbors import knn_probability
 from .prepare import apply_scale, enforce_features, fit_scale
@@ -62,11 +63,11 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
     "mlp": {"hidden": [(32,), (64, 32), (128, 64)]},
 }
 
-# Memory a tree fit may use for the node statistics of one pass, and rows a fitting task should have.
-TREE_MEMORY_MB = 1_024
+# Memory a tree fit of Spark ML may use for the node statistics of one pass, and rows a fitting task should have.
+TREE_MEMORY_MB = 256
 ROWS_PER_TASK = 2_000
 # Part of the key under which a fit is kept: raise it when a fit's result changes.
-FIT_VERSION = 1
+FIT_VERSION = 2
 
 
 @dataclass
@@ -78,22 +79,29 @@ class Fitted:
     link: tuple[float, float] | None = None  # logistic link of a margin classifier
     reference: DataFrame | None = None  # training rows of the neighbour classifier
     target: str = "target"
-    numbers: dict = field(default_factory=dict)  # class moments of naive Bayes, kernel map of the margin classifier
+    numbers: dict = field(default_factory=dict)  # class moments of naive Bayes, kernel map of the margin classifier, where grown trees are and what they tell
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error")
 
 
-def with_class_weight(df: DataFrame, target: str, scheme: str = "balanced") -> DataFrame:
-    """Row weight ``_w``: balanced per class, or negative/positive on the positives only."""
-    counts = {r[target]: r["count"] for r in bounded_collect(df.groupBy(target).count(), 100)}
+def class_counts(df: DataFrame, target: str) -> dict:
+    return {r[target]: r["count"] for r in bounded_collect(df.groupBy(target).count(), 100)}
+
+
+def class_weights(counts: dict, scheme: str = "balanced") -> tuple[float, float]:
+    """Weights of the classes 0 and 1: balanced, or negative/positive on the positives only."""
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     total = pos + neg
     if scheme == "balanced":
-        on_pos, on_neg = total / (2.0 * max(pos, 1)), total / (2.0 * max(neg, 1))
-    else:
-        on_pos, on_neg = neg / max(pos, 1), 1.0
+        return total / (2.0 * max(neg, 1)), total / (2.0 * max(pos, 1))
+    return 1.0, neg / max(pos, 1)
+
+
+def with_class_weight(df: DataFrame, target: str, scheme: str = "balanced") -> DataFrame:
+    """Row weight ``_w`` of the row's class."""
+    on_neg, on_pos = class_weights(class_counts(df, target), scheme)
     return df.withColumn("_w", F.when(F.col(target) == 1, on_pos).otherwise(on_neg))
 
 
@@ -180,8 +188,13 @@ def fit(name: str, train: DataFrame, features: Sequence[str], target: str = "tar
     if name == "naive_bayes":
         out.numbers = fit_class_moments(train, features, target, out.params["var_smoothing"])
         return out
+    scheme = "positive" if name == "boosted_trees" else "balanced"
+    if name in tr.KNOWN and tr.growable(name, counts := class_counts(train, target), features, out.params):
+        grow = tr.fit_boosted if name == "boosted_trees" else tr.fit_forest
+        out.numbers = grow(train, features, target, counts, class_weights(counts, scheme), out.params, seed)
+        return out
     rows = train.count()
-    weighted = with_class_weight(train, target, "positive" if name == "boosted_trees" else "balanced")
+    weighted = with_class_weight(train, target, scheme)
     stages = [assembler(features), estimator(name, features, target, params, rows, seed)]
     if name == "svm":
         out.numbers = fit_kernel(train, features, out.params["gamma"], out.params["kernel_features"], seed)
@@ -206,6 +219,8 @@ def predict(fitted: Fitted, df: DataFrame, out: str = "p", key: str = "entity_id
         return df.join(votes.select(F.col("id").alias(key), F.col("p").alias(out)), key)
     if fitted.name == "naive_bayes":
         return df.withColumn(out, class_probability(fitted.numbers))
+    if "trees" in fitted.numbers:
+        return df.withColumn(out, tr.probability(df, fitted.features, fitted.numbers))
     scored = fitted.model.transform(with_kernel_map(df, fitted.features, fitted.numbers) if fitted.name == "svm" else df)
     if fitted.link:
         a, b = fitted.link
@@ -222,6 +237,8 @@ def save_fitted(fitted: Fitted, path: str, spark: SparkSession) -> str:
         fitted.model.write().overwrite().save(f"{path}/model")
     if fitted.reference is not None:
         fitted.reference.write.mode("overwrite").parquet(f"{path}/reference")
+    if "trees" in fitted.numbers:
+        files.copy(spark, fitted.numbers["trees"], f"{path}/trees")
     plain = {"name": fitted.name, "features": fitted.features, "params": fitted.params, "link": fitted.link, "target": fitted.target, "numbers": fitted.numbers,
              "has_model": fitted.model is not None, "has_reference": fitted.reference is not None}
     files.write_json(spark, f"{path}/fitted.json", plain)
@@ -235,6 +252,8 @@ def load_fitted(spark: SparkSession, path: str) -> Fitted | None:
         return None
     model = PipelineModel.load(f"{path}/model") if plain["has_model"] else None
     reference = spark.read.parquet(f"{path}/reference") if plain["has_reference"] else None
+    if "trees" in plain["numbers"]:
+        plain["numbers"]["trees"] = f"{path}/trees"
     return Fitted(plain["name"], plain["features"], model, plain["params"], tuple(plain["link"]) if plain["link"] else None, reference, plain["target"], plain["numbers"])
 
 
@@ -332,6 +351,8 @@ def native_importance(fitted: Fitted) -> dict[str, float]:
     """Tree importances or absolute coefficients; empty for models that have neither."""
     if fitted.name == "svm":  # its coefficients belong to the kernel map, not to features
         return {}
+    if "trees" in fitted.numbers:
+        return dict(zip(fitted.features, fitted.numbers["importance"]))
     model = fitted.model.stages[-1] if fitted.model is not None else None
     if hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()

@@ -41,6 +41,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fs.makeQualified(tmp), fs.makeQualified(p), overwrite)
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A folder under another name, file by file; what is there is replaced."""
+    (at, a, jvm), (to, b, _) = _fs(spark, source), _fs(spark, target)
+    if at.makeQualified(a).equals(to.makeQualified(b)):
+        return
+    to.delete(b, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(at, a, to, b, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def claim(spark: SparkSession, path: str) -> bool:
     """Make an empty file; False when it is there already.  Of several writers exactly one is told True."""
     fs, p, jvm = _fs(spark, path)
