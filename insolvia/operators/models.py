@@ -33,7 +33,7 @@ from ..store import files
 from . import metrics as mt
 from . import trees as tr
 from .augment import with_partner
-from .neighbors import knn_probability
+from .neighbors import nearest, vote_share
 from .prepare import apply_scale, enforce_features, fit_scale
 from .relations import correlation_matrix, rank_auc
 from .scoring import linear_contributions
@@ -208,15 +208,25 @@ def fit(name: str, train: DataFrame, features: Sequence[str], target: str = "tar
     return out
 
 
+def neighbours(fitted: Fitted, df: DataFrame, key: str, k: int | None = None) -> DataFrame:
+    """The nearest training rows of every row, as many as the fit asks for or ``k``."""
+    vec = F.array(*[F.col(c).cast("double") for c in fitted.features])
+    queries = df.select(F.col(key).alias("id"), vec.alias("vec"))
+    refs = fitted.reference.select(F.col(key).alias("id"), vec.alias("vec"), F.col(fitted.target).cast("double").alias("payload"))
+    return nearest(queries, refs, k or fitted.params["k"])
+
+
+def by_votes(fitted: Fitted, df: DataFrame, near: DataFrame, out: str, key: str) -> DataFrame:
+    """The rows with the vote of their first k of the neighbours found."""
+    votes = vote_share(near.filter(F.col("rank") <= fitted.params["k"]), fitted.params["weights"])
+    return df.join(votes.select(F.col("id").alias(key), F.col("p").alias(out)), key)
+
+
 def predict(fitted: Fitted, df: DataFrame, out: str = "p", key: str = "entity_id") -> DataFrame:
     """Add the positive-class probability; missing model columns are an error."""
     enforce_features(df, fitted.features)
     if fitted.name == "knn":
-        vec = F.array(*[F.col(c).cast("double") for c in fitted.features])
-        queries = df.select(F.col(key).alias("id"), vec.alias("vec"))
-        refs = fitted.reference.select(F.col(key).alias("id"), vec.alias("vec"), F.col(fitted.target).cast("double").alias("payload"))
-        votes = knn_probability(queries, refs, fitted.params["k"], fitted.params["weights"])
-        return df.join(votes.select(F.col("id").alias(key), F.col("p").alias(out)), key)
+        return by_votes(fitted, df, neighbours(fitted, df, key), out, key)
     if fitted.name == "naive_bayes":
         return df.withColumn(out, class_probability(fitted.numbers))
     if "trees" in fitted.numbers:
@@ -320,7 +330,8 @@ def cross_validate(
     kind: str = "shuffled", key: str = "entity_id",
 ) -> list[dict]:
     """Mean and deviation of ROC-AUC over the folds for each candidate, best first; any algorithm, candidates and folds
-    side by side.  A fold whose training or test part lacks a class has no score and is left out."""
+    side by side.  A fold whose training or test part lacks a class has no score and is left out.  Candidates of the
+    neighbour classifier share each fold's search: the k nearest are the first k of the most any of them asks for."""
     spark = train.sparkSession
     keys = [key] if key in train.columns and key not in features else []
     stored = materialize(train.select(*keys, *features, target, F.col(fold).cast("int").alias("_fold")), "folds")
@@ -332,9 +343,16 @@ def cross_validate(
     both = lambda blocks: all(any(sizes[b].get(k) for b in blocks) for k in (0, 1))
     parts = [(some, one) for some, one in fold_parts([v for v in sizes if v is not None], kind) if some and both(some) and both([one])]
 
+    def searched(some: list[int], one: int) -> DataFrame:
+        fitted = fit(name, stored.where(F.col("_fold").isin(some)), features, target, {}, seed)
+        most = max({**DEFAULTS[name], **c}["k"] for c in candidates)
+        return materialize(neighbours(fitted, stored.where(F.col("_fold") == one), key, most), "fold-neighbours")
+
+    shared = dict(zip([one for _, one in parts], in_pool(spark, [lambda some=some, one=one: searched(some, one) for some, one in parts], parallelism))) if name == "knn" else {}
+
     def score(candidate: dict, some: list[int], one: int) -> float:
-        fitted = fit(name, stored.where(F.col("_fold").isin(some)), features, target, candidate, seed)
-        scored = predict(fitted, stored.where(F.col("_fold") == one), key=key)
+        fitted, tested = fit(name, stored.where(F.col("_fold").isin(some)), features, target, candidate, seed), stored.where(F.col("_fold") == one)
+        scored = by_votes(fitted, tested, shared[one], "p", key) if one in shared else predict(fitted, tested, key=key)
         return mt.roc_auc(mt.score_counts(scored, target, "p")).first()["roc_auc"]
 
     jobs = [lambda c=c, some=some, one=one: score(c, some, one) for c in candidates for some, one in parts]

@@ -1,12 +1,14 @@
 """Exact k nearest neighbours by pivots, without comparing every block with every other.
 
 References are dealt into cells: each belongs to the nearest of a bounded number of pivots
-(sampled references).  Per cell a few numbers reach the driver: size, bounding box, largest and
-smallest distance to the pivot, the k smallest such distances.  They bound, for each query, the
-distance of its k-th neighbour from above and the distance of a whole cell from below (triangle
-inequality, bounding box, and the half-space between two pivots), so that a query is sent only
-to cells that may hold one of its neighbours.  Queries and cells meet in bounded co-groups where
-NumPy keeps the k best per query; a ranked window merges them.
+(sampled references), and each cell is a folder of its own.  Per cell a few numbers reach the driver: size, bounding box,
+largest and smallest distance to the pivot, the k smallest such distances.  They bound, for each query, the
+distance of a whole cell from below (triangle inequality, bounding box, and the half-space between two pivots).
+
+Queries are sorted by the cell they lie in and go in blocks through tasks that read cells from the shared folder: first
+the queries' own cell, which tells how near the k-th neighbour must be, then every other cell that may hold a nearer
+row.  Nothing but the neighbours found is shuffled; a task holds a block of queries and a block of one cell.  Squared
+distances pick the candidates, with room for their rounding; the distances of the candidates are computed one by one.
 
 Rows with gaps (imputation) are dealt by the pattern of their gaps first.  Within a pattern the
 distance over common coordinates is bounded by the box over these coordinates; rare patterns
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import number_or_null
-from ..session import bounded_collect, materialize
+from ..session import bounded_collect, materialize, new_path
 
 QUERY_BLOCK, REFERENCE_BLOCK = 2_048, 32_768
 CHUNK = 256
@@ -32,29 +34,45 @@ CHUNK = 256
 CELL_ROWS, MAX_CELLS, MAX_PATTERNS = 4_096, 1_024, 64
 # Relative slack of the bounds: rounding may not lose a neighbour.
 SLACK = 1e-9
+# Pairs compared at once, coordinates up to which they are summed one by one, bytes of cells a task keeps.
+PAIRS, FEW, KEPT_BYTES = 1 << 17, 16, 48_000_000
+NO_ID = np.iinfo(np.int64).max
 
 
 def _blocks(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
 
-def _distances(q: np.ndarray, r: np.ndarray, nan_aware: bool) -> np.ndarray:
-    if not nan_aware:
-        return np.stack([np.sqrt(((r - row) ** 2).sum(axis=1)) for row in q])
-    out = np.empty((len(q), len(r)))
-    for i, row in enumerate(q):
-        diff = r - row
-        present = ~np.isnan(diff)
-        count = present.sum(axis=1)
-        total = np.where(present, diff, 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[i] = np.sqrt((total**2).sum(axis=1) * diff.shape[1] / count)
-        out[i][count == 0] = np.inf
+def _squares(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, one coordinate after the other."""
+    out, gap, r = np.zeros((len(q), len(r))), np.empty((len(q), len(r))), np.ascontiguousarray(r.T)
+    for j in range(q.shape[1]):
+        np.subtract(q[:, j, None], r[j], out=gap)
+        gap *= gap
+        out += gap
     return out
 
 
+def _near_squares(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs, and how far each query's may be off."""
+    if q.shape[1] <= FEW or not (len(q) and len(r)):
+        return _squares(q, r), np.zeros(len(q))
+    centre = r.mean(axis=0)
+    q, r = q - centre, r - centre
+    qq, rr = (q * q).sum(axis=1), (r * r).sum(axis=1)
+    out = q @ r.T
+    out *= -2
+    out += qq[:, None]
+    out += rr
+    return out, 16 * q.shape[1] * np.finfo(float).eps * (qq + rr.max())
+
+
 def _vectors(column) -> np.ndarray:
     """Arrow or pandas lists of doubles as a matrix, null entries as NaN."""
+    if isinstance(column, pa.ListArray) and len(column) and column.null_count == 0:
+        width = len(column[0])
+        if (np.diff(column.offsets.to_numpy()) == width).all():
+            return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
     rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
     return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(rows), -1)
 
@@ -82,50 +100,74 @@ class Cells:
                 cell[rows] = np.flatnonzero(self.mixed)[0]
                 continue
             for part in np.array_split(rows, _blocks(len(rows), CHUNK)):
-                d = _distances(x[part][:, pattern], self.pivots[at][:, pattern], False) if pattern.any() else np.zeros((len(part), len(at)))
+                d = np.sqrt(_squares(x[part][:, pattern], self.pivots[at][:, pattern]))
                 cell[part], radius[part] = at[d.argmin(axis=1)], d.min(axis=1)
         return cell, radius
 
     def blocks(self) -> np.ndarray:
         return np.maximum(1, -(-self.size // REFERENCE_BLOCK))
 
-    def visits(self, x: np.ndarray, k: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Queries x cells: whether the cell may hold one of the k nearest; and each query's home, the cell with the least
-        lower bound.  With ``wanted`` (queries x coordinates), one of
-        the k nearest among the rows that have the coordinate, for any wanted one."""
+    def bounds(self, x: np.ndarray, gaps: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries x cells: least distance a row of the cell may have, distance to its pivot, coordinates in common."""
         n = len(self.size)
         has = ~np.isnan(x)
-        out, home = np.zeros((len(x), n), bool), np.zeros(len(x), int)
+        box, pivot, count = np.zeros((len(x), n)), np.zeros((len(x), n)), np.zeros((len(x), n))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for j in range(x.shape[1]):
+                q, common = x[:, j, None], has[:, j, None] & self.present[None, :, j]
+                out = np.maximum(0, np.maximum(self.low[:, j] - q, q - self.high[:, j]))
+                off = self.pivots[:, j] - q
+                box += np.where(common, out * out, 0.0)
+                pivot += np.where(common, off * off, 0.0) if gaps else off * off
+                count += common
+            scale = x.shape[1] / count if gaps else 1.0
+            lower, pivot = np.sqrt(box * scale), np.sqrt(pivot * scale)
+        if not gaps:
+            alive = self.size > 0
+            least = np.array([r[0] if len(r) else 0.0 for r in self.radii])
+            nearest = np.where(alive, pivot, np.inf).min(axis=1, initial=np.inf)[:, None]
+            with np.errstate(invalid="ignore"):
+                lower = np.maximum.reduce([lower, pivot - self.largest, least - pivot, (pivot - nearest) / 2])
+        lower[:, self.mixed] = 0.0
+        return lower, pivot, count
+
+    def home(self, x: np.ndarray, gaps: bool) -> np.ndarray:
+        """The cell each query starts with: that of the nearest pivot, with gaps the one of the least lower bound."""
+        lower, pivot, _ = self.bounds(x, gaps)
         alive = self.size > 0
-        scale_to = x.shape[1]
+        return np.where(alive & ~self.mixed, lower, np.inf).argmin(axis=1) if gaps else np.where(alive, pivot, np.inf).argmin(axis=1)
+
+    def visits(self, x: np.ndarray, k: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Queries x cells: whether the cell may hold one of the k nearest, as far as the cells' numbers tell; and each
+        query's home.  With ``wanted`` (queries x coordinates), one of
+        the k nearest among the rows that have the coordinate, for any wanted one."""
+        n = len(self.size)
+        out, alive = np.zeros((len(x), n), bool), self.size > 0
+        lower, pivot, count = self.bounds(x, wanted is not None)
+        home = self.home(x, wanted is not None)
+        if wanted is None:
+            radii = np.full((n, k), np.inf)
+            for j in np.flatnonzero(alive):
+                radii[j, : len(self.radii[j][:k])] = self.radii[j][:k]
+            for i in range(len(x)):
+                near = (pivot[i][:, None] + radii).ravel()
+                bound = np.partition(near, k - 1)[k - 1]
+                out[i] = alive & (lower[i] <= bound * (1 + SLACK) + SLACK)
+            return out, home
         for i, q in enumerate(x):
-            common = self.present & has[i]
-            count = common.sum(axis=1)
+            common = self.present & ~np.isnan(q)
             with np.errstate(invalid="ignore", divide="ignore"):
-                scale = scale_to / count if wanted is not None else np.ones(n)
-                gap = np.where(common, np.maximum(0, np.maximum(self.low - q, q - self.high)), 0.0)
-                lower = np.sqrt((gap**2).sum(axis=1) * scale)
                 reach = np.where(common, np.maximum(np.abs(q - self.low), np.abs(q - self.high)), 0.0)
-                upper = np.sqrt((reach**2).sum(axis=1) * scale)
-            lower[self.mixed], upper[self.mixed] = 0.0, np.inf
-            if wanted is None:
-                d = np.sqrt(((self.pivots - q) ** 2).sum(axis=1))
-                least = np.array([r[0] if len(r) else 0.0 for r in self.radii])
-                home[i] = np.where(alive, d, np.inf).argmin()
-                lower = np.maximum.reduce([lower, d - self.largest, least - d, (d - d[alive].min(initial=np.inf)) / 2])
-                near = np.concatenate([d[j] + r for j, r in enumerate(self.radii) if alive[j]] or [np.zeros(0)])
-                bound = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
-                out[i] = alive & (lower <= bound * (1 + SLACK) + SLACK)
-                continue
-            home[i] = np.where(alive & ~self.mixed, lower, np.inf).argmin()
-            usable = alive & ((count > 0) | self.mixed)
+                upper = np.sqrt((reach**2).sum(axis=1) * len(q) / count[i])
+            upper[self.mixed] = np.inf
+            usable = alive & ((count[i] > 0) | self.mixed)
             for c in np.flatnonzero(wanted[i]):
                 fit = usable & (self.present[:, c] | self.mixed)
                 order = np.argsort(np.where(fit, upper, np.inf))
                 held = np.cumsum(np.where(fit & ~self.mixed, self.size, 0)[order])
                 at = np.searchsorted(held, k)
                 bound = upper[order[at]] if at < n else np.inf
-                out[i] |= fit & (lower <= bound * (1 + SLACK) + SLACK)
+                out[i] |= fit & (lower[i] <= bound * (1 + SLACK) + SLACK)
         return out, home
 
 
@@ -154,7 +196,7 @@ def _sampled_pivots(refs: DataFrame, dims: int) -> Cells:
 
 
 def _celled(refs: DataFrame, k: int, dims: int) -> tuple[DataFrame, Cells]:
-    """The references with their cell, written, and the cells with their numbers."""
+    """The references with their cell, written to a folder per cell, and the cells with their numbers."""
     cells = _sampled_pivots(refs, dims)
     schema = T.StructType([*refs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
 
@@ -164,7 +206,9 @@ def _celled(refs: DataFrame, k: int, dims: int) -> tuple[DataFrame, Cells]:
                 cell, radius = cells.assign(_vectors(batch.column("vec")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())], names=[*batch.schema.names, "cell", "radius"])
 
-    stored = materialize(refs.mapInArrow(assign, schema), "neighbour-cells")
+    cells.path = new_path(refs.sparkSession, "neighbour-cells")
+    refs.mapInArrow(assign, schema).repartition("cell").write.partitionBy("cell").parquet(cells.path)
+    stored = refs.sparkSession.read.schema(schema).parquet(cells.path)
 
     def parts(batches):
         part = Cells(cells.pivots, cells.present, cells.mixed)
@@ -196,8 +240,198 @@ def _celled(refs: DataFrame, k: int, dims: int) -> tuple[DataFrame, Cells]:
     return stored, cells
 
 
-def _routed(queries: DataFrame, cells: Cells, k: int, wanted: bool) -> DataFrame:
-    """Each query once per block of each cell that it must visit, with its home."""
+# ---------------------------------------------------------------- search
+class _Reader:
+    """Blocks of a cell's rows from its folder: vectors, ids, payloads; small cells are kept for the next block of queries."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.store, self.base = fs.FileSystem.from_uri(path)
+        self.kept: dict[int, list] = {}
+        self.held = 0
+
+    def blocks(self, cell: int):
+        if cell in self.kept:
+            yield from self.kept[cell]
+            return
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        seen, size = [], 0
+        for info in sorted(self.store.get_file_info(fs.FileSelector(f"{self.base}/cell={cell}")), key=lambda i: i.path):
+            if not info.path.endswith(".parquet"):
+                continue
+            with self.store.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=REFERENCE_BLOCK):
+                    ids = batch.column("id").fill_null(NO_ID).to_numpy()
+                    payload = batch.column("payload").to_numpy(zero_copy_only=False).astype(float) if "payload" in batch.schema.names else None
+                    part = (_vectors(batch.column("vec")), ids, payload)
+                    size += part[0].nbytes + 16 * len(ids)
+                    if size <= KEPT_BYTES // 4:
+                        seen.append(part)
+                    yield part
+        if size <= KEPT_BYTES // 4:
+            if self.held + size > KEPT_BYTES:
+                self.kept, self.held = {}, 0
+            self.kept[cell] = seen
+            self.held += size
+
+
+class _Best:
+    """The k nearest rows found so far, per query and slot (one slot, or one per coordinate to fill)."""
+
+    def __init__(self, n: int, slots: int, k: int):
+        self.k = k
+        self.distance, self.id = np.full((n, slots, k), np.inf), np.full((n, slots, k), NO_ID)
+        self.value, self.found = np.full((n, slots, k), np.nan), np.zeros((n, slots), int)
+
+    def limit(self) -> np.ndarray:
+        """Distance of the k-th row, infinite while there are fewer."""
+        return np.where(self.found == self.k, self.distance[:, :, -1], np.inf)
+
+    def add(self, slot: int, query: np.ndarray, distance: np.ndarray, ident: np.ndarray, value: np.ndarray) -> None:
+        fits = distance <= self.limit()[query, slot]
+        query, distance, ident, value = query[fits], distance[fits], ident[fits], value[fits]
+        if not len(query):
+            return
+        some = np.unique(query)
+        held = np.arange(self.k) < self.found[some, slot][:, None]
+        query = np.concatenate([np.repeat(some, held.sum(axis=1)), query])
+        distance = np.concatenate([self.distance[some, slot][held], distance])
+        ident = np.concatenate([self.id[some, slot][held], ident])
+        value = np.concatenate([self.value[some, slot][held], value])
+        order = np.lexsort((ident, distance, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.k
+        order, query, rank = order[keep], query[keep], rank[keep]
+        self.distance[query, slot, rank], self.id[query, slot, rank], self.value[query, slot, rank] = distance[order], ident[order], value[order]
+        self.found[some, slot] = np.bincount(np.searchsorted(some, query), minlength=len(some))
+
+
+def _meet(best: _Best, x: np.ndarray, rows: np.ndarray, block: tuple, wanted: list[int], gaps: bool) -> None:
+    """Queries ``rows`` (all with the same gaps) against a block of references with the same gaps."""
+    ref, ident, payload = block
+    own = ~np.isnan(x[rows[0]])
+    there = ~np.isnan(ref[0])
+    slots = [i for i, c in enumerate(wanted) if there[c]] if gaps else [0]
+    cols = np.flatnonzero(own & there) if gaps else np.arange(x.shape[1])
+    if not (len(cols) and len(slots)):
+        return
+    factor = x.shape[1] / len(cols) if gaps else 1.0
+    size = max(1, PAIRS // len(ref))
+    thin = np.ascontiguousarray(ref[:, cols])
+    for begin in range(0, len(rows), size):
+        some = rows[begin : begin + size]
+        square, off = _near_squares(x[some][:, cols], thin)
+        limit = (best.limit()[some][:, slots].max(axis=1) ** 2 / factor) * (1 + SLACK) + off
+        free = np.flatnonzero(~np.isfinite(limit))
+        if len(free) and len(ref) >= best.k:  # the k-th of this block is a bound
+            limit[free] = np.partition(square[free], best.k - 1, axis=1)[:, best.k - 1] * (1 + SLACK) + 2 * off[free]
+        q, r = np.nonzero(square <= limit[:, None])
+        if not len(q):
+            continue
+        gap = ref[r] - x[some[q]]
+        if gaps:
+            total = np.where(np.isnan(gap), 0.0, gap)
+            distance = np.sqrt((total**2).sum(axis=1) * x.shape[1] / len(cols))
+        else:
+            distance = np.sqrt((gap**2).sum(axis=1))
+        for slot in slots:
+            best.add(slot, some[q], distance, ident[r], ref[r, wanted[slot]] if gaps else payload[r])
+
+
+def _same_gaps(x: np.ndarray) -> list[np.ndarray]:
+    """Rows by the pattern of their gaps."""
+    own = ~np.isnan(x)
+    patterns, of = np.unique(own, axis=0, return_inverse=True)
+    return [np.flatnonzero(of.ravel() == i) for i in range(len(patterns))]
+
+
+def _found(x: np.ndarray, home: np.ndarray, cells: Cells, reader: _Reader, k: int, gaps: bool) -> tuple[_Best, list[int]]:
+    """The k nearest rows of queries with the same gaps."""
+    wanted = np.flatnonzero(np.isnan(x[0])).tolist() if gaps else [-1]
+    best = _Best(len(x), len(wanted), k)
+    lower, pivot, count = cells.bounds(x, gaps)
+    fit = np.stack([(cells.size > 0) & (cells.mixed | cells.present[:, c] if gaps else True) for c in wanted])
+    if gaps:
+        fit &= cells.mixed | (count[0] > 0)
+    usable = fit.any(axis=0)
+
+    def visit(cell: int, rows: np.ndarray) -> None:
+        for block in reader.blocks(cell):
+            for same in _same_gaps(block[0]) if gaps else [np.flatnonzero(~np.isnan(block[0]).any(axis=1))]:
+                if not len(same):
+                    continue
+                _meet(best, x, rows, tuple(None if b is None else b[same] for b in block), wanted, gaps)
+
+    first = np.where(usable & ~cells.mixed, pivot, np.inf).argmin(axis=1) if gaps else home
+    for cell in np.unique(first):
+        if usable[cell]:
+            visit(int(cell), np.flatnonzero(first == cell))
+    with np.errstate(invalid="ignore"):
+        near = np.where(np.isnan(pivot), np.inf, pivot).mean(axis=0)
+        for cell in np.argsort(near, kind="stable"):
+            if usable[cell]:
+                reach = np.where(fit[:, cell], best.limit(), -np.inf).max(axis=1)
+                rows = np.flatnonzero((lower[:, cell] <= reach * (1 + SLACK) + SLACK) & (first != cell))
+                if len(rows):
+                    visit(int(cell), rows)
+    return best, wanted
+
+
+def _met(queries: DataFrame, references: DataFrame, k: int, gaps: bool) -> tuple[DataFrame, DataFrame]:
+    """(q_id, at, r_id, distance, value) of the k nearest rows of each query and slot; and the pairs of homes and blocks
+    of cells that the cells' numbers alone would let meet.  Queries of one home look at the same cells, so they go together."""
+    first = references.select(F.size("vec").alias("d")).first()
+    _, cells = _celled(references, k, first["d"] if first else 1)
+
+    def at_home(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(begin, CHUNK)
+                x = _vectors(part.column("vec"))
+                home = cells.home(x, gaps) if cells.size.any() else np.zeros(len(x), int)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home, pa.int32())], names=[*part.schema.names, "home"])
+
+    homed = materialize(queries.mapInArrow(at_home, T.StructType([*queries.schema.fields, T.StructField("home", T.IntegerType())])), "neighbour-queries")
+
+    def search(batches):
+        reader = _Reader(cells.path)
+        for block in _gathered(batches, QUERY_BLOCK):
+            every, ids, home = _vectors(block.column("vec")), block.column("id"), block.column("home").to_numpy()
+            for rows in (_same_gaps(every) if gaps else [np.arange(len(every))]) if cells.size.any() else []:
+                best, wanted = _found(every[rows], home[rows], cells, reader, k, gaps)
+                q, slot, rank = np.nonzero(np.arange(k) < best.found[:, :, None])
+                ident = best.id[q, slot, rank]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows[q])).cast(pa.int64()), pa.array(np.array(wanted)[slot], pa.int32()), pa.array(ident, pa.int64(), mask=ident == NO_ID),
+                     pa.array(best.distance[q, slot, rank]), pa.array(best.value[q, slot, rank], from_pandas=True)],
+                    names=["q_id", "at", "r_id", "distance", "value"],
+                )
+
+    dealt = homed.repartitionByRange(_blocks(homed.count(), QUERY_BLOCK), "home", F.xxhash64("id")).sortWithinPartitions("home")
+    found = dealt.mapInArrow(search, "q_id bigint, at int, r_id bigint, distance double, value double")
+    return found, _pairs(homed, cells, k, gaps)
+
+
+def _gathered(batches, size: int):
+    """The rows of a task in batches of ``size``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            room = size - sum(b.num_rows for b in held)
+            held.append(batch.slice(0, room))
+            batch = batch.slice(room)
+            if sum(b.num_rows for b in held) == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _pairs(homed: DataFrame, cells: Cells, k: int, gaps: bool) -> DataFrame:
     counts = cells.blocks()
 
     def route(batches):
@@ -205,34 +439,14 @@ def _routed(queries: DataFrame, cells: Cells, k: int, wanted: bool) -> DataFrame
             for begin in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(begin, CHUNK)
                 x = _vectors(part.column("vec"))
-                visits, home = cells.visits(x, k, np.isnan(x) if wanted else None)
-                row, cell = np.nonzero(visits)
+                row, cell = np.nonzero(cells.visits(x, k, np.isnan(x) if gaps else None)[0])
                 each = counts[cell]
                 row, cell = np.repeat(row, each), np.repeat(cell, each)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(c, pa.int32()) for c in (cell, block, home[row]))], names=[*part.schema.names, "cell", "block", "home"])
+                home = part.column("home").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in (cell, block, home)], names=["cell", "block", "home"])
 
-    schema = T.StructType([*queries.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("cell", "block", "home")]])
-    return queries.mapInArrow(route, schema)
-
-
-def _met(queries: DataFrame, references: DataFrame, k: int, gaps: bool):
-    """Routed queries and the blocks of references they visit, grouped alike.  Queries of one home look at the same cells,
-    so they are kept together, and a home with many queries is split."""
-    first = references.select(F.size("vec").alias("d")).first()
-    stored, cells = _celled(references, k, first["d"] if first else 1)
-    routed = materialize(_routed(queries, cells, k, gaps), "neighbour-visits")
-    crowd = {r["home"]: r["n"] for r in bounded_collect(routed.groupBy("home").agg(F.count_distinct("id").alias("n")), MAX_CELLS + 1)}
-    per_cell = lambda numbers: F.array(*[F.lit(int(n)) for n in numbers])
-    split = F.element_at(per_cell([_blocks(crowd.get(j, 1), QUERY_BLOCK) for j in range(len(cells.size))]), F.col("home") + 1)
-    keys = ["cell", "block", "home", "part"]
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int"))
-    # Names of its own for the other side: a co-group of columns that share their origin is ambiguous.
-    pairs = routed.select(*[F.col(c).alias(f"r_{c}") for c in keys]).distinct()
-    block = F.pmod(F.xxhash64("id"), F.element_at(per_cell(cells.blocks()), F.col("r_cell") + 1)).cast("int")
-    refs = stored.drop("radius").withColumnRenamed("cell", "r_cell").withColumn("r_block", block).join(pairs, ["r_cell", "r_block"])
-    return routed.groupBy(*keys).cogroup(refs.groupBy(*[f"r_{c}" for c in keys])), pairs
+    return homed.mapInArrow(route, "cell int, block int, home int").distinct()
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
@@ -241,26 +455,8 @@ def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
     Both sides have ``id`` and ``vec array<double>`` without gaps; references also a ``payload
     double``.  Ties are broken by the reference id.
     """
-    columns = ["q_id", "r_id", "distance", "payload"]
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        right = right.sort_values("id", kind="stable")
-        ref = np.array(right["vec"].tolist(), dtype=float)
-        rid, pay = right["id"].to_numpy(), right["payload"].to_numpy(dtype=float)
-        qry, qid = np.array(left["vec"].tolist(), dtype=float), left["id"].to_numpy()
-        keep, out = min(k, len(rid)), []
-        for start in range(0, len(qid), CHUNK):
-            d = _distances(qry[start : start + CHUNK], ref, False)
-            order = np.argsort(d, axis=1, kind="stable")[:, :keep]  # references are in id order
-            rows = np.repeat(np.arange(len(d)), keep)
-            cols = order.ravel()
-            out.append(pd.DataFrame({"q_id": qid[start + rows], "r_id": rid[cols], "distance": d[rows, cols], "payload": pay[cols]}))
-        return pd.concat(out, ignore_index=True)
-
     met, _ = _met(queries.select("id", "vec"), references.select("id", "vec", "payload"), k, False)
-    found = met.applyInPandas(best, "q_id bigint, r_id bigint, distance double, payload double")
+    found = met.select("q_id", "r_id", "distance", F.col("value").alias("payload"))
     w = Window.partitionBy("q_id").orderBy("distance", "r_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -268,7 +464,11 @@ def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
 def knn_probability(queries: DataFrame, references: DataFrame, k: int = 15, weights: str = "uniform") -> DataFrame:
     """Vote share of class 1 among the k nearest references (payload = label).  With
     distance weights, exact matches outvote everything else."""
-    near = nearest(queries, references, k)
+    return vote_share(nearest(queries, references, k), weights)
+
+
+def vote_share(near: DataFrame, weights: str) -> DataFrame:
+    """Votes of neighbours that were found; see ``knn_probability``."""
     if weights == "uniform":
         return near.groupBy(F.col("q_id").alias("id")).agg(F.avg("payload").alias("p"))
     inverse = F.when(F.col("distance") > 0, 1 / F.col("distance"))
@@ -287,24 +487,7 @@ def knn_impute(df: DataFrame, train: DataFrame, key: str, columns: list[str], k:
     for c in columns:
         gap = gap | number_or_null(c).isNull()
     queries = df.filter(gap).select(F.col(key).alias("id"), vec.alias("vec"))
-    names = ["q_id", "at", "r_id", "distance", "value"]
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: [] for c in names})]
-        if not left.empty and not right.empty:
-            right = right.sort_values("id", kind="stable")
-            ref, rid = _vectors(right["vec"]), right["id"].to_numpy()
-            have = ~np.isnan(ref)
-            for qid, q in zip(left["id"], _vectors(left["vec"])):
-                d = _distances(q[None], ref, True)[0]
-                for at in np.flatnonzero(np.isnan(q)):
-                    donors = np.flatnonzero(have[:, at] & np.isfinite(d))
-                    donors = donors[np.argsort(d[donors], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"q_id": qid, "at": at, "r_id": rid[donors], "distance": d[donors], "value": ref[donors, at]}))
-        return pd.concat(out, ignore_index=True)
-
-    met, _ = _met(queries, train.select(F.col(key).alias("id"), vec.alias("vec")), k, True)
-    found = met.applyInPandas(best, "q_id bigint, at int, r_id bigint, distance double, value double")
+    found, _ = _met(queries, train.select(F.col(key).alias("id"), vec.alias("vec")), k, True)
     w = Window.partitionBy("q_id", "at").orderBy("distance", "r_id")
     near = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     fills = near.groupBy(F.col("q_id").alias(key)).agg(*[F.avg(F.when(F.col("at") == i, F.col("value"))).alias(f"_fill_{i}") for i in range(len(columns))])

@@ -94,3 +94,63 @@ def test_gaps_without_donors_take_the_mean(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0), (3, 5.0, None)], "id long, a double, b double")
     got = {r["id"]: (r["a"], r["b"]) for r in nb.knn_impute(df, df, "id", ["a", "b"], 2).collect()}
     assert got == {1: (5.0, 2.0), 2: (5.0, 4.0), 3: (5.0, 3.0)}
+
+
+def test_wide_vectors_are_exact(spark, small_cells):
+    rng = np.random.default_rng(11)
+    ref = np.round(rng.normal(size=(220, 24)), 1) + 1_000.0  # far from the origin: products alone would lose the small differences
+    ref[100:130] = ref[5]  # ties beyond k
+    qry = np.vstack([ref[:12], ref[20:30] + 0.01])
+    check_nearest(nb.nearest(frame(spark, qry), frame(spark, ref, True), 7).toPandas(), ref, qry, 7)
+
+
+def test_a_query_meets_few_references(monkeypatch):
+    """The own cell tells how near the k-th neighbour is; few other cells are looked into."""
+    rng = np.random.default_rng(12)
+    ref, qry = rng.normal(size=(20_000, 3)), rng.normal(size=(300, 3))
+    cells = nb.Cells(ref[:100].copy(), np.ones((100, 3), bool), np.zeros(100, bool))
+    cell, radius = cells.assign(ref)
+    for j in range(100):
+        at = cell == j
+        cells.size[j], cells.low[j], cells.high[j], cells.largest[j], cells.radii[j] = at.sum(), ref[at].min(axis=0), ref[at].max(axis=0), radius[at].max(), np.sort(radius[at])[:5]
+
+    class Rows:
+        read = 0
+
+        def blocks(self, j):
+            at = np.flatnonzero(cell == j)
+            for part in np.array_split(at, 2):
+                yield ref[part], part.astype(np.int64), np.zeros(len(part))
+
+    met, meet = [0], nb._meet
+    monkeypatch.setattr(nb, "_meet", lambda best, x, rows, block, *more: met.__setitem__(0, met[0] + len(rows) * len(block[0])) or meet(best, x, rows, block, *more))
+    best, _ = nb._found(qry, cells.home(qry, False), cells, Rows(), 5, False)
+    for i, q in enumerate(qry):
+        assert best.id[i, 0].tolist() == np.argsort(((ref - q) ** 2).sum(axis=1), kind="stable")[:5].tolist()
+    assert met[0] < 0.08 * len(ref) * len(qry)
+    assert met[0] < cells.size[np.newaxis].repeat(len(qry), 0)[cells.visits(qry, 5)[0]].sum()  # fewer than the cells' numbers alone allow
+
+
+def test_repeated_and_null_query_ids_and_a_cell_of_many_blocks(spark, small_cells):
+    ref = np.zeros((130, 2))
+    ref[::13] = 1.0
+    refs = frame(spark, ref, True)
+    queries = spark.createDataFrame([(1, [0.9, 1.0]), (1, [0.9, 1.0]), (None, [0.1, 0.0])], "id long, vec array<double>")
+    got = nb.nearest(queries, refs, 4).toPandas()
+    assert sorted(got[got["q_id"] == 1]["r_id"]) == [0, 0, 13, 13] and sorted(got[got["q_id"].isna()]["r_id"]) == [1, 2, 3, 4]
+
+
+def test_candidates_share_each_folds_search(spark, monkeypatch):
+    from insolvia.operators import models as md
+
+    rng = np.random.default_rng(13)
+    y = (rng.random(240) < 0.4).astype(int)
+    rows = [(i, int(t), float(rng.normal() + t), float(rng.normal()), i % 3) for i, t in enumerate(y)]
+    df = spark.createDataFrame(rows, "entity_id long, target int, a double, b double, fold int")
+    space = [{"k": k, "weights": w} for k in (3, 9) for w in ("uniform", "distance")]
+    alone = {str(c): md.cross_validate("knn", df, ["a", "b"], "target", "fold", [c])[0]["scores"] for c in space}
+    calls, search = [], md.nearest
+    monkeypatch.setattr(md, "nearest", lambda *a: calls.append(a[2]) or search(*a))
+    together = md.cross_validate("knn", df, ["a", "b"], "target", "fold", space)
+    assert calls == [9, 9, 9]
+    assert all(np.allclose(r["scores"], alone[str(r["params"])]) for r in together)
