@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null
-from ..session import bounded_collect
+from ..session import bounded_collect, materialize
 from .order import quantiles, sample_rows
 
 # Rows per tree and the score above which a row is anomalous by default.
 SUBSAMPLE, AUTO_CUT = 256, 0.5
+# Rows scored at once: what is computed on the way stays in the cache.
+SCORED = 4_096
 EULER = 0.5772156649015329
 
 
@@ -85,28 +87,60 @@ def fit_isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees:
     return {"columns": cols, "medians": medians, "size": size, "trees": arrays}
 
 
+def laid_out(tree: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as a full one: feature and cut per inner node, level by level, and the length of each of its last leaves.
+    A leaf above the last level goes on to its left child, past infinite cuts."""
+    feature, cut, left, right, length = tree
+    depth, level = 0, np.array([0])
+    features, cuts = [], []
+    while (feature[level] >= 0).any():
+        inner = feature[level] >= 0
+        features.append(np.where(inner, feature[level], 0))
+        cuts.append(np.where(inner, cut[level], np.inf))
+        level = np.stack([np.where(inner, left[level], level), np.where(inner, right[level], level)], axis=1).ravel()
+        depth += 1
+    empty = np.zeros(0, int)
+    return np.concatenate([empty, *features]).astype(np.int64), np.concatenate([np.zeros(0), *cuts]), length[level]
+
+
+def path_lengths(m: np.ndarray, trees: Sequence[tuple]) -> np.ndarray:
+    """Sum over the trees of each row's path; ``trees`` as ``laid_out`` gives them."""
+    total = np.zeros(len(m))
+    for begin in range(0, len(m), SCORED):
+        columns = np.ascontiguousarray(m[begin : begin + SCORED].T)
+        n = columns.shape[1]
+        flat, row = columns.ravel(), np.arange(n)
+        out = total[begin : begin + n]
+        for feature, cut, length in trees:
+            at, shift = np.zeros(n, np.int64), feature * n
+            first, inner = 0, len(cut)
+            while first < inner:  # nodes of a level are first ... 2 * first
+                width = first + 1
+                if width == 1:
+                    at = (columns[feature[0]] > cut[0]).astype(np.int64)
+                elif width == 2:
+                    at += at + np.where(at, columns[feature[2]] > cut[2], columns[feature[1]] > cut[1])
+                else:
+                    where = at + first
+                    value = flat.take(shift.take(where, mode="clip") + row, mode="clip")
+                    at += at
+                    at += value > cut.take(where, mode="clip")
+                first = 2 * first + 1
+            out += length.take(at, mode="clip")
+    return total
+
+
 def anomaly_scores(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
     """Score in (0, 1]; higher is more anomalous."""
-    cols, trees, norm = forest["columns"], forest["trees"], float(path_norm(forest["size"])) or 1.0
+    cols, norm = forest["columns"], float(path_norm(forest["size"])) or 1.0
+    trees = [laid_out(t) for t in forest["trees"]]
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        m = np.array(x.tolist(), dtype=float).reshape(len(x), len(cols))
-        total = np.zeros(len(m))
-        rows = np.arange(len(m))
-        for feature, cut, left, right, length in trees:
-            at = np.zeros(len(m), dtype=int)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                f = np.where(inner, feature[at], 0)
-                at = np.where(inner, np.where(m[rows, f] <= cut[at], left[at], right[at]), at)
-            total += length[at]
+    def score(*columns: pd.Series) -> pd.Series:
+        total = path_lengths(np.column_stack([c.to_numpy(dtype=float) for c in columns]), trees)
         return pd.Series(np.power(2.0, -(total / len(trees)) / norm))
 
-    vec = F.array(*[F.coalesce(finite_or_null(c), F.lit(forest["medians"][c])) for c in cols])
-    return df.withColumn(out, score(vec))
+    return df.withColumn(out, score(*[F.coalesce(finite_or_null(c), F.lit(forest["medians"][c])) for c in cols]))
 
 
 def anomaly_cut(scored: DataFrame, contamination: float | str = "auto", score: str = "anomaly_score") -> float:
@@ -117,7 +151,9 @@ def anomaly_cut(scored: DataFrame, contamination: float | str = "auto", score: s
 
 def anomaly_summary(df: DataFrame, columns: Sequence[str], key: str, trees: int = 200, contamination: float | str = "auto", seed: int = 42) -> DataFrame:
     """Count, share, lowest and mean score (negated, so lower is more anomalous)."""
-    scored = anomaly_scores(df, fit_isolation_forest(df, columns, key, trees, seed))
+    scored = anomaly_scores(df, fit_isolation_forest(df, columns, key, trees, seed)).select("anomaly_score")
+    if contamination != "auto":  # read several times
+        scored = materialize(scored, "anomaly-scores")
     cut = anomaly_cut(scored, contamination)
     hit = F.col("anomaly_score") > cut
     return scored.agg(

@@ -217,3 +217,29 @@ def test_isolation_tree_splits_values_one_step_apart():
     for seed in range(20):
         nodes = an.grow(x, np.random.default_rng(seed))
         assert [n[0] for n in nodes].count(-1) == 2 and all(n is not None for n in nodes)
+
+
+def test_isolation_scores_are_computed_once_and_equal_a_plain_walk(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 3, 900), np.ones(900)])
+    trees = []
+    for rows in (1, 2, 3, 200, 256):
+        nodes = an.grow(x[:rows], np.random.default_rng(rows))
+        trees.append(tuple(np.array([n[c] for n in nodes]) for c in range(5)))
+    monkeypatch.setattr(an, "SCORED", 128)
+    got = an.path_lengths(x, [an.laid_out(t) for t in trees])
+    for row, value in zip(x, got):
+        want = 0.0
+        for feature, cut, left, right, length in trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            want += length[at]
+        assert value == want
+    read = []
+    cut_of = an.anomaly_cut
+    monkeypatch.setattr(an, "anomaly_cut", lambda scored, *a: read.extend(scored.inputFiles()) or cut_of(scored, *a))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double")
+    row = an.anomaly_summary(df, ["a", "b", "c"], "k", trees=10, contamination=0.1).first()
+    assert read and all("anomaly-scores" in f for f in read)
+    assert row["n_rows"] == 900 and 80 <= row["n_anomalies"] <= 90
