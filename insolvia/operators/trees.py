@@ -23,8 +23,8 @@ from ..session import bounded_collect, materialize, new_path
 # Fixed value of Spark ML: most bins of a column.
 BINS = 32
 # Bytes of rows a growing task may hold, histogram cells and rows it works on at once, rows scored in one go.
-MATRIX_BYTES, CELLS, ROWS, SCORED = 400_000_000, 1 << 22, 1 << 20, 1 << 16
-BYTES_PER_ROW = 16
+MATRIX_BYTES, CELLS, ROWS, SCORED = 500_000_000, 1 << 22, 1 << 20, 1 << 16
+BYTES_PER_ROW = 40
 KNOWN = {"random_forest": {"numTrees", "maxDepth", "minInstancesPerNode"}, "boosted_trees": {"maxIter", "maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode"}}
 TREES = "tree int, weight double, feature binary, cut binary, child binary, value binary, gains array<double>"
 
@@ -118,7 +118,12 @@ def _loaded(path: str) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
         mixed = (mixed ^ found[i][1]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     order = np.argsort(mark | (mixed >> np.uint64(1)), kind="stable")
-    return [found[i][1][order] for i in range(len(found))], label[order], [found[i][0] for i in range(len(found))]
+    columns, cuts = [], []
+    for i in range(len(found)):  # the unordered column goes when its ordered one is there
+        cut, cells = found.pop(i)
+        columns.append(cells[order])
+        cuts.append(cut)
+    return columns, label[order], cuts
 
 
 # ---------------------------------------------------------------- a tree of a forest
@@ -221,10 +226,10 @@ def _pruned(nodes: dict, made: int, scale: np.ndarray) -> dict:
 
 
 # ---------------------------------------------------------------- a round of boosting
-def grow_regressor(columns: list[np.ndarray], turn: int, wanted: np.ndarray, weighted: np.ndarray, scale: np.ndarray, rows: np.ndarray, depth: int, least: int) -> tuple[dict, np.ndarray]:
+def grow_regressor(columns: list[np.ndarray], turn: int, weighted: np.ndarray, scale: np.ndarray, rows: np.ndarray, depth: int, least: int) -> tuple[dict, np.ndarray]:
     """One tree of least squares on ``rows``, and the leaf of every row.
 
-    Rows before ``turn`` are of class 0, the others of class 1, ``weighted`` is weight times ``wanted`` value.  A level
+    Rows before ``turn`` are of class 0, the others of class 1, ``weighted`` is weight times wanted value.  A level
     counts the lesser child of each pair; its sibling is the parent less that.  Row counts are whole numbers, so the
     difference is exact where it decides whether a side is empty.
     """
@@ -377,16 +382,19 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, classes:
             return
         columns, label, cuts = _loaded(source)
         turn = int(np.searchsorted(label, 1))
-        sign = np.where(label == 1, 1.0, -1.0)
-        weight, margin, wanted = scale[label], np.zeros(len(label)), sign
+        classes = ((slice(0, turn), -1.0, scale[0]), (slice(turn, len(label)), 1.0, scale[1]))
+        margin, weighted = np.zeros(len(label)), np.empty(len(label))
+        for part, sign, weight in classes:
+            weighted[part] = sign * weight
         for t in range(rounds):
             rng = np.random.default_rng([seed, t])
             rows = np.flatnonzero(rng.random(len(label)) < share) if share < 1 else np.arange(len(label))
-            tree, leaf = grow_regressor(columns, turn, wanted, weight * wanted, scale, rows, depth, least)
+            tree, leaf = grow_regressor(columns, turn, weighted, scale, rows, depth, least)
             by = 1.0 if t == 0 else step
             margin += by * tree["value"].take(leaf)
             with np.errstate(over="ignore"):
-                wanted = 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
+                for part, sign, weight in classes:
+                    weighted[part] = 4.0 * sign * weight / (1.0 + np.exp(2.0 * sign * margin[part]))
             yield _row(t, by, tree, cuts)
 
     tasks = lambda spark: spark.range(0, 1, 1, 1)

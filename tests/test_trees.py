@@ -83,7 +83,7 @@ def test_rows_in_small_portions_grow_the_same_trees(spark, rows, monkeypatch):
     columns = [np.random.default_rng(i).integers(0, 32, len(label)).astype(np.uint8) for i in range(3)]
     flat, scale = np.column_stack(columns).ravel(), np.array([1.0, 2.0])
     turn, sign = int(np.searchsorted(label, 1)), np.where(label == 1, 1.0, -1.0)
-    grow = lambda: (tr.grow_classifier(flat, 3, label, np.arange(3), 2, scale, 9, 2, np.random.default_rng(5)), tr.grow_regressor(columns, turn, sign, scale[label] * sign, scale, np.arange(len(label)), 4, 1)[0])
+    grow = lambda: (tr.grow_classifier(flat, 3, label, np.arange(3), 2, scale, 9, 2, np.random.default_rng(5)), tr.grow_regressor(columns, turn, scale[label] * sign, scale, np.arange(len(label)), 4, 1)[0])
     whole = grow()
     monkeypatch.setattr(tr, "ROWS", 64)
     monkeypatch.setattr(tr, "CELLS", 2 * tr.BINS * 3)
