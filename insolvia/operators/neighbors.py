@@ -320,7 +320,7 @@ def _meet(best: _Best, x: np.ndarray, rows: np.ndarray, block: tuple, wanted: li
     if not (len(cols) and len(slots)):
         return
     factor = x.shape[1] / len(cols) if gaps else 1.0
-    size = max(1, PAIRS // len(ref))
+    size = max(CHUNK // 4, PAIRS // len(ref))
     thin = np.ascontiguousarray(ref[:, cols])
     for begin in range(0, len(rows), size):
         some = rows[begin : begin + size]
